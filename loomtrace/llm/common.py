@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -33,9 +34,14 @@ def scratch(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and go on from the written copy."""
-    scratch(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write `df` as a table in the shared folder and go on from the written copy.
+
+    The lineage ends there, so a lost executor costs only the tasks at work; the
+    copy has no partitioning of its own, so Spark may split skewed keys of joins on it.
+    """
+    path = f"{scratch(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:

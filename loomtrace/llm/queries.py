@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dac, exact, mix, quality, secrets
+from . import bpe, dac, exact, mix, quality, secrets, simhash
 from .common import documents, scratch
 
 
@@ -30,6 +30,10 @@ def op5_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.groups(documents(spark, sf_dir))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(documents(spark, sf_dir))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = secrets.scan(documents(spark, sf_dir).select("doc_id", "text"))
     base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE))
@@ -50,7 +54,7 @@ def op10_dac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.checksums(spark, path)
 
 
-QUERIES = {q.__name__: q for q in (op2_mix, op3_quality, op4_bpe, op5_exact, op8_secrets, op10_dac)}
+QUERIES = {q.__name__: q for q in (op2_mix, op3_quality, op4_bpe, op5_exact, op6_simhash, op8_secrets, op10_dac)}
 ORACLES = {
     "op5_exact": """
         SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256
