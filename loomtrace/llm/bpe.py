@@ -12,6 +12,7 @@ import base64
 import re
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -20,6 +21,8 @@ from .common import map_arrow
 
 #: Characters from which a text is cut before it is encoded.
 PIECE = 1 << 16
+#: Rows of a batch that are given out together.
+ROWS = 256
 SAFE = re.compile(r"(?<=[^\W_])(?=[ \n\t])")
 
 
@@ -51,35 +54,35 @@ def safe_pieces(text: str, size: int = PIECE) -> list[str]:
     return [*pieces, text[start:]]
 
 
-def encode(docs: DataFrame, ranks: str | None = None, pattern: str | None = None, ids: str = "ids") -> DataFrame:
-    """`docs` with the token ids of `text` in the column `ids` (replaced if it is there)."""
+def encode(docs: DataFrame, ranks: str | None = None, pattern: str | None = None, ids: str = "ids", decoded: str | None = None, keep_text: bool = True) -> DataFrame:
+    """`docs` with the token ids of `text` in the column `ids` (replaced if it is there).
+
+    With `decoded`, the bytes that the ids decode to are in that column, from the same pass over the rows.
+    """
     path, split = ranks or default_ranks()[0], pattern or default_ranks()[1]
-    docs = docs.drop(ids)
+    docs = docs.drop(ids, *filter(None, [decoded]))
     at = docs.columns.index("text")
+    rest = [k for k in range(len(docs.columns)) if k != at or keep_text]
 
     def run(batches):
         codec = encoding(path, split)
         for batch in batches:
             # Few rows at a time: the ids of a batch are never all in memory at once.
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                values, offsets = [], [0]
-                for text in part.column(at).to_pylist():
-                    tokens = [codec.encode_to_numpy(piece, disallowed_special=()) for piece in safe_pieces(text or "")]
-                    values += tokens
-                    offsets.append(offsets[-1] + sum(map(len, tokens)))
-                yield _with_lists(part, values, offsets, ids)
-
-    schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)])
-    return map_arrow(docs, run, schema)
-
-
-def _with_lists(part: pa.RecordBatch, values: list, offsets: list[int], name: str) -> pa.RecordBatch:
-    import numpy as np
-
-    flat = np.concatenate([*values, np.empty(0, np.uint32)]).astype(np.int32)
-    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
-    return pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, name])
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                values, offsets, texts = [], [0], []
+                for text in part.column(at):
+                    tokens = [token for piece in safe_pieces(text.as_py() or "") for token in codec.encode_ordinary(piece)]
+                    values.append(np.array(tokens, np.int32))
+                    offsets.append(offsets[-1] + len(tokens))
+                    if decoded:
+                        texts.append(codec.decode_bytes(tokens))
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([*values, np.empty(0, np.int32)])))
+                more = {ids: lists} | ({decoded: pa.array(texts, pa.binary())} if decoded else {})
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in rest), *more.values()], names=[*(part.schema.names[k] for k in rest), *more])
+
+    added = [T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)] + [T.StructField(d, T.BinaryType()) for d in [decoded] if d]
+    return map_arrow(docs, run, T.StructType([*(docs.schema.fields[k] for k in rest), *added]))
 
 
 def decode(encoded: DataFrame, ranks: str | None = None, pattern: str | None = None, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -91,10 +94,9 @@ def decode(encoded: DataFrame, ranks: str | None = None, pattern: str | None = N
     def run(batches):
         codec = encoding(path, split)
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                texts = [codec.decode_bytes(tokens or []) for tokens in part.column(at).to_pylist()]
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                texts = [codec.decode_bytes(tokens.as_py() or []) for tokens in part.column(at)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], names=[*part.schema.names, decoded])
 
-    schema = T.StructType([*encoded.schema.fields, T.StructField(decoded, T.BinaryType(), True)])
-    return map_arrow(encoded, run, schema)
+    return map_arrow(encoded, run, T.StructType([*encoded.schema.fields, T.StructField(decoded, T.BinaryType(), True)]))

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -30,41 +31,78 @@ MAGIC = b"DAC1"
 BLOCK_BITS = 512
 #: Ids after which a segment is closed.
 SEGMENT = 1 << 18
-#: Distinct pieces whose ids a Python worker keeps.
-CACHE = 300_000
+#: Words whose ids a Python worker keeps; beyond it those go that were met once in the batch that brought them.
+CACHE = 1_000_000
 SEGMENT_SCHEMA = "part int, segment int, part_start long, n_docs long, n_tokens long, payload binary"
 
 
-def default_vocabulary() -> tuple[str, str]:
+def default_vocabulary() -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+class Encoder:
+    """Ids of many texts, as little-endian 32-bit integers, with the ids of common words kept.
+
+    No merge crosses a space that follows anything but white space, so such a
+    space and the word after it have ids of their own. The new words of a batch
+    are encoded as one text; in it a word begins where a token begins with a
+    space. A text with other spaces (at its end, or two together) is encoded whole.
+    """
+
+    def __init__(self, path: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        space = self.tokenizer.pre_tokenizer.pre_tokenize_str(" ")[0][0]
+        self.begins = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.begins[[number for token, number in self.tokenizer.get_vocab().items() if token.startswith(space)]] = True
+        self.known: dict[str, bytes] = {}
+        self.rare: list[str] = []
+
+    def whole(self, text: str) -> bytes:
+        found = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        return np.array(found, "<u4").tobytes()
+
+    def learn(self, words: list[str]) -> None:
+        buffer = self.whole(" " + " ".join(words))
+        starts = (4 * np.flatnonzero(self.begins[np.frombuffer(buffer, "<u4")])).tolist()
+        self.known.update(zip(words, map(buffer.__getitem__, map(slice, starts, [*starts[1:], len(buffer)])), strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = [text.split(" ") for text in texts]
+        counts = Counter()
+        for words in split:
+            counts.update(words[1:])
+        if len(self.known) > CACHE:
+            for word in self.rare:
+                del self.known[word]
+            self.rare = []
+            if len(self.known) > CACHE // 2:
+                self.known.clear()
+        new = [word for word in counts.keys() - self.known.keys() if word and not word[-1].isspace()]
+        for start in range(0, len(new), 10_000):
+            self.learn(new[start : start + 10_000])
+        out = []
+        for text, words in zip(texts, split, strict=True):
+            first = words[0]
+            try:
+                out.append(self.whole(first) + b"".join(map(self.known.__getitem__, words[1:])) if not first[-1:].isspace() and (first or len(words) == 1) else self.whole(text))
+            except KeyError:
+                out.append(self.whole(text))
+        self.rare += [word for word in new if counts[word] == 1]
+        return out
 
 
 @lru_cache(maxsize=2)
-def codec(path: str, pattern: str):
-    import os
-
-    import regex
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer, regex.compile(pattern), {}
-
-
-def encode(text: str, path: str, pattern: str) -> bytes:
-    """The ids of `text` as little-endian 32-bit integers. Pieces between merges are encoded once and kept."""
-    tokenizer, split, known = codec(path, pattern)
-    pieces = split.findall(text)
-    if len(known) > CACHE:
-        known.clear()
-    if missing := list(set(pieces).difference(known)):
-        for piece, found in zip(missing, tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            known[piece] = struct.pack(f"<{len(found.ids)}I", *found.ids)
-    return b"".join(map(known.__getitem__, pieces))
+def encoder(path: str) -> Encoder:
+    """The encoder of a vocabulary file, loaded once by each Python worker."""
+    return Encoder(path)
 
 
 class Segment:
@@ -141,9 +179,9 @@ def pack(doc_ids: list, lengths: list[int], ids: np.ndarray) -> bytes:
     return b"".join(out)
 
 
-def write(docs: DataFrame, path: str, vocabulary: str | None = None, pattern: str | None = None, end: int = 0, segment: int = SEGMENT) -> None:
+def write(docs: DataFrame, path: str, vocabulary: str | None = None, end: int = 0, segment: int = SEGMENT) -> None:
     """Encode `docs` and write their ids to `path`, which must not exist."""
-    vocabulary, pattern = vocabulary or default_vocabulary()[0], pattern or default_vocabulary()[1]
+    vocabulary = vocabulary or default_vocabulary()
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches):
@@ -158,8 +196,9 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, pattern: st
 
         last = struct.pack("<I", end)
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py() or "", vocabulary, pattern) + last
+            texts_ = [text or "" for text in batch.column(1).to_pylist()]
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder(vocabulary).encode(texts_), strict=True):
+                ids += last
                 held.append(doc_id)
                 lengths.append(len(ids) // 4)
                 texts.append(ids)

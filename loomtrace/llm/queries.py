@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dac, exact, mix, quality, secrets, simhash
+from . import bpe, dac, exact, lm, mix, quality, secrets, simhash
 from .common import documents, scratch
 
 
@@ -21,7 +21,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe.decode(bpe.encode(documents(spark, sf_dir).select("doc_id", "text")))
+    coded = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), decoded="decoded", keep_text=False)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
@@ -48,13 +48,17 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(documents(spark, sf_dir))
+
+
 def op10_dac(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{scratch(spark)}/token-ids-{uuid.uuid4().hex}"
     dac.write(documents(spark, sf_dir), path)
     return dac.checksums(spark, path)
 
 
-QUERIES = {q.__name__: q for q in (op2_mix, op3_quality, op4_bpe, op5_exact, op6_simhash, op8_secrets, op10_dac)}
+QUERIES = {q.__name__: q for q in (op2_mix, op3_quality, op4_bpe, op5_exact, op6_simhash, op8_secrets, op9_lm, op10_dac)}
 ORACLES = {
     "op5_exact": """
         SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256

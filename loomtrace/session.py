@@ -9,8 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
+#: Bytes of an Arrow batch that goes to a Python worker, where the session sets none: rows can be long texts.
+BATCH, DEFAULT_BATCH, OWN_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4194304b"
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package, wherever the driver was started."""
+    """Let Python workers import this package, wherever the driver was started, and bound what they get at once."""
+    if spark.conf.get(BATCH, OWN_BATCH) == DEFAULT_BATCH:
+        spark.conf.set(BATCH, OWN_BATCH)
     paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])

@@ -9,7 +9,7 @@ from loomtrace.llm import dac, queries
 
 
 def whole(text):
-    return [*dac.codec(*dac.default_vocabulary())[0].encode(text or "", add_special_tokens=False).ids, 0]
+    return [*dac.encoder(dac.default_vocabulary()).tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
 
 
 def test_query(spark, tmp_path):
@@ -41,3 +41,9 @@ def test_codes(ids):
     segment = dac.Segment(dac.pack([1], [len(ids)], np.array(ids, np.uint32)))
     assert segment.tokens().tolist() == ids
     assert segment.access(np.arange(len(ids))).tolist() == ids
+
+
+@given(st.lists(st.text(st.sampled_from("ab'ts 1é\n\t.,#\u00a0\u200b\x1c数"), max_size=40), max_size=8))
+def test_words_have_the_ids_of_the_whole_text(texts):
+    encoder = dac.encoder(dac.default_vocabulary())
+    assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(texts)] == [whole(t)[:-1] for t in texts]
