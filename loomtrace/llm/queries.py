@@ -7,10 +7,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dac, exact, lm, mix, quality, secrets, simhash
+from . import bpe, dac, exact, lm, mix, quality, secrets, simhash, suffix
 from .common import documents, scratch
 
 
+def op1_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digests(documents(spark, sf_dir))
+
+
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = mix.copies(documents(spark, sf_dir))
     return taken.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -58,7 +62,7 @@ def op10_dac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.checksums(spark, path)
 
 
-QUERIES = {q.__name__: q for q in (op2_mix, op3_quality, op4_bpe, op5_exact, op6_simhash, op8_secrets, op9_lm, op10_dac)}
+QUERIES = {q.__name__: q for q in (op1_suffix, op2_mix, op3_quality, op4_bpe, op5_exact, op6_simhash, op8_secrets, op9_lm, op10_dac)}
 ORACLES = {
     "op5_exact": """
         SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256
