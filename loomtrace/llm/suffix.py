@@ -48,7 +48,7 @@ BLOCK, CHUNK = 4 << 20, 1 << 19
 #: Text for which there is a shard, strings of one gram from which it is dealt by place too, and places of a part.
 SHARD, HOT, PART = 16 << 20, 2000, 8
 #: Strings whose columns are inserted together.
-BATCH = 20_000
+BATCH = 4000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -226,12 +226,12 @@ def _insert(strings: list[bytes], places: np.ndarray, bucket: np.ndarray) -> lis
     """
     size = len(strings)
     lengths = np.array([len(s) for s in strings])
-    text = np.frombuffer(b"".join(strings), np.uint8)
     # Symbols by column, from 1; 0 where a string has none.
-    columns = np.zeros((COLUMNS, size), np.int16)
-    row = np.repeat(np.arange(size), lengths)
-    inside = np.arange(len(text)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    columns[inside + np.repeat(PLACES - 1 - places, lengths), row] = text.astype(np.int16) + 1
+    columns = np.zeros((size, COLUMNS), np.int16)
+    for k, (string, place) in enumerate(zip(strings, (PLACES - 1 - places).tolist(), strict=True)):
+        columns[k, place : place + len(string)] = np.frombuffer(string, np.uint8)
+        columns[k, place : place + len(string)] += 1
+    columns = np.ascontiguousarray(columns.T)
     keys = bucket.astype(np.int32) * 257
     order, common = np.arange(size), np.zeros(size + 1, np.int16)
     repeated = np.zeros((PLACES, size), bool)
