@@ -7,7 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dac, exact, lm, mix, quality, secrets, simhash, suffix
+from loomtrace.session import table
+
+from . import bpe, dac, exact, lm, mix, quality, quotes, secrets, simhash, suffix
 from .common import documents, scratch
 
 
@@ -38,6 +40,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(documents(spark, sf_dir))
 
 
+def op7_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = quotes.conversations(table(spark, sf_dir, "conversations"))
+    return linked.select("conv_id", "turn", "role", "text", "reply_to", "thread", "depth", "n_quotes", "n_linked", "n_elsewhere")
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = secrets.scan(documents(spark, sf_dir).select("doc_id", "text"))
     base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE))
@@ -62,7 +69,7 @@ def op10_dac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.checksums(spark, path)
 
 
-QUERIES = {q.__name__: q for q in (op1_suffix, op2_mix, op3_quality, op4_bpe, op5_exact, op6_simhash, op8_secrets, op9_lm, op10_dac)}
+QUERIES = {q.__name__: q for q in (op1_suffix, op2_mix, op3_quality, op4_bpe, op5_exact, op6_simhash, op7_quotes, op8_secrets, op9_lm, op10_dac)}
 ORACLES = {
     "op5_exact": """
         SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256
@@ -70,4 +77,5 @@ ORACLES = {
               FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM documents)
               WINDOW same AS (PARTITION BY key))
     """,
+    "op7_quotes": quotes.SQL,
 }

@@ -1,0 +1,122 @@
+import random
+import re
+
+import duckdb
+import pandas as pd
+
+from loomtrace.llm import quotes
+
+NAMES = ("conv_id", "turn", "role", "text", "reply_to", "thread", "depth", "n_quotes", "n_linked", "n_elsewhere")
+SCHEMA = "conv_id long, turn long, role string, text string"
+MARK = re.compile(r"(?:[ \t]*>)+")
+
+
+def normal(line):
+    line = "".join(c.lower() if c.isascii() else c for c in line)
+    return re.sub("[ \t\r]+", " ", line).strip(" ")
+
+
+def parsed(text):
+    """(kind, lines) of each run, and the own text."""
+    lines, runs, own, plain = (text or "").split("\n"), [], [], True
+    level = [m.group().count(">") if (m := MARK.match(line)) else 0 for line in lines]
+    for k, line in enumerate(lines):
+        norm = normal(MARK.sub("", line, count=1) if level[k] else line)
+        kind = level[k] or (-1 if not norm else -2 if norm.endswith("wrote:") and k + 1 < len(lines) and level[k + 1] else 0)
+        if not runs or runs[-1][0] != kind:
+            runs.append((kind, []))
+        runs[-1][1].append(norm)
+        plain &= kind in (0, -1)
+        if kind in (0, -1):
+            own.append(line)
+    return [(k, [x for x in ls if x]) for k, ls in runs], (text or "") if plain else "\n".join(own).strip(" \t\r\n")
+
+
+def brute(rows):
+    read = [(c, t, role, *parsed(text)) for c, t, role, text in rows]
+    first = {}
+    for c, t, _, runs, _ in read:
+        if t is not None:
+            own = [ls for k, ls in runs if k == 0]
+            for unit in {" ".join(x for ls in own for x in ls), *(" ".join(ls) for ls in own), *(x for ls in own for x in ls)} - {""}:
+                first[c, unit] = min(t, first.get((c, unit), t))
+    found = []
+    for c, t, _, runs, _ in read:
+        linked, elsewhere = [], 0
+        for kind, ls in runs:
+            if kind > 0 and ls:
+                asks = [" ".join(ls), *sorted(ls, key=lambda x: -len(x))]
+                hits = [first[c, a] for a in asks if t is not None and first.get((c, a), t) < t]
+                if hits:
+                    linked.append((-kind, hits[0]))
+                else:
+                    elsewhere += any(u == asks[0] and d != c for d, u in first)
+        found.append((max(linked)[1] if linked else None, len(linked), elsewhere))
+    up = {}
+    for (c, t, *_), (reply, *_) in zip(read, found, strict=True):
+        if reply is not None:
+            up[c, t] = min(reply, up.get((c, t), reply))
+    out = []
+    for (c, t, role, runs, own), (reply, linked, elsewhere) in zip(read, found, strict=True):
+        thread, depth = (t, 0) if reply is None else (reply, 1)
+        while reply is not None and (c, thread) in up:
+            thread, depth = up[c, thread], depth + 1
+        out.append((c, t, role, own, reply, thread, depth, sum(k > 0 and bool(ls) for k, ls in runs), linked, elsewhere))
+    return sorted(out, key=repr)
+
+
+def mails(seed=2):
+    """Conversations whose messages quote whole messages, paragraphs or lines of earlier ones, several levels deep."""
+    draw = random.Random(seed)
+    words = ["Yes", "no", "the", "plan", "é", "> x", "data", "on", "Monday", "ok"]
+    made = []
+    for conv in [*range(8), None]:
+        texts = []
+        for turn in range(draw.randint(1, 9)):
+            prose = "\n\n".join("\n".join(" ".join(draw.choice(words) for _ in range(draw.randint(1, 6))) for _ in range(draw.randint(1, 3))) for _ in range(draw.randint(1, 2)))
+            parts = []
+            for source in draw.sample(texts, min(len(texts), draw.randint(0, 2))):
+                lines = source.split("\n")
+                a = draw.randrange(len(lines))
+                some = lines if draw.random() < 0.5 else lines[a : a + draw.randint(1, 3)]
+                parts += [*draw.choice([[], ["On Monday A wrote:"]]), *(draw.choice([">", "> ", " >"]) + line.upper().replace(" ", "  ") for line in some)]
+            texts.append("\n".join([*parts, prose]) if draw.random() < 0.7 else "\n".join([prose, *parts]))
+            made.append((conv, turn, draw.choice(["user", "assistant", None]), texts[-1]))
+    made += [
+        (0, None, "user", "> ok\nnull turn"), (1, 3, "user", "again"), (1, 3, "user", "again"), (50, 0, "user", None), (50, 1, "user", ""), (50, 2, "user", ">\n> \n>>"), (50, 3, "user", "wrote:\n> again"),
+        (60, 0, "user", "z" * 100_000), (60, 1, "user", "> " + "z" * 100_000 + "\r\nreply\r"), (60, 2, "user", ">> " + "Z" * 100_000 + "\n> reply\ndeep"), *((61, k, "user", f"> m{k - 1}\nm{k}") for k in range(40)),
+    ]
+    return made
+
+
+def ordered(df):
+    return sorted((tuple(r) for r in df.select(*NAMES).collect()), key=repr)
+
+
+def test_against_brute_force(spark):
+    given = mails()
+    found = ordered(quotes.conversations(spark.createDataFrame(given, SCHEMA).repartition(3)))
+    assert found == brute(given)
+    assert sum(r[8] > 0 for r in found) > 20 and max(r[6] for r in found) == 39
+
+
+def test_sql_says_the_same(spark):
+    given = mails(4)
+    conversations = pd.DataFrame(given, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"})
+    con = duckdb.connect()
+    con.register("conversations", conversations)
+    found = con.sql(f"SELECT {', '.join(NAMES)} FROM ({quotes.SQL})").fetchall()
+    assert sorted(found, key=repr) == brute(given)
+
+
+def test_clashing_columns_and_no_rows(spark):
+    given = [(*r, "e", "t", "r") for r in mails(6)]
+    found = quotes.conversations(spark.createDataFrame(given, SCHEMA + ", depth string, thread string, _note string"))
+    assert ordered(found) == brute([r[:4] for r in given])
+    assert found.columns.count("depth") == 1 and "_note" in found.columns
+    assert quotes.conversations(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_main_path_is_native(spark):
+    plan = quotes.parse(spark.createDataFrame(mails(), SCHEMA))._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
