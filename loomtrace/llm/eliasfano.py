@@ -93,20 +93,21 @@ class Monotone:
         inside = high <= most
         index, equal = np.full(len(values), self.size, np.int64), np.zeros(len(values), bool)
         rows = np.flatnonzero(inside)
-        # Elements with this high part follow the zero before it.
-        place = np.where(high[rows] > 0, self._select_zero(np.maximum(high[rows] - 1, 0)) + 1, 0)
-        number = place - high[rows]
-        low = values[rows] & np.uint64((1 << self.width) - 1)
-        while len(rows):
-            in_bucket = (self.highs[np.minimum(place >> 3, len(self.highs) - 1)] >> (place & 7).astype(np.uint8)) & 1 == 1
-            own = np.zeros(len(rows), np.uint64)
-            if self.width:
-                own[in_bucket] = unpack(self.lows, self.width, number[in_bucket])
-            ended = ~in_bucket | (own >= low)
-            index[rows[ended]] = number[ended]
-            equal[rows[ended]] = in_bucket[ended] & (own[ended] == low[ended])
-            go = ~ended
-            rows, place, number, low = rows[go], place[go] + 1, number[go] + 1, low[go]
+        # Elements with this high part lie between two zeros; their low parts are searched by halves.
+        high, low = high[rows], values[rows] & np.uint64((1 << self.width) - 1)
+        first = np.where(high > 0, self._select_zero(np.maximum(high - 1, 0)) + 1, 0) - high
+        end = self._select_zero(high) - high
+        bottom, top = first.copy(), end.copy()
+        open_ = np.flatnonzero(bottom < top) if self.width else np.empty(0, np.int64)
+        while len(open_):
+            middle = (bottom[open_] + top[open_]) >> 1
+            less = unpack(self.lows, self.width, middle) < low[open_]
+            bottom[open_[less]] = middle[less] + 1
+            top[open_[~less]] = middle[~less]
+            open_ = open_[bottom[open_] < top[open_]]
+        index[rows] = bottom
+        there = np.flatnonzero(bottom < end)
+        equal[rows[there]] = unpack(self.lows, self.width, bottom[there]) == low[there] if self.width else True
         return index, equal
 
 
