@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -31,8 +30,8 @@ MAGIC = b"DAC1"
 BLOCK_BITS = 512
 #: Ids after which a segment is closed.
 SEGMENT = 1 << 18
-#: Words whose ids a Python worker keeps; beyond it those go that were met once in the batch that brought them.
-CACHE = 1_000_000
+#: Words whose ids a Python worker keeps; beyond it only those of the batch that brings new ones stay.
+CACHE = 900_000
 SEGMENT_SCHEMA = "part int, segment int, part_start long, n_docs long, n_tokens long, payload binary"
 
 
@@ -43,7 +42,7 @@ def default_vocabulary() -> str:
 
 
 class Encoder:
-    """Ids of many texts, as little-endian 32-bit integers, with the ids of common words kept.
+    """Ids of many texts, as little-endian 32-bit integers, with the ids of words kept.
 
     No merge crosses a space that follows anything but white space, so such a
     space and the word after it have ids of their own. The new words of a batch
@@ -51,7 +50,7 @@ class Encoder:
     space. A text with other spaces (at its end, or two together) is encoded whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -62,40 +61,36 @@ class Encoder:
         space = self.tokenizer.pre_tokenizer.pre_tokenize_str(" ")[0][0]
         self.begins = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.begins[[number for token, number in self.tokenizer.get_vocab().items() if token.startswith(space)]] = True
-        self.known: dict[str, bytes] = {}
-        self.rare: list[str] = []
+        self.cache, self.known = cache, {}
 
-    def whole(self, text: str) -> bytes:
-        found = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-        return np.array(found, "<u4").tobytes()
+    def each(self, texts: list[str]) -> list[bytes]:
+        return [np.array(found.ids, "<u4").tobytes() for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, words: list[str]) -> None:
-        buffer = self.whole(" " + " ".join(words))
+        buffer = self.each([" " + " ".join(words)])[0]
         starts = (4 * np.flatnonzero(self.begins[np.frombuffer(buffer, "<u4")])).tolist()
         self.known.update(zip(words, map(buffer.__getitem__, map(slice, starts, [*starts[1:], len(buffer)])), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [text.split(" ") for text in texts]
-        counts = Counter()
-        for words in split:
-            counts.update(words[1:])
-        if len(self.known) > CACHE:
-            for word in self.rare:
-                del self.known[word]
-            self.rare = []
-            if len(self.known) > CACHE // 2:
-                self.known.clear()
-        new = [word for word in counts.keys() - self.known.keys() if word and not word[-1].isspace()]
+        # First words have no space before them and are no words here.
+        firsts = [words.pop(0) for words in split]
+        words = set().union(*split)
+        new = words - self.known.keys()
+        if len(self.known) + len(new) > self.cache:
+            self.known = {word: self.known[word] for word in words - new}
+        # A word that ends with white space is not one; texts that have it are encoded whole.
+        new = [word for word in new if word and not word[-1].isspace()]
         for start in range(0, len(new), 10_000):
             self.learn(new[start : start + 10_000])
-        out = []
-        for text, words in zip(texts, split, strict=True):
-            first = words[0]
+        out, ids = [], self.known.__getitem__
+        for text, first, start, rest in zip(texts, firsts, self.each(firsts), split, strict=True):
             try:
-                out.append(self.whole(first) + b"".join(map(self.known.__getitem__, words[1:])) if not first[-1:].isspace() and (first or len(words) == 1) else self.whole(text))
+                if first[-1:].isspace() or (rest and not first):
+                    raise KeyError(first)
+                out.append(start + b"".join(map(ids, rest)))
             except KeyError:
-                out.append(self.whole(text))
-        self.rare += [word for word in new if counts[word] == 1]
+                out += self.each([text])
         return out
 
 
@@ -196,8 +191,8 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, end: int =
 
         last = struct.pack("<I", end)
         for batch in batches:
-            texts_ = [text or "" for text in batch.column(1).to_pylist()]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder(vocabulary).encode(texts_), strict=True):
+            coded = encoder(vocabulary).encode([text or "" for text in batch.column(1).to_pylist()])
+            for doc_id, ids in zip(batch.column(0).to_pylist(), coded, strict=True):
                 ids += last
                 held.append(doc_id)
                 lengths.append(len(ids) // 4)
