@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -12,10 +13,19 @@ from pyspark.sql import types as T
 FALSY = ['""', "false", "0", "[]", "{}", "null"]
 
 
+def let(value: Column, make: Callable[[Column], Column]) -> Column:
+    """`make(value)` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
+
+
+def keep(value: Column, test: Callable[[Column], Column]) -> Column:
+    """The value where the test holds, else null."""
+    return F.get(F.filter(F.array(value), test), F.lit(0))
+
+
 def field(value: Column | str, path: str) -> Column:
     """A field as a variant; null where it is missing or JSON's null."""
-    found = F.try_variant_get(value, path, "variant")
-    return F.when(~F.is_variant_null(found), found)
+    return keep(F.try_variant_get(value, path, "variant"), lambda v: ~F.is_variant_null(v))
 
 
 def kind(value: Column) -> Column:
@@ -24,22 +34,21 @@ def kind(value: Column) -> Column:
 
 def string(value: Column | str, path: str = "$") -> Column:
     """A string field; null for other types, which a plain cast would turn into text."""
-    return F.when(kind(field(value, path)) == "STRING", F.try_variant_get(value, path, "string"))
+    return keep(F.try_variant_get(value, path, "variant"), lambda v: kind(v) == "STRING").cast("string")
 
 
 def filled(value: Column | str, path: str = "$") -> Column:
-    return F.nullif(string(value, path), F.lit(""))
+    return let(string(value, path), lambda text: F.nullif(text, F.lit("")))
 
 
 def truthy(value: Column) -> Column:
     """The variant, null if it counts as false."""
-    return F.when(~F.to_json(value).isin(FALSY), value)
+    return keep(value, lambda v: ~F.to_json(v).isin(FALSY))
 
 
 def items(value: Column, path: str = "$") -> Column:
     """A list field as an array of variants; null for other types."""
-    found = field(value, path)
-    return F.when(F.startswith(kind(found), F.lit("ARRAY")), F.try_variant_get(value, path, "array<variant>"))
+    return F.try_variant_get(value, path, "array<variant>")
 
 
 def is_object(value: Column) -> Column:
@@ -48,20 +57,23 @@ def is_object(value: Column) -> Column:
 
 def parsed(value: Column) -> Column:
     """A string that is JSON as what it says; everything else as it is."""
-    text = F.when(kind(value) == "STRING", value.cast("string"))
-    return F.coalesce(F.try_parse_json(text), value)
+    return let(value, lambda v: F.coalesce(F.when(kind(v) == "STRING", F.try_parse_json(v.cast("string"))), v))
 
 
 def shown(value: Column) -> Column:
     """A value as a template shows it: text as it is, True, False and None."""
-    return (
-        F.when(value.isNull(), "None").when(kind(value) == "STRING", value.cast("string"))
-        .when(kind(value) == "BOOLEAN", F.initcap(F.to_json(value))).otherwise(F.to_json(value))
-    )
+    return let(value, lambda v: (
+        F.when(v.isNull(), "None").when(kind(v) == "STRING", v.cast("string"))
+        .when(kind(v) == "BOOLEAN", F.initcap(F.to_json(v))).otherwise(F.to_json(v))
+    ))
+
+
+def shown_or_null(value: Column) -> Column:
+    return let(value, lambda v: F.when(v.isNotNull(), shown(v)))
 
 
 def or_mark(value: Column, mark: str = "?") -> Column:
-    return F.when(truthy(value).isNotNull(), shown(value)).otherwise(mark)
+    return F.coalesce(shown_or_null(truthy(value)), F.lit(mark))
 
 
 TEXTS = ["arguments", "sorted_arguments", "key", "output", "sorted_output", "targets", "result"]
