@@ -26,7 +26,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,15 +95,16 @@ def flight(p: list[float], x: list[float], random: np.random.Generator, landing:
 def _settle(units: DataFrame, turn: int, seed: int) -> DataFrame:
     """One flight in each (source, block); p becomes 0 or 1 but for two documents of a block that isn't its source's only one."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["mix_order", "doc_id", "size"], kind="stable", na_position="first")
-        name = pdf["source"].iloc[0]
-        key = f"{'-' if name is None else '+' + str(name)}\0{pdf['block'].iloc[0]}\0{turn}\0{seed}".encode()
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(name, "ascending") for name in ("mix_order", "doc_id", "size")])
+        name = table["source"][0].as_py()
+        key = f"{'-' if name is None else '+' + name}\0{table['block'][0].as_py()}\0{turn}\0{seed}".encode()
         random = np.random.default_rng([zlib.crc32(key), len(key), zlib.adler32(key)])
-        return pdf.assign(p=flight(pdf["p"].tolist(), pdf["size"].astype(float).tolist(), random, int(pdf["blocks"].iloc[0]) == 1))
+        p = flight(table["p"].to_pylist(), table["size"].cast(pa.float64()).to_pylist(), random, table["blocks"][0].as_py() == 1)
+        return table.set_column(table.schema.get_field_index("p"), "p", pa.array(p))
 
     ship(units.sparkSession)
-    return units.groupBy("source", "block").applyInPandas(run, units.schema)
+    return units.groupBy("source", "block").applyInArrow(run, units.schema)
 
 
 def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 0, block: int = BLOCK) -> DataFrame:
