@@ -16,6 +16,8 @@ from .. import vocabulary as V
 from ..functions import text as X
 from ..operators import events as E
 from ..session import table
+from ..sources.bodies import stream_events
+from . import cases, messages, report, rollouts
 
 
 
@@ -230,3 +232,112 @@ def time_formats(spark, sf_dir):
     """X23, X24"""
     iso = F.substring(X.iso_millis(F.floor(X.seconds(F.concat(F.col("ts").cast("string"), F.lit("Z"))))), 1, 19)
     return table(spark, sf_dir, "events").select("event_id", iso.alias("iso"), F.floor(X.seconds(F.concat(iso, F.lit("Z")))).cast("long").alias("seconds"))
+
+
+def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation as a streamed response: a finished text for each turn."""
+    turn = F.to_json(F.struct("text", F.concat(F.lit("i"), F.col("event_index").cast("string")).alias("item_id")))
+    blocks = chat(spark, sf_dir).withColumn("block", F.concat(F.lit("event: response.output_text.done\ndata: "), turn, F.lit("\n\n")))
+    return E.joined_in_order(blocks, "block", ["session_id"], separator="", name="body").withColumnRenamed("session_id", "key")
+
+
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation as the messages of one request."""
+    message = F.to_json(F.struct("role", F.col("text").alias("content")))
+    joined = E.joined_in_order(chat(spark, sf_dir).withColumn("m", message), "m", ["session_id"], separator=", ", name="m")
+    return joined.select(F.col("session_id").alias("key"), F.parse_json(F.concat(F.lit('{"messages": ['), "m", F.lit("]}"))).alias("payload"))
+
+
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log as rollout entries: a user's file names turns (signup) and models (view), asks (click), calls (purchase) and ends calls (error)."""
+    events = log(spark, sf_dir)
+    call, name = F.concat(F.lit("c"), F.get_json_object("props", "$.k")), F.concat(F.lit("tool"), F.col("event_id").cast("string"))
+    text = lambda **parts: F.to_json(F.struct(*[(p if isinstance(p, Column) else F.lit(p)).alias(n) for n, p in parts.items()]))
+    payload = (
+        F.when(user(), text(type="task_started", turn_id=F.concat(F.lit("t"), F.col("event_id").cast("string")))).when(F.col("event_type") == "view", text(model=F.col("props")))
+        .when(prompt(), text(type="user_message", message=F.col("props"))).when(action(), text(type="custom_tool_call", call_id=call, name=name, input="{}")).otherwise(text(type="exec_command_end", call_id=call, stdout="o"))
+    )
+    kind = F.when(user() | prompt() | output(), "event_msg").when(F.col("event_type") == "view", "turn_context").otherwise("response_item")
+    value = F.parse_json(F.concat(F.lit('{"type": "'), kind, F.lit('", "payload": '), payload, F.lit("}")))
+    return events.select(F.col("session_id").alias("path"), F.col("event_index").alias("entry_index"), value.alias("value"), F.lit(False).alias("request_backfill"), F.lit(False).alias("response_backfill"))
+
+
+def _recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log as recorded events: what users say, what tools put out, and actions that run or remove something."""
+    events = log(spark, sf_dir)
+    kinds = F.when(user(), "user_input").when(output(), "tool_call_result").when(action(), "tool_call_requested").when(prompt(), "request_user_message").otherwise("request_system_message")
+    k, call = F.get_json_object("props", "$.k"), F.concat(F.lit("c"), F.col("event_id").cast("string"))
+    json = lambda *parts: F.to_json(F.struct(*parts))
+    command = F.concat(F.when(k.cast("int") % 2 == 0, "rm -rf /data/").otherwise("cat /data/"), k)
+    content = (
+        F.when(output(), json(F.concat(F.lit("you must run "), k).alias("output"), call.alias("tool_call_id")))
+        .when(action(), json(F.lit("exec_command").alias("tool_name"), call.alias("tool_call_id"), F.struct(command.alias("cmd")).alias("arguments"))).otherwise(json(F.concat(F.lit("look at /data/"), k).alias("text")))
+    )
+    raw = F.concat(F.lit('{"event_type": "'), kinds, F.lit('", "content": '), content, F.lit("}"))
+    none = F.lit(None).cast("string")
+    return events.select(
+        F.col("session_id").cast("string").alias("session_id"), "event_index", kinds.alias("event_type"), none.alias("timestamp"), F.col("event_id").cast("string").alias("event_id"), none.alias("turn_id"),
+        F.parse_json(content).alias("content"), F.lit(None).cast("variant").alias("actor"), F.lit(None).cast("variant").alias("platform_metadata"), raw.alias("raw"),
+    )
+
+
+@query("SELECT session_id AS key, event_index AS block, 'response.output_text.done' AS event, text FROM chat")
+def sse_parse(spark, sf_dir):
+    """S12"""
+    return stream_events(_bodies(spark, sf_dir)).select("key", F.col("block").cast("long").alias("block"), "event", F.try_variant_get("data", "$.text", "string").alias("text"))
+
+
+@query("SELECT session_id AS key, event_index AS item, text, 'i' || event_index AS item_id FROM chat")
+def stream_canonicalize(spark, sf_dir):
+    """C6, D4"""
+    found = messages.response_streams(_bodies(spark, sf_dir)).where("event_type = 'assistant_text_final'")
+    return found.select("key", "item", F.get_json_object("content", "$.text").alias("text"), F.get_json_object("content", "$.item_id").alias("item_id"))
+
+
+@query("SELECT session_id AS key, event_index AS item, CASE event_type WHEN 'assistant_text_final' THEN 'request_assistant_message' ELSE event_type END AS event_type, text FROM chat")
+def request_canonicalize(spark, sf_dir):
+    """C1, C2, W10"""
+    return messages.requests(_requests(spark, sf_dir)).select("key", "item", "event_type", F.get_json_object("content", "$.text").alias("text"))
+
+
+@query("""SELECT path, entry_index, CASE WHEN called IS NULL THEN 'exec_command' ELSE 'tool' || called END AS tool, 't' || turn AS turn_id FROM (
+          SELECT session_id AS path, event_index AS entry_index, event_type, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER calls AS called,
+          last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER turns AS turn FROM log
+          WINDOW calls AS (PARTITION BY session_id, props ORDER BY event_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+          turns AS (PARTITION BY session_id ORDER BY event_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) WHERE event_type = 'error'""")
+def rollout_canonicalize(spark, sf_dir):
+    """C17, C18, C19, W4, J2"""
+    found = rollouts.canonical(_entries(spark, sf_dir)).where("event_type = 'tool_call_result'")
+    return found.select("path", "entry_index", F.get_json_object("content", "$.tool_name").alias("tool"), "turn_id")
+
+
+@query(f""", {LAST_USER}, acts AS (SELECT *, json_extract(props, '$.k')::INT % 2 = 0 AS removes FROM last WHERE event_type = 'purchase'), outs AS (
+           SELECT a.session_id, a.event_index, least(count(o.event_index), 4) AS n FROM acts a LEFT JOIN log o ON o.session_id = a.session_id AND o.event_type = 'error' AND o.event_index < a.event_index AND o.event_index > coalesce(a.last_user_index, -1) GROUP BY ALL)
+           SELECT session_id || ':action_' || CASE WHEN a.event_index < 10000 THEN lpad(a.event_index::VARCHAR, 4, '0') ELSE a.event_index::VARCHAR END AS case_id, last_user_index, n::BIGINT AS outputs, n > 0 AS confused, removes AS destructive, NOT removes AS read_only,
+           array_to_string(list_filter([CASE WHEN removes THEN 'irreversibility_mismatch' END, CASE WHEN removes THEN 'implicit_permission_inference' END, CASE WHEN n > 0 THEN 'confused_authorization_source' END], lambda x: x IS NOT NULL), ',') AS categories
+           FROM acts a JOIN outs USING (session_id, event_index)""")
+def case_extraction(spark, sf_dir):
+    """Q-CASES; without cross_resource_leak, which depends on which resources were named"""
+    hints, source = "heuristic_hints", "source_analysis"
+    kept = F.filter(f"{hints}.suspected_categories", lambda c: c != "cross_resource_leak")
+    return cases.build(_recorded(spark, sf_dir)).select(
+        "case_id", F.col("authorization_window.last_actual_user_event_index").alias("last_user_index"), F.col(f"{source}.tool_outputs_since_last_user_message").cast("long").alias("outputs"),
+        F.col(f"{source}.possible_confused_source").alias("confused"), F.col(f"{hints}.destructive_action").alias("destructive"), F.col(f"{hints}.read_only_action").alias("read_only"), F.array_join(kept, ",").alias("categories"),
+    )
+
+
+def session_report(spark, sf_dir):
+    """Q-REPORT: the report of each session of the log"""
+    events = _recorded(spark, sf_dir)
+    manifests = events.select("session_id").distinct().withColumn("manifest", F.parse_json(F.lit('{"agent": "a"}')))
+    return report.build(events, manifests)
+
+
+def case_review(spark, sf_dir):
+    """Q-REVIEW"""
+    events = _recorded(spark, sf_dir)
+    manifests = events.select("session_id").distinct().withColumn("manifest", F.parse_json(F.lit('{"agent": "a"}')))
+    return cases.review(cases.build(events), manifests)
+
+
+QUERIES |= {"session_report": session_report, "case_review": case_review}

@@ -30,3 +30,8 @@ def test_query(spark, data, sql, name):
     got = rows(df.columns, map(tuple, df.collect()))
     assert got == rows(want.columns, want.fetchall())
     assert got[1] or name == "anti_no_error"  # no session may be without errors in a small table
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES.keys() - ORACLES.keys()))
+def test_query_without_sql(spark, data, name):
+    assert QUERIES[name](spark, data).count() > 0
