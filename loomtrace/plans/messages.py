@@ -67,12 +67,12 @@ def block_events(value: Column, role: Column, target: tuple, text_type: Column,
 def _block_events(blocks: Column, role: Column, target: tuple, text_type: Column, result_type: Column, index: Column | None) -> Column:
     kind = lambda b: J.string(b, "$.type")
     is_text = lambda b: J.field(b, "$.type").isNull() | kind(b).isin(BLOCK_TEXT)
-    said = lambda b: F.when(J.field(b, "$.type").isNull(), M.text(b)).otherwise(M.text(J.field(b, "$.text")))
+    said = lambda b: F.when(J.field(b, "$.type").isNull(), M.text(b)).otherwise(M.text(J.field(b, "$.text"), depth=1))
     at = {"message_index": index} if index is not None else {}
 
     def one(block: Column, place: Column) -> Column:
         common = {"block_index": place} | at
-        thought = M.text(F.coalesce(J.truthy(J.field(block, "$.thinking")), J.field(block, "$.text")))
+        thought = M.text(F.coalesce(J.truthy(J.field(block, "$.thinking")), J.field(block, "$.text")), depth=1)
         hidden = (kind(block) == "redacted_thinking") & (thought == "")
         reasoning = F.when(kind(block).isin("thinking", "redacted_thinking") & ((thought != "") | hidden), M.event("assistant_reasoning_final", M.ASSISTANT, target, M.content(**common, text=F.nullif(thought, F.lit("")), has_encrypted_content=F.when(hidden, True))))
         tool, arguments = J.string(block, "$.name"), J.field(block, "$.input")
@@ -125,7 +125,7 @@ def item_requests(payloads: DataFrame) -> DataFrame:
     role, at = F.coalesce(J.string("value", "$.role"), F.lit("unknown")), {"message_index": F.col("item")}
     model, output, tool = ("model", F.col("model")), J.field("value", "$.output"), F.coalesce(F.nullif("made.name", F.lit("")), F.col("name"))
     message = M.event(_by_role(role, developer="request_system_message"), (role, role), model, M.content(**at, role=role, text=M.text(J.field("value", "$.content"))))
-    thought = M.content(**at, summary_text=M.text(J.field("value", "$.summary")), has_encrypted_content=J.truthy(J.field("value", "$.encrypted_content")).isNotNull(), reasoning_id=J.truthy(J.field("value", "$.id")))
+    thought = M.content(**at, summary_text=M.text(J.field("value", "$.summary"), depth=1), has_encrypted_content=J.truthy(J.field("value", "$.encrypted_content")).isNotNull(), reasoning_id=J.truthy(J.field("value", "$.id")))
     result = M.event("tool_call_result", ("tool", F.col("call")), model, M.content(**at, tool_call_id=F.col("call"), tool_name=tool, output=M.text(output)))
     of = lambda name, *rules: [F.when(F.col("type") == name, rule) for rule in rules]
     events = M.events(
@@ -226,7 +226,7 @@ def item_streams(blocks: DataFrame) -> DataFrame:
     # A text is final once: an item that repeats it later is left out.
     shown = E.as_of(blocks.withColumn("_id", F.coalesce(F.when(done, string("item_id")), J.string(item, "$.id"))), ["key", "_id"], F.when(done, True), "_seen", "block")
     seen = F.coalesce(F.col("_seen") & F.col("_id").isNotNull(), F.lit(False))
-    kind, event, summary = J.string(item, "$.type"), F.col("event"), M.text(J.field(item, "$.summary"))
+    kind, event, summary = J.string(item, "$.type"), F.col("event"), M.text(J.field(item, "$.summary"), depth=1)
     say = lambda name, where, what: F.when((event == name) & where, what)
     ended, told = event == "response.output_item.done", lambda name: J.truthy(get(name)).isNotNull()
     calls = M.requested(J.string(item, "$.name"), M.first(item, "call_id", "id"), J.parsed(J.field(item, "$.arguments")))
