@@ -183,8 +183,10 @@ def scores(docs: DataFrame, prior: float = PRIOR) -> DataFrame:
     size = packed.agg(F.sum("n_tokens")).first()[0] or 0
     shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD))
     words = cut(vocabulary(packed, shards))
-    totals = words.groupBy("shard").agg(F.first("total").alias("total"), F.first("known").alias("known")).agg(F.sum("total"), F.sum("known")).first()
+    totals = words.groupBy("shard").agg(F.first("total").alias("total"), F.first("known").alias("known")).agg(F.sum("total"), F.sum("known"), F.max("known")).first()
     tokens, known = totals[0] or 0, totals[1] or 0
+    if (totals[2] or 0) * shards >= 1 << 32:
+        raise ValueError(f"{known} different words can't be numbered in 32 bits")
     state = packed.drop("words", "train", "n_tokens")
 
     def ask(left: pa.Table, right: pa.Table) -> pa.Table:
