@@ -8,7 +8,8 @@ pooled by language, then all together) the minimum covariance determinant is
 estimated over all of the cell's documents: from medians and quartile ranges,
 concentration steps keep the 60% of documents with the least Mahalanobis
 distance and estimate mean and covariance again. A document is rejected when
-its squared distance under the final estimate passes `CUT`.
+its squared distance under the final estimate passes `CUT` times a consistency
+factor, as the covariance of the nearest 60% is too small for all.
 
 Each step is a grouped sum; a hot cell is summed in parts before the shuffle.
 Sums are of integers (statistics in thousandths) and distances are compared in
@@ -35,13 +36,15 @@ SYMBOLS = "#*$%&|<>"
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: Documents that a cell has at least, or it is pooled.
 CELL = 200
-#: Share of a cell's documents that concentration keeps, its steps, and the squared distance that rejects.
-KEEP, STEPS, CUT = 0.6, 4, 30.0
+#: Share of a cell's documents that concentration keeps, its steps, and the squared distance that rejects:
+#: the 0.999 quantile of chi-square with four degrees of freedom.
+KEEP, STEPS, CUT = 0.6, 4, 18.467
 #: The median of the squared distance of four normal variables.
 MEDIAN = 3.357
 #: The transformed statistics and the least standard deviation of each, in thousandths: most texts
-#: of a cell have no symbol and no repetition, and their spread alone would be none.
-FLOORS = {"word_length": 80, "symbol_share": 300, "line_share": 1000, "repeat_share": 1000}
+#: of a cell have no symbol and no repetition, and their spread alone would be none. The base rule bounds
+#: repeat_share to 2400 and line_share to 5300 over none, so their floors are small enough that each can pass `CUT`.
+FLOORS = {"word_length": 80, "symbol_share": 300, "line_share": 400, "repeat_share": 400}
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 WORDS = re.compile(WORD)
 

@@ -66,6 +66,22 @@ def test_estimate_is_the_concentrated_one(spark):
     assert np.allclose(fitted["mean"], mean) and np.allclose(np.reshape(fitted.inverse, (4, 4)), inverse)
 
 
+def test_repetition_below_the_base_rule_goes(spark):
+    """45 % of the words are one repeated line of five words, or a repeated passage within one line."""
+    draw = np.random.default_rng(8)
+    made = []
+    for n in range(400):
+        lines = [prose(draw, 5) for _ in range(40)]
+        if n % 10 == 3:
+            lines[:18] = [lines[0]] * 18
+        if n % 10 == 7:
+            lines = [" ".join([lines[0]] * 18 + lines[18:])]
+        made.append((n, "\n".join(lines), "en", "a", 1))
+    found = quality.verdicts(table(spark, made)).collect()
+    assert not any(r.base_failed for r in found)
+    assert [r.doc_id for r in found if r.kept != (r.doc_id % 10 not in (3, 7))] == []
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert quality.verdicts(empty).count() == 0 and quality.good(empty).count() == 0
