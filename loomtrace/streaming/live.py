@@ -15,54 +15,68 @@ from ..plans import rollouts
 from ..session import ship
 
 CARRIED = "path string, entry_index long, timestamp string, type string, kind string, payload string, call string, name string, arguments string, request_backfill boolean, response_backfill boolean"
-STATE = "turn_id string, model string, thread_id string, made_name string, made_arguments string"
-CURSOR = "turn string, model string, thread string, names string, arguments string"
+STATE = "turn_id string, model string, thread_id string, made_name string, made_arguments string, generation long"
+CURSOR = "turn string, model string, thread string, names string, arguments string, generation long"
 
 
 def _advance(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Entries of one file in order, with what earlier ones said; the state goes on to the next batch."""
-    turn, model, thread, names, arguments = state.get if state.exists else (None, None, None, "{}", "{}")
+    """Entries of one file in order, with what earlier ones said; the state goes on to the next batch.
+
+    A file whose first line comes again was truncated and written anew: it starts its next generation with no state.
+    """
+    turn, model, thread, names, arguments, generation = state.get if state.exists else (None, None, None, "{}", "{}", 0)
     names, arguments = json.loads(names), json.loads(arguments)
     rows = pd.concat(list(parts)).sort_values("entry_index")
-    found = []
-    for row in rows.where(rows.notna(), None).itertuples(index=False):
+    if state.exists and rows["entry_index"].iloc[0] == 0:
+        turn, model, thread, names, arguments, generation = None, None, None, {}, {}, generation + 1
+    rows, found = rows[rows["payload"].str.startswith("{", na=False)], []
+    for row in rows.astype(object).where(rows.notna(), None).itertuples(index=False):
         turn, thread = row.own_turn or turn, thread or row.own_thread
         model = row.context_model or model or row.meta_model
-        found.append(("" if row.own_turn == "" else turn, model, thread, names.get(row.call), arguments.get(row.call)))
+        found.append(("" if row.own_turn == "" else turn, model, thread, names.get(row.call), arguments.get(row.call), generation))
         if row.call is not None and row.learn_name is not None:
             names[row.call] = row.learn_name
         if row.call is not None and row.learn_arguments is not None:
             arguments[row.call] = row.learn_arguments
-    state.update((turn, model, thread, json.dumps(names), json.dumps(arguments)))
+    state.update((turn, model, thread, json.dumps(names), json.dumps(arguments), generation))
     own = rows[[part.split()[0] for part in CARRIED.split(", ")]].reset_index(drop=True)
     yield pd.concat([own, pd.DataFrame(found, columns=[part.split()[0] for part in STATE.split(", ")])], axis=1)
 
 
 def entries(lines: DataFrame) -> DataFrame:
-    """Tailed lines (path, offset, line) as rollout entries; the offset is the order."""
+    """Tailed lines (path, offset, line) as rollout entries; the offset is the order.
+
+    The first line of a file stays whatever it holds, as its coming again tells that the file was truncated.
+    """
     parsed = lines.select("path", F.col("offset").alias("entry_index"), F.try_parse_json("line").alias("value"))
-    return parsed.where(J.is_object(F.col("value")))
+    return parsed.where(F.coalesce(J.is_object(F.col("value")), F.lit(False)) | (F.col("entry_index") == 0))
 
 
 def rollout_events(entries: DataFrame) -> DataFrame:
-    """The events of a stream of rollout entries, as `rollouts.canonical` gives them for the whole files."""
+    """The events of a stream of rollout entries, as `rollouts.canonical` gives them for the whole files, with the
+    generation of their file: how often it was truncated and written anew."""
     ship(entries.sparkSession)
-    rows = rollouts.fields(entries)
+    rows = rollouts.fields(entries, F.col("entry_index") == 0)
     text = {name: F.to_json(name) for name in ("payload", "arguments", "learn_arguments")}
     flat = rows.withColumns(text)
     known = flat.groupBy("path").applyInPandasWithState(_advance, f"{CARRIED}, {STATE}", CURSOR, "append", "NoTimeout")
-    return rollouts.emit(known.withColumns({name: F.parse_json(name) for name in ("payload", "arguments", "made_arguments")}))
+    return rollouts.emit(known.withColumns({name: F.parse_json(name) for name in ("payload", "arguments", "made_arguments")}), "generation")
 
 
 def once(events: DataFrame) -> DataFrame:
-    """A stream of events (session_id, event_type, content as JSON text) with one event of each call, type and delivery state.
+    """A stream of events (event_type, content as JSON text, path, entry_index, emit) with one event of each session,
+    call, type and delivery state.
 
-    Rows without a call and of other types all stay: their key is their own place. The set of keys is kept for ever.
+    The session is session_id where events have it, else thread_id, else their file and its generation. Rows without a
+    call and of other types all stay: their key is their own place in a generation. The set of keys is kept for ever.
     """
     call = F.nullif(F.get_json_object("content", "$.tool_call_id"), F.lit(""))
     keyed = call.isNotNull() & F.col("event_type").isin(V.KEYED_TYPES)
     state = F.when(F.col("event_type") == "subagent_message", F.coalesce(F.get_json_object("content", "$.delivery_state"), F.lit(""))).otherwise("")
-    key = F.when(keyed, F.concat_ws("\0", F.lit("call"), "event_type", call, state)).otherwise(F.concat_ws("\0", F.lit("row"), "path", "entry_index", "emit"))
+    file = F.concat_ws("\0", *[name for name in ("path", "generation") if name in events.columns])
+    named = [F.when(F.col(name) != "", F.concat_ws("\0", F.lit(name), name)) for name in ("session_id", "thread_id") if name in events.columns]
+    session = F.coalesce(*named, F.concat_ws("\0", F.lit("file"), file))
+    key = F.when(keyed, F.concat_ws("\0", F.lit("call"), session, "event_type", call, state)).otherwise(F.concat_ws("\0", F.lit("row"), file, "entry_index", "emit"))
     return events.withColumn("_key", key).dropDuplicates(["_key"]).drop("_key")
 
 

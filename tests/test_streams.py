@@ -72,6 +72,33 @@ def test_a_stream_says_what_the_batch_says(spark, tmp_path):
     assert [r[1:] for r in got if "tool_call" not in r[4] and "subagent" not in r[4]] == [r[1:] for r in want if "tool_call" not in r[4] and "subagent" not in r[4]]
 
 
+def test_sessions_with_equal_calls_and_a_file_written_anew(spark, tmp_path):
+    """Two sessions use one call id; then a file is truncated, and starts with a line of no entry."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    line = lambda kind, **payload: json.dumps({"timestamp": "t", "type": kind, "payload": payload}) + "\n"
+    call = line("response_item", type="function_call", call_id="c", name="f", arguments="{}")
+    spark.dataSource.register(TailSource)
+
+    def run():
+        stream = live.entries(spark.readStream.format("loomtrace_tail").option("path", f"{folder}/*.jsonl").load())
+        stream = stream.withColumn("request_backfill", F.lit(True)).withColumn("response_backfill", F.lit(True))
+        live.append(live.once(live.rollout_events(stream)), f"{tmp_path}/out", f"{tmp_path}/checkpoint", {"availableNow": True}).awaitTermination(120)
+        return spark.read.parquet(f"{tmp_path}/out")
+
+    for name in ("a", "b"):
+        (folder / f"{name}.jsonl").write_text(line("session_meta", id=name) + line("turn_context", turn_id=f"turn-{name}") + call + line("event_msg", type="user_message", message="old"))
+    asked = lambda events: sorted(r.thread_id for r in events.where("event_type = 'tool_call_requested'").collect())
+    assert asked(run()) == ["a", "b"]
+    (folder / "a.jsonl").write_text("x\n" + line("session_meta", id="new") + call)
+    assert asked(run()) == ["a", "b", "new"]
+    (folder / "a.jsonl").write_text(line("session_meta", id="last"))
+    events = run()
+    again = {(r.thread_id, r.turn_id, r.event_type, r.generation) for r in events.where("generation > 0").collect()}
+    assert {("new", None, "tool_call_requested", 1), ("new", None, "codex_session_meta", 1), ("last", None, "codex_session_meta", 2)} <= again
+    assert events.where("event_type = 'codex_session_meta'").count() == 4 and events.where("event_type = 'user_input'").count() == 2
+
+
 def test_command_line_and_sinks(spark, tmp_path):
     for name in ("s1", "s2"):
         folder = tmp_path / "sessions" / name
