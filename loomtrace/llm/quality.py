@@ -3,11 +3,13 @@
 Base statistics count words, their code points, symbols, repeated lines and
 repeated 3-word windows; a text with fewer than 50 words, or with more than
 half of its words in repeated windows, fails at once. The others get a vector
-of transformed statistics. For each cell (language and source; small ones are
-pooled by language, then all together) the minimum covariance determinant is
-estimated over all of the cell's documents: from medians and quartile ranges,
-concentration steps keep the 60% of documents with the least Mahalanobis
-distance and estimate mean and covariance again. A document is rejected when
+of transformed statistics. For each cell (a language and source, and a whole
+language) the minimum covariance determinant is estimated over all of the
+cell's documents: from medians and quartile ranges, concentration steps keep
+the 60% of documents with the least Mahalanobis distance and estimate mean and
+covariance again. The estimate of a language and source with n documents then
+weighs n / (n + `PRIOR`), that of its language the rest, whatever the sizes;
+other languages have no part in it. A document is rejected when
 its squared distance under the final estimate passes `CUT` times a consistency
 factor, as the covariance of the nearest 60% is too small for all.
 
@@ -34,8 +36,8 @@ from .common import WORD, cut, map_arrow, ship
 
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS, MOST_REPEATED = 50, 50
-#: Documents that a cell has at least, or it is pooled.
-CELL = 200
+#: Documents that the estimate of a language counts as beside those of one of its sources.
+PRIOR = 200
 #: Share of a cell's documents that concentration keeps, its steps, and the squared distance that rejects:
 #: the 0.999 quantile of chi-square with four degrees of freedom.
 KEEP, STEPS, CUT = 0.6, 4, 18.467
@@ -101,18 +103,13 @@ def _octaves(distance: Column) -> Column:
     return F.round(16 * F.log2(1 + F.greatest(distance, F.lit(0.0)))).cast("int")
 
 
-def cells(judged: DataFrame) -> DataFrame:
-    """lang, source and the cell of each that has documents past the base rule."""
-    sizes = judged.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    small = F.col("n") < CELL
-    pools = sizes.where(small).groupBy("lang").agg(F.sum("n").alias("pool")).withColumnRenamed("lang", "of")
-    pooled = sizes.join(pools, F.col("lang").eqNullSafe(F.col("of")), "left")
-    # A null language and the language "null" differ, as JSON leaves null fields out.
-    cell = F.when(~small, F.to_json(F.struct(F.lit(1).alias("by"), "lang", "source"))).when(F.col("pool") >= CELL, F.to_json(F.struct(F.lit(2).alias("by"), "lang"))).otherwise("all")
-    return pooled.select("lang", "source", cell.alias("cell"))
+def _cells() -> list[Column]:
+    """The two cells of a document. A null language and the language "null" differ, as JSON leaves null fields out."""
+    return [F.to_json(F.struct(F.lit(1).alias("by"), "lang", "source")), F.to_json(F.struct(F.lit(2).alias("by"), "lang"))]
 
 
 ESTIMATE = "cell string, mean array<double>, inverse array<double>"
+SHRUNK = "_lang string, _source string, mean array<double>, inverse array<double>, spread double"
 
 
 def _estimates(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -135,12 +132,25 @@ def _from_quartiles(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["cell", "mean", "inverse"])
 
 
+def _shrunk(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The estimates of sources, each drawn towards that of its language: mean and covariance of the two mixed by weight."""
+    size, rows = len(FLOORS), []
+    for row in pdf.itertuples(index=False):
+        weight = row.n / (row.n + PRIOR)
+        own, whole = np.array(row.mean, float), np.array(row.mean_2, float)
+        covariances = [np.linalg.inv(np.array(inverse, float).reshape(size, size)) for inverse in (row.inverse, row.inverse_2)]
+        between = weight * (1 - weight) * np.outer(own - whole, own - whole)
+        inverse = np.linalg.inv(weight * covariances[0] + (1 - weight) * covariances[1] + between)
+        rows.append((row.lang, row.source, (weight * own + (1 - weight) * whole).tolist(), inverse.ravel().tolist(), weight * row.spread + (1 - weight) * row.spread_2))
+    return pd.DataFrame(rows, columns=["_lang", "_source", "mean", "inverse", "spread"])
+
+
 def fit(counted: DataFrame) -> DataFrame:
     """The estimates for each language and source of `counted` (statistics with lang and source): lang, source, mean, inverse, spread."""
     ship(counted.sparkSession)
     judged = counted.where(~F.col("base_failed")).select("lang", "source", *_vector())
-    of = cells(judged).withColumnsRenamed({"lang": "_lang", "source": "_source"})
-    vectors = cut(judged.join(of, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))).select("cell", *FLOORS))
+    sizes = judged.groupBy("lang", "source").agg(F.count("*").alias("n")).withColumns(dict(zip(("cell", "cell_2"), _cells(), strict=True)))
+    vectors = cut(judged.select(F.explode(F.array(*_cells())).alias("cell"), *FLOORS))
     # Statistics are whole thousandths, so a cell has a bounded number of values.
     quartiles = vectors.groupBy("cell").agg(F.array(*(F.percentile(name, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) for name in FLOORS)).alias("quartiles"))
     estimate = cut(quartiles.mapInPandas(lambda parts: map(_from_quartiles, parts), ESTIMATE))
@@ -152,8 +162,9 @@ def fit(counted: DataFrame) -> DataFrame:
         estimate = cut(sums.mapInPandas(lambda parts: map(_estimates, parts), ESTIMATE))
     # The concentrated covariance is too small for the whole cell; the median distance tells by how much.
     far = vectors.join(estimate, "cell").groupBy("cell").agg((F.pow(F.lit(2.0), F.percentile(_octaves(_distance()), F.lit(0.5)) / 16) - 1).alias("median"))
-    spread = F.greatest(F.col("median") / MEDIAN, F.lit(1.0))
-    return cut(of.join(estimate, "cell").join(far, "cell").select("_lang", "_source", "mean", "inverse", spread.alias("spread")))
+    known = cut(estimate.join(far, "cell").select("cell", "mean", "inverse", F.greatest(F.col("median") / MEDIAN, F.lit(1.0)).alias("spread")))
+    met = sizes.join(known, "cell").join(known.toDF("cell_2", "mean_2", "inverse_2", "spread_2"), "cell_2").drop("cell", "cell_2")
+    return cut(met.mapInPandas(lambda parts: map(_shrunk, parts), SHRUNK))
 
 
 def judge(counted: DataFrame, estimates: DataFrame) -> DataFrame:

@@ -82,6 +82,16 @@ def test_repetition_below_the_base_rule_goes(spark):
     assert [r.doc_id for r in found if r.kept != (r.doc_id % 10 not in (3, 7))] == []
 
 
+def test_rare_languages_and_sources_have_estimates_of_their_own(spark):
+    """Words of a rare language, and of a rare source of a common one, are twice as long; three texts of the language are not its own."""
+    draw = np.random.default_rng(9)
+    long = lambda: " ".join("".join(draw.choice(list("etaoinshrd"), draw.integers(7, 14))) for _ in range(120))
+    made = [(n, prose(draw, 120), "en", "a", 1) for n in range(400)] + [(1000 + n, long(), "fi", "rare", 1) for n in range(30)]
+    made += [(2000 + n, prose(draw, 120), "fi", "rare", 1) for n in range(3)] + [(3000 + n, long(), "en", "rare", 1) for n in range(20)]
+    found = quality.verdicts(table(spark, made)).collect()
+    assert [r.doc_id for r in found if r.kept != (not 2000 <= r.doc_id < 3000)] == []
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert quality.verdicts(empty).count() == 0 and quality.good(empty).count() == 0
