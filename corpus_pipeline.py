@@ -9,6 +9,7 @@ Null texts fail the quality rules. Rows that repeat become one in exact dedup.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomtrace.llm import bpe, exact, mix, quality, simhash
 from loomtrace.llm.common import cut, documents
@@ -31,7 +32,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode(docs)
+    """The ids of each text, decoded again in the same pass; a text that doesn't come back from its ids stops the run."""
+    both = bpe.encode(docs, decoded="_decoded")
+    back = F.col("_decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return both.withColumn("ids", F.when(back, F.col("ids")).otherwise(F.raise_error(F.lit("token ids don't decode to their text")))).drop("_decoded")
 
 
 STAGES = [

@@ -8,6 +8,7 @@ import corpus_pipeline
 import pytest
 import xxhash
 from fixtures import SCHEMA, rows, table
+from pyspark.sql import functions as F
 
 from loomtrace.llm import bpe
 
@@ -108,6 +109,14 @@ def test_tokens_decode_to_the_text(stages):
     assert got == sorted((r.doc_id, (r.text or "").encode()) for r in stages[3].collect())
 
 
+def test_a_text_that_does_not_come_back_stops_the_run(spark, monkeypatch):
+    docs, stage, encode = table(spark, rows(count=20)), corpus_pipeline.STAGES[-1][1], bpe.encode
+    assert stage(spark, docs, None).count() == docs.count() and len(stage(spark, docs, None).collect()) == docs.count()
+    monkeypatch.setattr(bpe, "encode", lambda docs, **more: encode(docs, **more).withColumns({name: F.lit(b"other") for name in more.values()}))
+    with pytest.raises(Exception, match="decode to their text"):
+        stage(spark, docs, None).collect()
+
+
 def test_run_and_an_empty_table(spark, tmp_path):
     table(spark, corpus()).write.parquet(f"{tmp_path}/a/documents.parquet")
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/b/documents.parquet")
