@@ -6,21 +6,16 @@ import json
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 FALSY = ['""', "false", "0", "[]", "{}", "null"]
 
 
-def let(value: Column, make: Callable[[Column], Column]) -> Column:
-    """`make(value)` with the value worked out once, however often it is used."""
-    return F.get(F.transform(F.array(value), make), F.lit(0))
-
-
 def keep(value: Column, test: Callable[[Column], Column]) -> Column:
-    """The value where the test holds, else null."""
-    return F.get(F.filter(F.array(value), test), F.lit(0))
+    """The value where the test holds, else null. The value is named twice, so it should be a column or one field of it."""
+    return F.when(test(value), value)
 
 
 def field(value: Column | str, path: str) -> Column:
@@ -28,17 +23,35 @@ def field(value: Column | str, path: str) -> Column:
     return keep(F.try_variant_get(value, path, "variant"), lambda v: ~F.is_variant_null(v))
 
 
+def parts(value: Column | str, *names: str) -> Column:
+    """These fields of an object as a struct of variants, read in one pass; null for what is no object."""
+    return F.try_variant_get(value, "$", "struct<" + ", ".join(f"`{name}`: variant" for name in names) + ">")
+
+
+def opened(rows: DataFrame, value: str, name: str, *fields: str) -> DataFrame:
+    """`rows` with the fields of the variant column `value` in the struct column `name`, where JSON's null is null too.
+    A value that is no object has no struct."""
+    read = [f"`{c}`" for c in rows.columns if c != name]
+    found = rows.select(*read, parts(value, *fields).alias(name))
+    some = F.struct(*[keep(F.col(f"{name}.`{f}`"), lambda v: ~F.is_variant_null(v)).alias(f) for f in fields])
+    return found.select(*read, F.when(F.col(name).isNotNull(), some).alias(name))
+
+
 def kind(value: Column) -> Column:
     return F.schema_of_variant(value)
 
 
+def text_of(value: Column) -> Column:
+    """A variant that is a string; null for other types, which a plain cast would turn into text."""
+    return F.when(kind(value) == "STRING", value.cast("string"))
+
+
 def string(value: Column | str, path: str = "$") -> Column:
-    """A string field; null for other types, which a plain cast would turn into text."""
-    return keep(F.try_variant_get(value, path, "variant"), lambda v: kind(v) == "STRING").cast("string")
+    return text_of(F.try_variant_get(value, path, "variant"))
 
 
 def filled(value: Column | str, path: str = "$") -> Column:
-    return let(string(value, path), lambda text: F.nullif(text, F.lit("")))
+    return F.nullif(string(value, path), F.lit(""))
 
 
 def truthy(value: Column) -> Column:
@@ -57,19 +70,16 @@ def is_object(value: Column) -> Column:
 
 def parsed(value: Column) -> Column:
     """A string that is JSON as what it says; everything else as it is."""
-    return let(value, lambda v: F.coalesce(F.when(kind(v) == "STRING", F.try_parse_json(v.cast("string"))), v))
+    return F.coalesce(F.try_parse_json(text_of(value)), value)
 
 
-def shown(value: Column) -> Column:
-    """A value as a template shows it: text as it is, True, False and None."""
-    return let(value, lambda v: (
-        F.when(v.isNull(), "None").when(kind(v) == "STRING", v.cast("string"))
-        .when(kind(v) == "BOOLEAN", F.initcap(F.to_json(v))).otherwise(F.to_json(v))
-    ))
+def shown_or_null(value: Column) -> Column:
+    """A value as a template shows it: text as it is, True and False; other values as JSON."""
+    return F.coalesce(text_of(value), F.when(kind(value) == "BOOLEAN", F.initcap(F.to_json(value))), F.to_json(value))
 
 
-def shown_or_null(value: Column) -> Column:
-    return let(value, lambda v: F.when(v.isNotNull(), shown(v)))
+def shown(value: Column) -> Column:
+    return F.coalesce(shown_or_null(value), F.lit("None"))
 
 
 def or_mark(value: Column, mark: str = "?") -> Column:

@@ -23,6 +23,9 @@ KEYED_TYPES = [
     "subagent_message", "subagent_result", "subagent_resumed", "subagent_closed",
 ]
 
+# Types of blocks that hold text.
+TEXT_BLOCKS = ["text", "input_text", "output_text"]
+
 # Word lists of the hints.
 WRITE_WORDS = [
     "edit", "modify", "change", "update", "fix", "write", "create", "add", "remove", "delete", "rename", "move", "push", "deploy",

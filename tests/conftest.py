@@ -16,7 +16,7 @@ def spark():
         SparkSession.builder.master("local[4]").appName("tests")
         .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "4g")
-        .config("spark.sql.warehouse.dir", "/tmp/loomtrace-test-warehouse").config("spark.sql.variant.allowDuplicateKeys", "true")
+        .config("spark.sql.warehouse.dir", "/tmp/loomtrace-test-warehouse").config("spark.sql.variant.allowDuplicateKeys", "true").config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("OFF")
