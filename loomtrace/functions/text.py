@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,9 +28,13 @@ def line(text: Column, limit: int = 240) -> Column:
     return preview(F.regexp_replace(text, V.ANSI, ""), limit)
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
 def first_filled(*texts: Column) -> Column:
     """The first text that isn't blank, stripped; else empty."""
-    strip = lambda t: F.regexp_replace(t, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
     return F.coalesce(*(F.nullif(strip(t), F.lit("")) for t in texts), F.lit(""))
 
 
@@ -44,22 +48,18 @@ def paths(text: Column) -> Column:
 
 def clean(resource: Column) -> Column:
     """Without blanks and quotes around it, slashes at its end and one `/*`."""
-    bare = F.regexp_replace(F.regexp_replace(F.trim(resource), r"""^['"]+|['"]+$""", ""), "/+$", "")
+    bare = F.regexp_replace(F.regexp_replace(strip(resource), r"""^['"]+|['"]+$""", ""), "/+$", "")
     return F.when(bare.endswith("/*"), F.regexp_replace(F.regexp_replace(bare, r"/\*$", ""), "/+$", "")).otherwise(bare)
 
 
-def any_of(tests: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, tests, F.lit(False))
-
-
 def has_any(text: Column, words: list[str]) -> Column:
     """Whether any of the words is a part of the text, in either case."""
-    return any_of([F.contains(F.lower(text), F.lit(word.lower())) for word in words])
+    return F.lower(text).rlike("|".join(re.escape(word.lower()) for word in words))
 
 
 def starts_with_any(command: Column, prefixes: list[str]) -> Column:
     """Whether the stripped command starts with any prefix, word ends or not."""
-    return any_of([F.startswith(F.trim(F.lower(command)), F.lit(prefix)) for prefix in prefixes])
+    return strip(F.lower(command)).rlike("^(?:" + "|".join(map(re.escape, prefixes)) + ")")
 
 
 def widens(user_paths: Column, action_paths: Column) -> Column:

@@ -86,6 +86,12 @@ def or_mark(value: Column, mark: str = "?") -> Column:
     return F.coalesce(shown_or_null(truthy(value)), F.lit(mark))
 
 
+@F.pandas_udf(T.StringType())
+def python_json(text: pd.Series) -> pd.Series:
+    """JSON text as Python writes it, with a space after commas and colons."""
+    return text.map(lambda t: None if t is None else json.dumps(json.loads(t), ensure_ascii=False))
+
+
 TEXTS = ["arguments", "sorted_arguments", "key", "output", "sorted_output", "targets", "result"]
 
 

@@ -37,8 +37,10 @@ def first_of(rows: DataFrame, keys: list[str], order: str = INDEX) -> DataFrame:
 
 
 def first_where(rows: DataFrame, eligible: Column, keys: list[str], order: str = INDEX) -> DataFrame:
-    """The first row of each key among the eligible ones, and all others."""
-    return first_of(rows.where(eligible), keys, order).unionByName(rows.where(~F.coalesce(eligible, F.lit(False))))
+    """The first row of each key among the eligible ones, and all others (each of which is a key of its own)."""
+    marked = rows.withColumn("_others", F.when(eligible, None).otherwise(F.col(order)))
+    window = Window.partitionBy(*keys, "_others").orderBy(order)
+    return marked.withColumn("_place", F.row_number().over(window)).where((F.col("_place") == 1) | F.col("_others").isNotNull()).drop("_place", "_others")
 
 
 def collapse_runs(rows: DataFrame, line: str, order: str = INDEX) -> DataFrame:
@@ -59,49 +61,62 @@ def last_user(events: DataFrame, direct: Column, prompt: Column, name: str = "la
     return events.withColumn(name, F.coalesce(F.max(F.when(direct, F.col(INDEX))).over(window), F.max(F.when(prompt, F.col(INDEX))).over(window)))
 
 
-def _numbered(events: DataFrame, wanted: Column, asking: Column) -> DataFrame:
-    """Wanted rows and asking rows, each with the number of wanted rows before it."""
-    marked = events.where(wanted | asking).withColumn("_wanted", F.coalesce(wanted, F.lit(False))).withColumn("_asks", F.coalesce(asking, F.lit(False)))
-    return marked.withColumn("_seen", F.coalesce(F.sum(F.col("_wanted").cast("long")).over(_before(SESSION)), F.lit(0)))
+def _numbered(events: DataFrame, kinds: dict[str, Column], asking: Column) -> DataFrame:
+    """Rows of any wanted kind and asking rows, with the number of rows of each kind before them."""
+    kind = F.coalesce(*[F.when(wanted, F.lit(name)) for name, wanted in kinds.items()])
+    marked = events.withColumn("_kind", kind).withColumn("_asks", F.coalesce(asking, F.lit(False))).where(F.col("_kind").isNotNull() | F.col("_asks"))
+    seen = [F.coalesce(F.sum((F.col("_kind") == name).cast("long")).over(_before(SESSION)), F.lit(0)) for name in kinds]
+    return marked.withColumn("_seen", F.array(*[F.struct(F.lit(name).alias("kind"), n.alias("seen")) for name, n in zip(kinds, seen, strict=True)]))
 
 
-def _back(numbered: DataFrame, columns: list[str], most: int) -> DataFrame:
-    """For each asking row (session, asked) up to `most` wanted rows before it, latest first, met by number."""
-    asks = numbered.where("_asks").select(SESSION, F.col(INDEX).alias("asked"), "_seen")
-    asks = asks.withColumn("_number", F.explode(F.sequence(F.greatest(F.col("_seen") - most, F.lit(0)), F.col("_seen") - 1))).where(F.col("_seen") > 0)
-    wanted = numbered.where("_wanted").select(F.col(SESSION).alias("_of"), F.col("_seen").alias("_at"), *columns)
-    return asks.join(wanted, F.col(SESSION).eqNullSafe(F.col("_of")) & (F.col("_number") == F.col("_at"))).drop("_of", "_at", "_number")
+def _wanted(numbered: DataFrame, kinds: dict[str, Column], columns: list[str]) -> DataFrame:
+    own = F.coalesce(*[F.when(F.col("_kind") == name, F.col("_seen")[k]["seen"]) for k, name in enumerate(kinds)])
+    return numbered.where(F.col("_kind").isNotNull()).select(SESSION, F.col("_kind").alias("kind"), own.alias("_at"), *columns)
 
 
-def recent_unique(events: DataFrame, wanted: Column, asking: Column, key: str, columns: list[str], most: int, look_back: int = 64) -> DataFrame:
+def _back(numbered: DataFrame, kinds: dict[str, Column], columns: list[str], most: int) -> DataFrame:
+    """For each asking row (session, asked) and kind up to `most` wanted rows before it, latest first, met by number."""
+    asks = numbered.where("_asks").select(SESSION, F.col(INDEX).alias("asked"), F.explode("_seen").alias("_s")).select(SESSION, "asked", "_s.kind", F.col("_s.seen").alias("_seen")).where(F.col("_seen") > 0)
+    asks = asks.withColumn("_number", F.explode(F.sequence(F.greatest(F.col("_seen") - most, F.lit(0)), F.col("_seen") - 1)))
+    wanted = _wanted(numbered, kinds, columns).withColumnsRenamed({SESSION: "_of", "kind": "_kind"})
+    return asks.join(wanted, F.col(SESSION).eqNullSafe(F.col("_of")) & (F.col("kind") == F.col("_kind")) & (F.col("_number") == F.col("_at"))).drop("_of", "_at", "_number", "_kind")
+
+
+def recent_unique(events: DataFrame, wanted: Column | dict[str, Column], asking: Column, key: str, columns: list[str], most: int, look_back: int = 64) -> DataFrame:
     """For each asking row, the latest `most` wanted rows before it that differ in `key`, each key by its latest row.
+    Several kinds of wanted rows, none of them of two kinds, are each counted for themselves; `kind` tells them apart.
 
-    The last `look_back` wanted rows are met by number. Asking rows for which these hold too few different keys,
-    though there are more rows, meet all earlier rows that are the last of their key at that place.
+    The last `look_back` wanted rows are met by number, as references; the columns of those that stay come last. Asking
+    rows for which these hold too few different keys, though there are more rows, meet all earlier rows that are the last
+    of their key at that place: at most as many as there are keys, or `look_back` rows between two repetitions.
     """
-    columns = list(dict.fromkeys([INDEX, key, *columns]))
-    numbered = _numbered(events, wanted, asking)
-    near = _back(numbered, columns, look_back)
-    own, lately = [SESSION, "asked"], F.col(INDEX).desc()
-    unique = near.withColumn("_again", F.row_number().over(Window.partitionBy(*own, key).orderBy(lately))).where("_again = 1")
+    kinds = wanted if isinstance(wanted, dict) else {"": wanted}
+    columns = [name for name in dict.fromkeys([key, *columns]) if name != INDEX]
+    numbered = _numbered(events, kinds, asking)
+    hashed = numbered.withColumn("_hash", F.sha2(F.col(key).cast("string"), 256))
+    near = _back(hashed, kinds, [INDEX, "_hash"], look_back)
+    own, lately = [SESSION, "asked", "kind"], F.col(INDEX).desc()
+    unique = near.withColumn("_again", F.row_number().over(Window.partitionBy(*own, "_hash").orderBy(lately))).where("_again = 1")
     ranked = unique.withColumn("place", F.row_number().over(Window.partitionBy(*own).orderBy(lately))).where(F.col("place") <= most)
     found = ranked.withColumn("_found", F.count("*").over(Window.partitionBy(*own)))
     enough = (F.col("_found") == most) | (F.col("_seen") <= look_back)
-    short = found.where(~enough).select(*own).distinct().withColumnsRenamed({SESSION: "_of"})
+    short = found.where(~enough).select(*own).distinct().withColumnsRenamed({SESSION: "_of", "kind": "_kind"})
     # A row is live from its place to the next one of its key.
-    live = numbered.where("_wanted").withColumn("_until", F.lead(INDEX).over(Window.partitionBy(SESSION, key).orderBy(INDEX))).select(SESSION, "_until", *columns)
-    far = short.join(live, F.col(SESSION).eqNullSafe(F.col("_of")) & (F.col(INDEX) < F.col("asked")) & (F.col("_until").isNull() | (F.col("_until") >= F.col("asked")))).drop("_of", "_until")
-    rest = far.withColumn("place", F.row_number().over(Window.partitionBy(*own).orderBy(lately))).where(F.col("place") <= most)
-    keep = [*own, "place", *columns]
-    return found.where(enough).select(*keep).unionByName(rest.select(*keep))
+    live = _wanted(hashed, kinds, [INDEX, "_hash"]).withColumn("_until", F.lead(INDEX).over(Window.partitionBy(SESSION, "kind", "_hash").orderBy(INDEX))).drop("_at", "_hash")
+    met = F.col(SESSION).eqNullSafe(F.col("_of")) & (F.col("kind") == F.col("_kind")) & (F.col(INDEX) < F.col("asked")) & (F.col("_until").isNull() | (F.col("_until") >= F.col("asked")))
+    rest = short.join(live, met).drop("_of", "_kind", "_until").withColumn("place", F.row_number().over(Window.partitionBy(*own).orderBy(lately))).where(F.col("place") <= most)
+    keep = [*own, "place", INDEX]
+    references = found.where(enough).select(*keep).unionByName(rest.select(*keep))
+    told = events.select(F.col(SESSION).alias("_of"), F.col(INDEX).alias("_at"), *columns)
+    return references.join(told, F.col(SESSION).eqNullSafe(F.col("_of")) & (F.col(INDEX) == F.col("_at"))).drop("_of", "_at")
 
 
 def latest_since(events: DataFrame, wanted: Column, asking: Column, since: str, columns: list[str], most: int) -> DataFrame:
     """For each asking row, the latest `most` wanted rows before it and after its index `since` (null: from the start)."""
-    numbered = _numbered(events, wanted, asking)
+    numbered = _numbered(events, {"": wanted}, asking)
     columns = list(dict.fromkeys([INDEX, *columns]))
     starts = events.where(asking).select(F.col(SESSION).alias("_of"), F.col(INDEX).alias("_asked"), F.col(since).alias("_since"))
-    near = _back(numbered, columns, most).join(starts, F.col(SESSION).eqNullSafe(F.col("_of")) & (F.col("asked") == F.col("_asked")))
+    near = _back(numbered, {"": wanted}, columns, most).join(starts, F.col(SESSION).eqNullSafe(F.col("_of")) & (F.col("asked") == F.col("_asked")))
     return near.where(F.col("_since").isNull() | (F.col(INDEX) > F.col("_since"))).select(SESSION, "asked", *columns)
 
 
@@ -117,8 +132,9 @@ def as_of(rows: DataFrame, keys: list[str], value: Column, name: str, order: str
     return rows.withColumn(name, F.last(value, ignorenulls=True).over(_before(*keys, order=order)))
 
 
-def nearest(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str, before: float, after: float, most: int, left_id: str) -> DataFrame:
-    """For each left row, the `most` right rows of its key in [time - before, time + after] seconds, nearest first, earlier first.
+def nearest(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str, before: float, after: float, most: int, left_id: str, right_id: str | None = None) -> DataFrame:
+    """For each left row, the `most` right rows of its key in [time - before, time + after] seconds, nearest first, earlier first,
+    then by `right_id`, without which rows of one time have no order.
 
     Times meet in cells as long as the interval, so a key with many rows meets only its neighbours in time.
     """
@@ -128,7 +144,7 @@ def nearest(left: DataFrame, right: DataFrame, on: list[str], left_time: str, ri
     met = lefts.join(right.withColumn("_cell", F.floor(seconds(right_time) / cell)), [*on, "_cell"])
     gap = seconds(right_time) - seconds(left_time)
     near = met.where((gap >= -before) & (gap <= after)).withColumn("gap", F.abs(gap))
-    return near.withColumn("place", F.row_number().over(Window.partitionBy(left_id).orderBy("gap", right_time))).where(F.col("place") <= most).drop("_cell")
+    return near.withColumn("place", F.row_number().over(Window.partitionBy(left_id).orderBy("gap", right_time, *([right_id] if right_id else [])))).where(F.col("place") <= most).drop("_cell")
 
 
 def having(events: DataFrame, condition: Column) -> DataFrame:

@@ -112,8 +112,7 @@ def last_user_before_action(spark, sf_dir):
             WHERE a.event_type = 'purchase' AND m.event_type = 'view' GROUP BY ALL)) WHERE place <= 4""")
 def recent_unique_before_action(spark, sf_dir):
     """J1, W1, O2"""
-    messages = log(spark, sf_dir).withColumn("kind", F.col("props"))
-    return E.recent_unique(messages, F.col("event_type") == "view", action(), "kind", ["kind"], 4).select("session_id", "asked", F.col("place").cast("long").alias("place"), "event_index", "kind")
+    return E.recent_unique(log(spark, sf_dir), F.col("event_type") == "view", action(), "props", [], 4).select("session_id", "asked", F.col("place").cast("long").alias("place"), "event_index", F.col("props").alias("kind"))
 
 
 @query(f""", {LAST_USER}, outs AS (SELECT a.session_id, a.event_index AS asked, o.event_index, row_number() OVER (PARTITION BY a.session_id, a.event_index ORDER BY o.event_index DESC) AS n

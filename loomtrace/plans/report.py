@@ -9,19 +9,23 @@ from .. import vocabulary as V
 from ..functions import text as X
 from ..functions import values as J
 from ..operators import events as E
+from ..session import cut
 
 JSON_TYPES = ["tool_call_requested", "tool_call_dispatched", "tool_call_result", "subagent_result"]
+#: Fields of content that a report shows.
+SHOWN = (
+    "text", "summary_text", "has_encrypted_content", "phase", "headless", "structured_stream", "output_format", "session_id", "cwd", "model", "tool_name", "output", "error", "agent_type", "message", "agent_id", "nickname",
+    "target_agent_id", "delivery_state", "path", "count", "approval_policy", "turn_id", "duration_ms", "reason", "proxy_enabled", "cache_trace_path", "exit_code",
+)
 
 
 def _line() -> Column:
-    """What the timeline says of an event, by its type; null leaves it out."""
-    get = lambda name: J.field("content", f"$.{name}")
-    mark, show = (lambda name: J.or_mark(get(name))), (lambda name: J.shown(get(name)))
-    text = lambda *names: X.line(X.first_filled(*[J.string("content", f"$.{name}") for name in names]))
+    """What the timeline says of an event (its content in `c`), by its type; null leaves it out."""
+    mark, show = (lambda name: J.or_mark(F.col(f"c.{name}"))), (lambda name: J.shown(F.col(f"c.{name}")))
+    text = lambda *names: X.line(X.first_filled(*[J.text_of(F.col(f"c.{name}")) for name in names]))
     json = lambda name: X.line(F.col(f"json.{name}"))
-    reasoning = F.coalesce(F.nullif(text("text", "summary_text"), F.lit("")), F.when(J.truthy(get("has_encrypted_content")).isNotNull(), F.lit("[encrypted reasoning content present]")))
-    output = text("output")
-    phase = F.coalesce(F.concat(F.lit("["), J.filled("content", "$.phase"), F.lit("]")), F.lit(""))
+    reasoning = F.coalesce(F.nullif(text("text", "summary_text"), F.lit("")), F.when(J.truthy(F.col("c.has_encrypted_content")).isNotNull(), F.lit("[encrypted reasoning content present]")))
+    phase = F.coalesce(F.concat(F.lit("["), F.nullif(J.text_of(F.col("c.phase")), F.lit("")), F.lit("]")), F.lit(""))
     # What a report says of each type, in order.
     says = {
         "user_input": ["User: ", text("text")], "request_user_message": ["User: ", text("text")],
@@ -31,7 +35,7 @@ def _line() -> Column:
         "assistant_reasoning_final": ["Reasoning: ", reasoning],
         "tool_call_requested": ["Tool requested: ", mark("tool_name"), " ", json("arguments")], "tool_call_dispatched": ["Tool dispatched: ", mark("tool_name"), " ", json("arguments")],
         "tool_call_stdout": ["Tool stdout: ", mark("tool_name"), " ", text("text")], "tool_call_stderr": ["Tool stderr: ", mark("tool_name"), " ", text("text")],
-        "tool_call_result": ["Tool result: ", mark("tool_name"), " ", F.when(output != "", output).otherwise(json("output"))],
+        "tool_call_result": ["Tool result: ", mark("tool_name"), " ", F.coalesce(F.nullif(text("output"), F.lit("")), json("output"))],
         "tool_call_error": ["Tool error: ", mark("tool_name"), " ", text("error")],
         "subagent_spawn_requested": ["Subagent spawn requested: type=", mark("agent_type"), " message=", text("message")],
         "subagent_spawned": ["Subagent spawned: agent_id=", mark("agent_id"), " nickname=", mark("nickname")],
@@ -56,8 +60,10 @@ def timeline(events: DataFrame) -> DataFrame:
 
     Prompts and reasoning that say the same as before are left out first, then lines that repeat the one before.
     """
-    shown = events.where(F.col("event_type").isin(V.INCLUDED_TYPES)).withColumn("json", F.when(F.col("event_type").isin(JSON_TYPES), J.json_texts("raw")))
-    said = shown.withColumn("said", _line()).where("said is not null").select("session_id", "event_index", "event_type", "timestamp", "said")
+    shown = events.where(F.col("event_type").isin(V.INCLUDED_TYPES)).select("session_id", "event_index", "event_type", "timestamp", "content", F.when(F.col("event_type").isin(JSON_TYPES), F.col("raw")).alias("raw"))
+    shown = J.opened(shown.withColumn("json", J.json_texts("raw")), "content", "c", *SHOWN)
+    # Written once: tests of a line would be pushed below it, each with all rules of a line in it.
+    said = cut(shown.select("session_id", "event_index", "event_type", "timestamp", _line().alias("said"))).where("said is not null")
     once = E.first_where(said, F.col("event_type").isin(V.ONCE_BY_LINE_TYPES), ["session_id", "event_type", "said"])
     line = F.concat(F.lit("- "), F.coalesce(F.nullif("timestamp", F.lit("")), F.lit("?")), F.lit(" ["), "event_type", F.lit("] "), "said")
     return E.collapse_runs(once.withColumn("line", line), "line").select("session_id", "event_index", "event_type", "line")
@@ -73,7 +79,7 @@ def build(events: DataFrame, manifests: DataFrame, include_noisy: bool = False)
     whole = manifests.join(E.totals(events, V.NOISY_TYPES), "session_id", "left").join(counted, "session_id", "left").join(lines, "session_id", "left")
     get = lambda name: J.field("manifest", f"$.{name}")
     item = lambda name, value: F.concat(F.lit(f"- {name}: "), value)
-    json = lambda name: X.line(F.coalesce(F.regexp_replace(F.to_json(get(name)), r'("(?:[^"\\\\]|\\\\.)*")([,:])|([,:])', "$1$2$3 "), F.lit("null")))
+    json = lambda name: X.line(J.python_json(F.coalesce(F.to_json(get(name)), F.lit("null"))))
     page = [
         F.concat(F.lit("# Session Report: "), "session_id"), F.lit(""), F.lit("## Summary"), F.lit(""),
         item("session_id", F.coalesce(F.when(J.truthy(get("session_id")).isNotNull(), J.shown(get("session_id"))), "session_id")),

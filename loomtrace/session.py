@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,3 +27,38 @@ def ship(spark: SparkSession) -> SparkSession:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch(spark: SparkSession) -> str:
+    """The folder that driver and executors share, of spark.checkpoint.dir.
+
+    Only where that is unset and everything runs on one machine (tests, a laptop) a local folder takes its place.
+    """
+    context = ship(spark).sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loomtrace-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
+    """Write `df` as a table in the shared folder and go on from the written copy.
+
+    The lineage ends there, so a lost executor costs only the tasks at work; the
+    copy has no partitioning of its own, so Spark may split skewed keys of joins on it.
+    The copy `instead_of` which it was made, if any, is removed: a round of a loop follows the one before.
+    """
+    path = f"{scratch(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if instead_of is not None:
+        remove(df.sparkSession, instead_of.cut_path)
+    copy = df.sparkSession.read.schema(df.schema).parquet(path)
+    copy.cut_path = path
+    return copy
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
