@@ -1,6 +1,7 @@
-"""Command line: `python -m loomtrace.cli render|cases ROOT OUT [--session ID | --latest] [--include-noisy]`.
+"""Command line: `python -m loomtrace.cli render|cases ROOT OUT [--session-dir DIR | --session ID | --latest] [--include-noisy]`.
 
-ROOT holds a folder for each session with events.jsonl and manifest.json.
+ROOT holds a folder for each session with events.jsonl and manifest.json. With none of the three, all sessions are taken;
+of several the folder counts first, then the id. What was written is told by an event of each session in OUT/events.
 """
 
 from __future__ import annotations
@@ -14,13 +15,18 @@ from .plans import cases, report
 from .sources import logs, sinks
 
 
-def chosen(spark: SparkSession, root: str, session: str | None, latest: bool) -> tuple[DataFrame, DataFrame]:
-    """Events and manifests of one session, the latest one, or all. A session without a manifest has an empty one."""
-    name = session or (logs.latest_session(spark, f"{root}/*/events.jsonl").first()["session_id"] if latest else "*")
-    events = logs.events(spark, f"{root}/{name}/events.jsonl")
-    there = logs.manifests(spark, f"{root}/*/manifest.json")
-    files = spark.read.format("binaryFile").load(f"{root}/{name}/events.jsonl").select(F.regexp_extract("path", logs.SESSION_OF, 1).alias("session_id"))
-    return events, files.join(there, "session_id", "left")
+def chosen(spark: SparkSession, root: str, session: str | None, latest: bool, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Events and manifests of one session (by folder, by id or the latest one), or of all. A session without a manifest
+    has an empty one; one that isn't there is an error."""
+    if not folder and not session and latest:
+        found = logs.latest_session(spark, f"{root}/*/events.jsonl").first()
+        session = found and found["session_id"]
+    where = folder.rstrip("/") if folder else f"{root}/{session or '*'}"
+    files = spark.read.format("binaryFile").load(f"{where}/events.jsonl").select(F.regexp_extract("path", logs.SESSION_OF, 1).alias("session_id"))
+    if files.isEmpty():
+        raise FileNotFoundError(f"no session at {where}")
+    there = logs.manifests(spark, f"{where}/manifest.json" if folder else f"{root}/*/manifest.json")
+    return logs.events(spark, f"{where}/events.jsonl"), files.join(there, "session_id", "left")
 
 
 def main(arguments: list[str] | None = None) -> None:
@@ -28,18 +34,22 @@ def main(arguments: list[str] | None = None) -> None:
     parser.add_argument("command", choices=["render", "cases"])
     parser.add_argument("root")
     parser.add_argument("out")
+    parser.add_argument("--session-dir")
     parser.add_argument("--session")
     parser.add_argument("--latest", action="store_true")
     parser.add_argument("--include-noisy", action="store_true")
     given = parser.parse_args(arguments)
     spark = SparkSession.builder.appName("loomtrace").getOrCreate()
-    events, manifests = chosen(spark, given.root, given.session, given.latest)
+    events, manifests = chosen(spark, given.root, given.session, given.latest, given.session_dir)
     if given.command == "render":
         sinks.write_pages(report.build(events, manifests, given.include_noisy), f"{given.out}/reports")
+        told = sinks.report_generated(manifests, given.out, given.include_noisy)
     else:
         found = cases.build(events, manifests)
         sinks.write_cases(found, f"{given.out}/cases")
         sinks.write_pages(cases.review(found, manifests), f"{given.out}/reviews")
+        told = sinks.cases_generated(manifests, found, given.out)
+    sinks.append_lines(told, f"{given.out}/events")
 
 
 if __name__ == "__main__":

@@ -294,6 +294,25 @@ def cache_rows(payloads: DataFrame) -> DataFrame:
     return asked.withColumn("origin", F.lit("openclaw_cache_trace.messages")).unionByName(said.withColumn("origin", F.lit("openclaw_cache_trace.prompt")))
 
 
+def cache_trace(lines: DataFrame) -> DataFrame:
+    """The events of a cache trace (path, entry_index, value): each different row is imported once, by an event with its
+    number and its sorted keys (item -1), then come its messages and its prompt as events below that one.
+
+    Every event is of the platform `openclaw`, is exposed to the runtime only, and has its source; `row_index` numbers the
+    rows of a file that stay. Rows are equal if their JSON is, whatever the order of their keys.
+    """
+    rows = lines.select("path", "entry_index", "value", F.sha2(F.to_json("value"), 256).alias("same"))
+    rows = E.number(E.first_of(rows, ["path", "same"], "entry_index"), "entry_index", session="path", index="row_index")
+    rows = rows.select("path", "row_index", F.concat_ws(":", "path", "row_index").alias("key"), F.col("value").alias("payload"))
+    keys = F.array_sort(F.map_keys(F.col("payload").try_cast("map<string, variant>")))
+    told = _emitted(rows.withColumn("item", F.lit(-2)), M.event("openclaw_cache_trace_imported", ("runtime", "openclaw_cache_trace"), ("file", F.col("path")), M.content(row_index=F.col("row_index"), keys=keys)))
+    imported = F.sha2(F.concat(F.lit("openclaw_cache_trace_imported:"), "key"), 256)
+    found = told.withColumns({"origin": F.lit(None).cast("string"), "parent_event_id": F.lit(None).cast("string"), "event_id": imported})
+    below = cache_rows(rows).withColumns({"parent_event_id": imported, "event_id": F.lit(None).cast("string")})
+    shown = F.struct(F.lit(False).alias("provider_exposed"), F.lit(True).alias("runtime_exposed"), F.lit(False).alias("user_visible"))
+    return found.unionByName(below).withColumns({"platform": F.lit("openclaw"), "visibility": shown, "platform_metadata": F.when(F.col("origin").isNotNull(), F.struct(F.col("origin").alias("source")))})
+
+
 STREAMED = ("item_id", "output_index", "content_index", "delta", "text", "item", "response")
 
 
@@ -329,14 +348,17 @@ def item_streams(blocks: DataFrame) -> DataFrame:
     )
 
 
-def stream_pieces(blocks: DataFrame) -> DataFrame:
-    """The pieces of streams of blocks: key, index, block, model (so far), begun, stop, head (of a start) and piece (its text)."""
+def stream_pieces(blocks: DataFrame, carried: bool = True) -> DataFrame:
+    """The pieces of streams of blocks: key, index, block, model, begun, stop, head (of a start) and piece (its text).
+    The model is the one named last so far, or, not `carried`, that which the event itself names."""
     ship(blocks.sparkSession)
     event = F.col("event")
     rows = J.opened(blocks.select("key", "block", "event", "data"), "data", "d", "index", "content_block", "delta", "message").where("d is not null")
-    rows = E.carry(rows, F.when(event == "message_start", J.string(F.col("d.message"), "$.model")), "model", ("key",), "block")
+    model = F.when(event == "message_start", J.string(F.col("d.message"), "$.model"))
+    rows = E.carry(rows, model, "model", ("key",), "block") if carried else rows.withColumn("model", model)
     is_int = F.startswith(J.kind(F.col("d.index")), F.lit("BIGINT"))
-    rows = rows.where(event.isin("content_block_start", "content_block_delta", "content_block_stop") & is_int).withColumn("index", F.col("d.index").try_cast("long"))
+    piece = event.isin("content_block_start", "content_block_delta", "content_block_stop") & is_int
+    rows = rows.where(piece if carried else piece | F.col("model").isNotNull()).withColumn("index", F.col("d.index").try_cast("long"))
     rows = rows.withColumn("start", F.when(event == "content_block_start", F.col("d.content_block"))).withColumn("delta", F.when(event == "content_block_delta", F.col("d.delta")))
     rows = J.opened(J.opened(rows, "start", "s", "type", "id", "name", "text", "thinking", "input"), "delta", "t", "type", "text", "thinking", "partial_json").withColumn("kind", J.text_of(F.col("s.type")))
     s, of_kind = (lambda name: F.col(f"s.{name}")), J.text_of(F.col("t.type"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import vocabulary as V
 from ..functions import values as J
-from ..plans import rollouts
+from ..plans import messages, rollouts
 from ..session import ship
 
 CARRIED = "path string, entry_index long, timestamp string, type string, kind string, payload string, call string, name string, arguments string, request_backfill boolean, response_backfill boolean"
@@ -63,6 +63,35 @@ def rollout_events(entries: DataFrame) -> DataFrame:
     return rollouts.emit(known.withColumns({name: F.parse_json(name) for name in ("payload", "arguments", "made_arguments")}), "generation")
 
 
+OPEN = "key string, index long, block long, model string, type string, id string, name string, text string"
+
+
+def _assemble(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    """Pieces of one stream in order: blocks that are open wait in the state, their stop gives them out."""
+    model, held = (state.get[0], json.loads(state.get[1])) if state.exists else (None, {})
+    rows, found = pd.concat(list(parts)).sort_values("block"), []
+    for row in rows.astype(object).where(rows.notna(), None).itertuples(index=False):
+        model, place = row.model or model, None if row.index is None else str(int(row.index))
+        if row.begun:
+            held[place] = [row.type, row.id, row.name, row.piece or ""]
+        elif place in held:
+            held[place][3] += row.piece or ""
+            if row.stop:
+                found.append((key[0], int(place), row.block, model, *held.pop(place)))
+    state.update((model, json.dumps(held)))
+    yield pd.DataFrame(found, columns=[part.split()[0] for part in OPEN.split(", ")])
+
+
+def assembled(blocks: DataFrame) -> DataFrame:
+    """The events of streams of blocks (key, block, event, data) as they arrive, as `messages.block_streams` gives them for
+    whole streams: a block is given out at its stop. Only open blocks are kept."""
+    pieces = messages.stream_pieces(blocks, carried=False)
+    flat = pieces.select("key", "index", "block", "model", "begun", "stop", "head.type", F.to_json("head.id").alias("id"), "head.name", "piece")
+    whole = flat.groupBy("key").applyInPandasWithState(_assemble, OPEN, "model string, held string", "append", "NoTimeout")
+    head = F.struct("type", F.try_parse_json("id").alias("id"), "name")
+    return messages.finished_blocks(whole.select("key", "index", "block", "model", head.alias("head"), "text"))
+
+
 def once(events: DataFrame) -> DataFrame:
     """A stream of events (event_type, content as JSON text, path, entry_index, emit) with one event of each session,
     call, type and delivery state.
@@ -82,7 +111,7 @@ def once(events: DataFrame) -> DataFrame:
 
 def append(events: DataFrame, folder: str, checkpoint: str, trigger: dict | None = None, refresh=None):
     """Write a stream to `folder`, one subfolder for each batch, which a repeated batch replaces. After a batch with actions
-    `refresh(spark, folder)` is called, to rebuild what is derived from it."""
+    `refresh(spark, folder)` is called, to rebuild what is derived from it; `finish` calls it once more when a stream has ended."""
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
@@ -90,3 +119,9 @@ def append(events: DataFrame, folder: str, checkpoint: str, trigger: dict | None
             refresh(batch.sparkSession, folder)
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()
+
+
+def finish(query, spark, folder: str, refresh, seconds: float | None = None) -> None:
+    """Wait for the end of a stream of `append` and rebuild what is derived from all that it wrote, whether it had actions or not."""
+    query.awaitTermination(seconds)
+    refresh(spark, folder)

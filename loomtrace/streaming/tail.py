@@ -4,7 +4,7 @@ Spark's own file source reads a file once; this one reads what is appended. An o
 line of each file, so a half-written line waits for its rest and no character is split. A file that has become
 shorter is read from its start again. Files are read by tasks, in ranges of `RANGE` bytes.
 
-Register it with `spark.dataSource.register(TailSource)`; then
+Register it with `register(spark)`; then
 `spark.readStream.format("loomtrace_tail").option("path", "/logs/*.jsonl").load()` gives path, offset and line.
 With `startAtEnd` the stream begins at what is there. The path is one that driver and executors can open.
 """
@@ -15,8 +15,11 @@ import glob
 import os
 from dataclasses import dataclass
 
+from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from ..session import ship
+
 RANGE, CHUNK = 32 << 20, 1 << 16
 
 
@@ -92,3 +95,8 @@ class TailSource(DataSource):
 
     def streamReader(self, schema) -> TailReader:
         return TailReader(self.options)
+
+
+def register(spark: SparkSession) -> None:
+    """Make the source known, and this package to the workers that read."""
+    ship(spark).dataSource.register(TailSource)
