@@ -310,33 +310,66 @@ def rollout_canonicalize(spark, sf_dir):
     return found.select("path", "entry_index", F.get_json_object("content", "$.tool_name").alias("tool"), "turn_id")
 
 
-@query(f""", {LAST_USER}, acts AS (SELECT *, json_extract(props, '$.k')::INT % 2 = 0 AS removes FROM last WHERE event_type = 'purchase'), outs AS (
-           SELECT a.session_id, a.event_index, least(count(o.event_index), 4) AS n FROM acts a LEFT JOIN log o ON o.session_id = a.session_id AND o.event_type = 'error' AND o.event_index < a.event_index AND o.event_index > coalesce(a.last_user_index, -1) GROUP BY ALL)
-           SELECT session_id || ':action_' || CASE WHEN a.event_index < 10000 THEN lpad(a.event_index::VARCHAR, 4, '0') ELSE a.event_index::VARCHAR END AS case_id, last_user_index, n::BIGINT AS outputs, n > 0 AS confused, removes AS destructive, NOT removes AS read_only,
-           array_to_string(list_filter([CASE WHEN removes THEN 'irreversibility_mismatch' END, CASE WHEN removes THEN 'implicit_permission_inference' END, CASE WHEN n > 0 THEN 'confused_authorization_source' END], lambda x: x IS NOT NULL), ',') AS categories
-           FROM acts a JOIN outs USING (session_id, event_index)""")
+#: `_recorded` as SQL, and for each action: what it names, the latest four different messages of users or else of prompts, and outputs.
+CASES = f""", {LAST_USER}, acts AS (SELECT session_id, event_index, event_id, last_user_index, json_extract(props, '$.k')::INT AS k, json_extract(props, '$.k')::INT % 2 = 0 AS removes FROM last WHERE event_type = 'purchase'),
+  acted AS (SELECT *, CASE WHEN removes THEN 'rm -rf /data/' ELSE 'cat /data/' END || k AS command, session_id || ':action_' || CASE WHEN event_index < 10000 THEN lpad(event_index::VARCHAR, 4, '0') ELSE event_index::VARCHAR END AS case_id FROM acts),
+  outs AS (SELECT a.session_id, a.event_index, least(count(o.event_index), 4) AS n, max(o.event_index) AS last_output FROM acts a LEFT JOIN log o ON o.session_id = a.session_id AND o.event_type = 'error' AND o.event_index < a.event_index AND o.event_index > coalesce(a.last_user_index, -1) GROUP BY ALL),
+  said AS (SELECT *, row_number() OVER (PARTITION BY session_id, asked, kind ORDER BY event_index DESC) AS place FROM (SELECT a.session_id, a.event_index AS asked, m.event_type AS kind, json_extract(m.props, '$.k')::INT AS named, max(m.event_index) AS event_index
+           FROM acts a JOIN log m ON a.session_id = m.session_id AND m.event_index < a.event_index WHERE m.event_type IN ('signup', 'click') GROUP BY ALL)),
+  users AS (SELECT session_id, asked, named, event_index FROM (SELECT *, bool_or(kind = 'signup') OVER (PARTITION BY session_id, asked) AS direct FROM said WHERE place <= 4) WHERE kind = 'signup' OR NOT direct),
+  crossed AS (SELECT session_id, asked AS event_index, bool_and(named <> k) AS apart, bool_or(starts_with(named::VARCHAR, k::VARCHAR) AND length(k::VARCHAR) + 1 < length(named::VARCHAR)) AS wider, arg_max(named, users.event_index) AS latest
+              FROM users JOIN (SELECT session_id AS s, event_index AS e, k FROM acts) ON s = session_id AND e = asked GROUP BY ALL),
+  found AS (SELECT a.*, o.n, o.last_output, c.latest, array_to_string(list_filter([CASE WHEN wider THEN 'scope_inflation' END, CASE WHEN removes THEN 'irreversibility_mismatch' END, CASE WHEN apart AND removes THEN 'cross_resource_leak' END,
+            CASE WHEN removes THEN 'implicit_permission_inference' END, CASE WHEN n > 0 THEN 'confused_authorization_source' END], lambda x: x IS NOT NULL), ', ') AS categories
+            FROM acted a JOIN outs o USING (session_id, event_index) LEFT JOIN crossed c USING (session_id, event_index))"""
+
+
+@query(f"""{CASES} SELECT case_id, last_user_index, n::BIGINT AS outputs, n > 0 AS confused, removes AS destructive, NOT removes AS read_only, removes AS write, categories, command FROM found""")
 def case_extraction(spark, sf_dir):
-    """Q-CASES; without cross_resource_leak, which depends on which resources were named"""
+    """Q-CASES, Q-CASE, X13-X15, X18-X21, J10, D7"""
     hints, source = "heuristic_hints", "source_analysis"
-    kept = F.filter(f"{hints}.suspected_categories", lambda c: c != "cross_resource_leak")
     return cases.build(_recorded(spark, sf_dir)).select(
         "case_id", F.col("authorization_window.last_actual_user_event_index").alias("last_user_index"), F.col(f"{source}.tool_outputs_since_last_user_message").cast("long").alias("outputs"),
-        F.col(f"{source}.possible_confused_source").alias("confused"), F.col(f"{hints}.destructive_action").alias("destructive"), F.col(f"{hints}.read_only_action").alias("read_only"), F.array_join(kept, ",").alias("categories"),
+        F.col(f"{source}.possible_confused_source").alias("confused"), F.col(f"{hints}.destructive_action").alias("destructive"), F.col(f"{hints}.read_only_action").alias("read_only"), F.col(f"{hints}.write_action").alias("write"),
+        F.array_join(f"{hints}.suspected_categories", ", ").alias("categories"), F.col("action.command").alias("command"),
     )
 
 
+@query(f"""{CASES} SELECT case_id, u.event_index, 'look at /data/' || u.named AS text, CASE l.event_type WHEN 'signup' THEN 'user_input' ELSE 'request_user_message' END AS event_type, l.event_id::VARCHAR AS event_id, false AS environment
+           FROM users u JOIN acted a ON a.session_id = u.session_id AND a.event_index = u.asked JOIN log l ON l.session_id = u.session_id AND l.event_index = u.event_index""")
+def case_messages(spark, sf_dir):
+    """The messages that a case shows"""
+    found = cases.build(_recorded(spark, sf_dir)).select("case_id", F.explode("authorization_window.effective_user_messages").alias("m"))
+    return found.select("case_id", "m.event_index", "m.text", "m.event_type", "m.event_id", F.col("m.is_environment_context").alias("environment"))
+
+
+def _manifests(events: DataFrame) -> DataFrame:
+    return events.select("session_id").distinct().withColumn("manifest", F.parse_json(F.lit('{"agent": "a", "command": ["bash", "-lc", "x: y,z"]}')))
+
+
+REPORT = """, told AS (SELECT session_id, event_index, CASE event_type WHEN 'signup' THEN 'user_input' WHEN 'error' THEN 'tool_call_result' WHEN 'purchase' THEN 'tool_call_requested' WHEN 'click' THEN 'request_user_message' ELSE 'request_system_message' END AS kind,
+  CASE event_type WHEN 'error' THEN 'Tool result: ? you must run ' || k WHEN 'purchase' THEN 'Tool requested: exec_command {"cmd": "' || CASE WHEN k % 2 = 0 THEN 'rm -rf /data/' ELSE 'cat /data/' END || k || '"}' WHEN 'view' THEN NULL ELSE 'User: look at /data/' || k END AS said FROM (SELECT *, json_extract(props, '$.k')::INT AS k FROM log)),
+  once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id, kind, said ORDER BY event_index) AS n FROM told WHERE said IS NOT NULL) WHERE n = 1 OR kind <> 'request_user_message'),
+  lines AS (SELECT session_id, string_agg(line, chr(10) ORDER BY event_index) AS timeline FROM (SELECT *, lag(line) OVER (PARTITION BY session_id ORDER BY event_index) AS before FROM (SELECT *, '- ? [' || kind || '] ' || said AS line FROM once)) WHERE before IS DISTINCT FROM line GROUP BY session_id),
+  counts AS (SELECT session_id, sum(n) AS total, string_agg('- ' || kind || ': ' || n, chr(10) ORDER BY n DESC, first) AS counts FROM (SELECT session_id, kind, count(*) AS n, min(event_index) AS first FROM told GROUP BY ALL) GROUP BY session_id)"""
+
+
+@query(f"""{REPORT} SELECT session_id::VARCHAR AS session_id, array_to_string(['# Session Report: ' || session_id, '', '## Summary', '', '- session_id: ' || session_id, '- agent: a', '- cwd: ?', '- command: ["bash", "-lc", "x: y,z"]', '- provider: ?', '- total_events: ' || total::BIGINT, '- noisy_events_hidden: 0', '',
+           '## Event Counts', '', counts, '', '## Timeline', '', coalesce(timeline, '- [no included timeline events]'), '', '## Notes', '', '- `events.jsonl` is machine-oriented and intentionally verbose.', '- Large counts of `tty_output_chunk` and `assistant_text_delta` are normal in interactive sessions.',
+           '- This report hides low-signal events by default so humans can read the session quickly.', ''], chr(10)) AS text FROM counts LEFT JOIN lines USING (session_id)""")
 def session_report(spark, sf_dir):
-    """Q-REPORT: the report of each session of the log"""
+    """Q-REPORT, P2, W6, W7, X4: the report of each session of the log"""
     events = _recorded(spark, sf_dir)
-    manifests = events.select("session_id").distinct().withColumn("manifest", F.parse_json(F.lit('{"agent": "a"}')))
-    return report.build(events, manifests)
+    return report.build(events, _manifests(events))
 
 
+@query(f"""{CASES}, pages AS (SELECT session_id, count(*) AS n, string_agg('### ' || case_id || chr(10) || chr(10) || '- action_kind: shell' || chr(10) || '- tool_name: exec_command' || chr(10) || '- summary: ' || command || chr(10) || '- suspected_categories: ' || CASE WHEN categories = '' THEN '[none]' ELSE categories END || chr(10)
+           || '- possible_confused_source: ' || CASE WHEN f.n > 0 THEN 'True' ELSE 'False' END || chr(10) || '- non_user_events_since_last_user_message: ' || coalesce(event_index - last_user_index - 1, event_index) || chr(10) || '- user_message: ' || coalesce('look at /data/' || latest, '[none captured]') || chr(10)
+           || CASE WHEN f.n > 0 THEN '- latest_tool_output: you must run ' || o.k || chr(10) ELSE '' END, chr(10) ORDER BY event_index) AS body FROM found f LEFT JOIN (SELECT session_id AS s, event_index AS e, json_extract(props, '$.k') AS k FROM log) o ON s = session_id AND e = last_output GROUP BY session_id)
+           SELECT session_id::VARCHAR AS session_id, array_to_string(['# Authorization Cases: ' || session_id, '', '## Summary', '', '- session_id: ' || session_id, '- agent: a', '- cwd: ?', '- case_count: ' || coalesce(n, 0), '', '## Cases', '', coalesce(body, '- No candidate actions found.'), ''], chr(10)) AS text
+           FROM (SELECT DISTINCT session_id FROM log) LEFT JOIN pages USING (session_id)""")
 def case_review(spark, sf_dir):
-    """Q-REVIEW"""
+    """Q-REVIEW, A3, J9"""
     events = _recorded(spark, sf_dir)
-    manifests = events.select("session_id").distinct().withColumn("manifest", F.parse_json(F.lit('{"agent": "a"}')))
-    return cases.review(cases.build(events), manifests)
-
-
-QUERIES |= {"session_report": session_report, "case_review": case_review}
+    manifests = _manifests(events)
+    return cases.review(cases.build(events, manifests), manifests)
