@@ -366,35 +366,33 @@ def manifest_merge(spark, sf_dir):
     return sinks.merged(left, right).select("session_id", F.element_at("manifest", "shared").alias("shared"), F.element_at("manifest", "own").alias("own"))
 
 
-@query("""SELECT session_id::VARCHAR AS session_id, event_index, kind, text FROM (SELECT *, CASE event_type WHEN 'signup' THEN 'user_input' WHEN 'error' THEN 'tool_call_result' WHEN 'purchase' THEN 'tool_call_requested' WHEN 'click' THEN 'request_user_message' ELSE 'request_system_message' END AS kind,
-          CASE WHEN event_type NOT IN ('error', 'purchase') THEN 'look at /data/' || json_extract(props, '$.k') END AS text FROM log)""")
+@query("""SELECT (session_id % 40)::VARCHAR AS session_id, row_number() OVER (PARTITION BY session_id % 40 ORDER BY event_id) - 1 AS event_index, CASE event_type WHEN 'signup' THEN 'user_input' WHEN 'error' THEN 'tool_call_result' WHEN 'purchase' THEN 'tool_call_requested' WHEN 'click' THEN 'request_user_message' ELSE 'request_system_message' END AS kind,
+          CASE WHEN event_type NOT IN ('error', 'purchase') THEN 'look at /data/' || json_extract(props, '$.k') END AS text FROM log""")
 def log_files(spark, sf_dir):
-    """Logs written by session and read again, with lines between that are no events"""
+    """Logs written by session (of 40) and read again, with lines between that are no events"""
     folder = f"{scratch(spark)}/logs-{uuid.uuid4().hex}"
-    lines = _recorded(spark, sf_dir).select("session_id", "event_index", F.explode(F.array(F.col("raw"), F.lit("[1]"), F.lit("{half"), F.lit(""))).alias("value"))
-    lines.repartition("session_id").sortWithinPartitions("session_id", "event_index").drop("event_index").write.partitionBy("session_id").text(folder)
+    lines = _recorded(spark, sf_dir).select((F.col("session_id").cast("long") % 40).alias("session_id"), F.col("event_id").cast("long").alias("at"), F.explode(F.array(F.col("raw"), F.lit("[1]"), F.lit("{half"), F.lit(""))).alias("value"))
+    lines.repartition("session_id").sortWithinPartitions("session_id", "at").drop("at").write.partitionBy("session_id").text(folder)
     found = logs.events(spark, f"{folder}/*/*.txt")
     return found.select(F.regexp_replace("session_id", "session_id=", "").alias("session_id"), "event_index", F.col("event_type").alias("kind"), J.string("content", "$.text").alias("text"))
 
 
-@query("""SELECT session_id, path, thread_id FROM (SELECT c_custkey AS session_id, c_custkey AS thread_id, 'rollout-x-t' || c_custkey || '.jsonl' AS path, c_nationkey FROM customer WHERE c_custkey % 2 = 0)
-          UNION ALL SELECT session_id, path, thread_id FROM (SELECT s.c_custkey AS session_id, r.c_custkey AS thread_id, 'rollout-x-t' || r.c_custkey || '.jsonl' AS path, row_number() OVER (PARTITION BY s.c_custkey ORDER BY abs(r.c_custkey - s.c_custkey), r.c_custkey, 'rollout-x-t' || r.c_custkey) AS n
-          FROM customer s JOIN customer r ON s.c_nationkey = r.c_nationkey AND r.c_custkey BETWEEN s.c_custkey - 300 AND s.c_custkey + 3600 WHERE s.c_custkey % 2 = 1) WHERE n = 1""")
+@query("""SELECT session_id, path, thread_id FROM (SELECT n_nationkey AS session_id, n_nationkey AS thread_id, 'rollout-x-t' || n_nationkey || '.jsonl' AS path FROM nation WHERE n_nationkey % 2 = 0)
+          UNION ALL SELECT session_id, path, thread_id FROM (SELECT s.n_nationkey AS session_id, r.n_nationkey AS thread_id, 'rollout-x-t' || r.n_nationkey || '.jsonl' AS path, row_number() OVER (PARTITION BY s.n_nationkey ORDER BY abs(100 * r.n_nationkey - 100 * s.n_nationkey - 60), r.n_nationkey) AS n
+          FROM nation s JOIN nation r ON s.n_regionkey = r.n_regionkey AND 100 * r.n_nationkey BETWEEN 100 * s.n_nationkey + 60 - 300 AND 100 * s.n_nationkey + 60 + 3600 WHERE s.n_nationkey % 2 = 1) WHERE n = 1""")
 def rollout_files(spark, sf_dir):
-    """Rollouts of customers, found by thread or by folder (nation) and time (number)"""
+    """Rollouts of nations, found by thread or by folder (region) and time (number)"""
     folder = f"{scratch(spark)}/rollouts-{uuid.uuid4().hex}"
-    people, name = table(spark, sf_dir, "customer"), F.concat(F.lit("t"), F.col("c_custkey").cast("string"))
-    nation = F.concat(F.lit("/n"), F.col("c_nationkey").cast("string"))
-    meta = json(type="session_meta", payload=F.struct(name.alias("id"), nation.alias("cwd"), X.iso_millis(F.col("c_custkey").cast("double")).alias("timestamp")))
+    nations, name = table(spark, sf_dir, "nation"), F.concat(F.lit("t"), F.col("n_nationkey").cast("string"))
+    region, time = F.concat(F.lit("/r"), F.col("n_regionkey").cast("string")), 100.0 * F.col("n_nationkey")
+    meta = json(type="session_meta", payload=F.struct(name.alias("id"), region.alias("cwd"), X.iso_millis(time).alias("timestamp")))
     lines = F.array(F.lit('{"type": "turn_context", "payload": {}}'), meta, F.lit('{"type": "session_meta", "payload": {"id": "later"}}'))
-    written = people.select("c_custkey", F.posexplode(lines).alias("at", "value")).repartition("c_custkey").sortWithinPartitions("c_custkey", "at").drop("at")
-    written.write.partitionBy("c_custkey").text(folder)
-    entries = logs.json_lines(spark, f"{folder}/*/*.txt")
-    found = logs.rollout_metadata(entries)
-    metadata = found.withColumn("path", F.concat(F.lit("rollout-x-"), "thread_id", F.lit(".jsonl")))
-    sessions = people.select(F.col("c_custkey").alias("session_id"), F.when(F.col("c_custkey") % 2 == 0, F.array(name)).otherwise(F.array(F.lit("none"))).alias("thread_ids"), nation.alias("cwd"), F.col("c_custkey").cast("double").alias("started"))
+    written = nations.select("n_nationkey", F.posexplode(lines).alias("at", "value")).repartition("n_nationkey").sortWithinPartitions("n_nationkey", "at").drop("at")
+    written.write.partitionBy("n_nationkey").text(folder)
+    metadata = logs.rollout_metadata(logs.json_lines(spark, f"{folder}/*/*.txt")).withColumn("path", F.concat(F.lit("rollout-x-"), "thread_id", F.lit(".jsonl")))
+    sessions = nations.select(F.col("n_nationkey").alias("session_id"), F.when(F.col("n_nationkey") % 2 == 0, F.array(name)).otherwise(F.array(F.lit("none"))).alias("thread_ids"), region.alias("cwd"), (time + 60).alias("started"))
     near = logs.rollouts_of(sessions, metadata)
-    return near.join(metadata.select("path", "thread_id"), "path").select("session_id", "path", F.substr(F.col("thread_id"), F.lit(2)).cast("long").alias("thread_id"))
+    return near.join(metadata.select("path", "thread_id"), "path").select("session_id", "path", F.substr(F.col("thread_id"), F.lit(2)).cast("int").alias("thread_id"))
 
 
 @query("SELECT event_id, session_id, props AS line FROM log")
