@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,37 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from loomtrace.session import ship, table
+from loomtrace.session import cut, remove, scratch, ship, table  # noqa: F401  for the operators
 
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
-COLUMNS = ["doc_id", "text", "lang", "source"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share, of spark.checkpoint.dir.
-
-    Only where that is unset (tests, a laptop) a local folder takes its place.
-    """
-    context = ship(spark).sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="loomtrace-"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write `df` as a table in the shared folder and go on from the written copy.
-
-    The lineage ends there, so a lost executor costs only the tasks at work; the
-    copy has no partitioning of its own, so Spark may split skewed keys of joins on it.
-    """
-    path = f"{scratch(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def packed_row(df: DataFrame, *names: str) -> DataFrame:
+    """These columns of `df` by their names, and `row`: all columns of it as one struct, so that no name of its own can clash."""
+    return df.select(*names, F.struct(*[f"`{name}`" for name in df.columns]).alias("row"))
 
 
 def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
@@ -49,19 +29,10 @@ def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iter
     return df.mapInArrow(function, schema)
 
 
-def batch_of(columns: dict[str, pa.Array | list], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(columns[f.name], type=f.type) if isinstance(columns[f.name], list) else columns[f.name].cast(f.type) for f in schema], schema=schema)
-
-
 def lower_ascii(text: str) -> str:
     """Lower-case A-Z only."""
     return text.lower() if text.isascii() else text.encode().lower().decode()
 
 
-def shards(df: DataFrame, bytes_each: int, total_bytes: int) -> int:
-    """Partitions so that each holds about `bytes_each`, at least the session's own number."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total_bytes // bytes_each))
-
-
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))

@@ -3,6 +3,8 @@ import re
 import numpy as np
 from fixtures import SCHEMA, extra, ordered, rows, table
 
+from pyspark.sql import functions as F
+
 from loomtrace.llm import quality, queries
 
 
@@ -49,21 +51,70 @@ def test_outliers_go_and_clean_texts_stay(spark):
     assert sorted(r.doc_id for r in good.collect()) == sorted(r.doc_id for r in found if r.kept)
 
 
-def test_estimate_is_the_concentrated_one(spark):
-    """The last step is a concentration step of numpy's over the same vectors."""
-    draw = np.random.default_rng(6)
-    made = [(n, prose(draw, int(draw.integers(60, 300))), "en", "a", 1) for n in range(400)]
-    counted = quality.statistics(table(spark, made))
-    fitted = quality.fit(counted).collect()[0]
-    x = np.array(counted.select(*quality._vector()).collect(), float)
-    floors = np.array(list(quality.FLOORS.values()), float) ** 2
+def brute_mcd(x):
+    """The starts, steps and the least determinant over all vectors of a cell at once, in numpy."""
+    ridge = np.diag(np.array(list(quality.FLOORS.values()), float) ** 2)
     q = np.percentile(x, [25, 50, 75], axis=0)
-    mean, inverse = q[1], np.diag(1 / (((q[2] - q[0]) / 1.349) ** 2 + floors))
-    for _ in range(quality.STEPS):
-        d = np.round(16 * np.log2(1 + np.einsum("ij,jk,ik->i", x - mean, inverse, x - mean)))
-        near = x[d <= np.percentile(d, 100 * quality.KEEP)]
-        mean, inverse = near.mean(0), np.linalg.inv(np.cov(near.T, bias=True) + np.diag(floors))
-    assert np.allclose(fitted["mean"], mean) and np.allclose(np.reshape(fitted.inverse, (4, 4)), inverse)
+    median, scale = q[1], np.sqrt(((q[2] - q[0]) / 1.349) ** 2 + ridge.diagonal())
+    z = (x - median) / scale
+    tanh, sign = np.round(1000 * np.tanh(z)), np.round(1000 * z / np.maximum(np.linalg.norm(z, axis=1), 1e-9)[:, None])
+    held = []
+    for matrix in (np.eye(4), np.cov(tanh.T, bias=True), sign.T @ sign / len(x), np.eye(4)):
+        spread = np.sqrt(np.maximum(np.diag(matrix), 1e-6))
+        held.append((np.inf, median, np.linalg.inv(np.outer(scale, scale) * matrix / np.outer(spread, spread) + 1e-6 * ridge)))
+    for step in range(quality.MOST_STEPS):
+        new = []
+        for start, (_, mean, inverse) in enumerate(held, 1):
+            d = np.round(16 * np.log2(1 + np.maximum(np.einsum("ij,jk,ik->i", x - mean, inverse, x - mean), 0)))
+            share = quality.HALF if start == 4 and step == 0 else quality.KEEP
+            near = x[d <= np.sort(d)[int(np.ceil(share * len(x) - 1e-9)) - 1]]
+            covariance = np.cov(near.T, bias=True) + ridge
+            new.append((np.linalg.det(covariance), near.mean(0), np.linalg.inv(covariance)))
+        moved = any(now[0] < last[0] * (1 - quality.FALL) for now, last in zip(new, held, strict=True))
+        held = new
+        if not moved:
+            break
+    return [(now, start, mean) for start, (now, mean, _) in enumerate(held, 1)]
+
+
+def cell_of(x, parts=1):
+    rows = [("c", *map(int, row)) for row in x]
+    return rows, ["cell", *quality.FLOORS]
+
+
+def test_the_least_determinant_wins(spark):
+    """A third of the texts are a far and narrow group that medians alone are drawn to: starts end apart, and the least determinant wins, as in brute force."""
+    draw = np.random.default_rng(6)
+    main = draw.multivariate_normal([1500, -3000, -2900, -2900], np.diag([200, 700, 500, 600]) ** 2, 500)
+    other = draw.multivariate_normal([3500, 500, 800, -400], np.diag([30, 40, 40, 30]) ** 2, 420)
+    x = np.round(np.concatenate([main, other])).astype(int)
+    found = sorted(brute_mcd(x.astype(float)))
+    assert found[-1][0] > 1.05 * found[0][0]
+    rows, names = cell_of(x)
+    df = spark.createDataFrame(rows, names).repartition(5)
+    quartiles = df.groupBy("cell").agg(F.array(*(F.percentile(n, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) for n in quality.FLOORS)).alias("quartiles"))
+    best = quality.minimum_determinant(quality.packed(df), quartiles).collect()[0]
+    assert abs(best.determinant / found[0][0] - 1) < 0.02 and np.allclose(best.mean, found[0][2], rtol=0.02, atol=20)
+
+
+def test_a_hot_cell_is_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(quality, "BLOCK", 16)
+    monkeypatch.setattr(quality, "PART", 2)
+    draw = np.random.default_rng(7)
+    x = np.round(draw.normal(0, 500, (1000, 4))).astype(int)
+    rows, names = cell_of(x)
+    df = spark.createDataFrame(rows, names).repartition(3)
+    blocks = quality.packed(df)
+    assert blocks.select("part").distinct().count() > 8 and blocks.agg(F.sum(F.octet_length("vectors"))).first()[0] == 16 * len(x)
+    quartiles = df.groupBy("cell").agg(F.array(*(F.percentile(n, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) for n in quality.FLOORS)).alias("quartiles"))
+    best = quality.minimum_determinant(blocks, quartiles).collect()[0]
+    assert abs(best.determinant / min(brute_mcd(x.astype(float)))[0] - 1) < 0.01
+
+
+def test_columns_with_names_of_our_own(spark):
+    docs = spark.createDataFrame([(k, prose(np.random.default_rng(k), 80), "en", "a", "m", "r", "i") for k in range(30)], "doc_id long, text string, lang string, source string, kept string, row string, mean string")
+    good = quality.good(docs)
+    assert good.columns == docs.columns and {(r.kept, r.row, r.mean) for r in good.collect()} == {("m", "r", "i")}
 
 
 def test_repetition_below_the_base_rule_goes(spark):
