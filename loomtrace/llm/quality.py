@@ -122,8 +122,8 @@ def _cells() -> list[Column]:
 
 SIZE = len(FLOORS)
 RIDGE = np.diag(np.array(list(FLOORS.values()), float) ** 2)
-START = "start int, mean array<double>, inverse array<double>, determinant double"
-ESTIMATES = f"cell string, starts array<struct<{START.replace(' ', ': ').replace(',: ', ', ')}>>, moved boolean"
+STARTS = "array<struct<start: int, mean: array<double>, inverse: array<double>, determinant: double>>"
+ESTIMATES, STEPS = f"cell string, starts {STARTS}", f"cell string, starts {STARTS}, done {STARTS}"
 SUMS = "cell string, start int, before double, bin int, n long, sums array<long>, products array<long>"
 SHRUNK = "_lang string, _source string, mean array<double>, inverse array<double>, spread double"
 
@@ -219,15 +219,27 @@ def _reaching(pdf: pd.DataFrame, share: float) -> int:
 
 def _concentrated(pdf: pd.DataFrame) -> pd.DataFrame:
     """One step of each start of a cell. The fourth start takes a half of the documents first, and so begins nearer to the medians."""
-    starts, moved = [], False
+    starts = []
     for (start, before), some in pdf.groupby(["start", "before"], sort=True):
         some = some.sort_values("bin")
         limit = _reaching(some, HALF if start == 4 and np.isinf(before) else KEEP)
         mean, covariance = _up_to(some, some["bin"].to_numpy() <= limit)
-        determinant = float(np.linalg.det(covariance))
-        moved |= determinant < before * (1 - FALL)
-        starts.append((int(start), mean.tolist(), np.linalg.inv(covariance).ravel().tolist(), determinant))
-    return pd.DataFrame([(pdf["cell"].iloc[0], starts, moved)], columns=["cell", "starts", "moved"])
+        starts.append((int(start), mean.tolist(), np.linalg.inv(covariance).ravel().tolist(), float(np.linalg.det(covariance))))
+    return pd.DataFrame([(pdf["cell"].iloc[0], starts)], columns=["cell", "starts"])
+
+
+def _settled(parts):
+    """Each start goes on from its step if the determinant fell; else it has settled, and the lesser one of the two stays."""
+    for pdf in parts:
+        rows = []
+        for cell, starts, done, new in zip(pdf["cell"], pdf["starts"], pdf["done"], pdf["new"], strict=True):
+            plain = lambda s: (int(s["start"]), list(s["mean"]), list(s["inverse"]), float(s["determinant"]))
+            old, on, over = {s["start"]: plain(s) for s in starts}, [], [plain(s) for s in done]
+            for s in map(plain, new):
+                falls = s[3] < old[s[0]][3] * (1 - FALL)
+                (on if falls else over).append(s if falls or s[3] <= old[s[0]][3] else old[s[0]])
+            rows.append((cell, on, over))
+        yield pd.DataFrame(rows, columns=["cell", "starts", "done"])
 
 
 def _from_quartiles(quartiles: list) -> tuple[np.ndarray, np.ndarray]:
@@ -263,23 +275,27 @@ def _first(blocks: DataFrame, quartiles: DataFrame) -> DataFrame:
                     spread = np.sqrt(np.maximum(matrix.diagonal(), 1e-6))
                     covariance = np.outer(scale, scale) * (matrix / np.outer(spread, spread)) + 1e-6 * RIDGE
                     starts.append((start, median.tolist(), np.linalg.inv(covariance).ravel().tolist(), float("inf")))
-                rows.append((cell, starts, True))
-            yield pd.DataFrame(rows, columns=["cell", "starts", "moved"])
+                rows.append((cell, starts, []))
+            yield pd.DataFrame(rows, columns=["cell", "starts", "done"])
 
     met = _with_estimates(blocks, quartiles)
     partial = map_arrow(met.select("cell", "vectors", "quartiles"), transformed, "cell string, sums array<long>")
     size = 1 + SIZE + 2 * SIZE * SIZE
     summed = partial.groupBy("cell").agg(F.array(*[F.sum(F.col("sums")[k]) for k in range(size)]).alias("sums"))
-    return quartiles.join(summed, "cell").mapInPandas(made, ESTIMATES)
+    return quartiles.join(summed, "cell").mapInPandas(made, STEPS)
 
 
 def minimum_determinant(blocks: DataFrame, quartiles: DataFrame) -> DataFrame:
     """cell, start, mean, inverse and determinant of the start of each cell that ends with the least determinant."""
     estimates = cut(_first(blocks, quartiles))
     for _ in range(MOST_STEPS):
-        estimates = cut(_by_distance(blocks, estimates).groupBy("cell").applyInPandas(_concentrated, ESTIMATES), instead_of=estimates)
-        if estimates.where("moved").isEmpty():
+        going = estimates.where(F.size("starts") > 0)
+        if going.isEmpty():
             break
+        new = _by_distance(blocks, going).groupBy("cell").applyInPandas(_concentrated, ESTIMATES).withColumnRenamed("starts", "new")
+        stepped = going.join(new, "cell").select("cell", "starts", "done", "new").mapInPandas(_settled, STEPS)
+        estimates = cut(stepped.unionByName(estimates.where(F.size("starts") == 0)), instead_of=estimates)
+    estimates = estimates.select("cell", F.concat("starts", "done").alias("starts"))
     best = F.array_sort(F.transform("starts", lambda s: F.struct(s["determinant"], s["start"], s["mean"], s["inverse"])))[0]
     return estimates.select("cell", best.alias("best")).select("cell", "best.start", "best.mean", "best.inverse", "best.determinant")
 
@@ -294,7 +310,7 @@ def _reweighted(pdf: pd.DataFrame) -> pd.DataFrame:
     bins = pdf["bin"].to_numpy()
     inside = bins <= max(octaves(np.array([WITHIN * _spread(pdf)]))[0], _reaching(pdf, KEEP))
     mean, covariance = _up_to(pdf, inside)
-    return pd.DataFrame([(pdf["cell"].iloc[0], [(1, mean.tolist(), np.linalg.inv(covariance).ravel().tolist(), float(np.linalg.det(covariance)))], False)], columns=["cell", "starts", "moved"])
+    return pd.DataFrame([(pdf["cell"].iloc[0], [(1, mean.tolist(), np.linalg.inv(covariance).ravel().tolist(), float(np.linalg.det(covariance)))])], columns=["cell", "starts"])
 
 
 def _spreads(pdf: pd.DataFrame) -> pd.DataFrame:
