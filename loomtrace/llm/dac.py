@@ -10,7 +10,9 @@ A file is Parquet written by Spark: one row for a segment, in ascending doc_id
 order (null first, equal ids by text). A segment ends with the document that
 fills it. Spark's commit protocol keeps attempts of lost tasks out, and any
 store that Spark writes will do. Null and empty texts are the end id alone;
-repeated rows are documents of their own.
+very long texts are encoded whole; repeated rows are documents of their own; an
+empty table writes no segment and reads as no rows. Only doc_id and text are
+read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import map_arrow, ship
 
 MAGIC = b"DAC1"
 BLOCK_BITS = 512
@@ -237,6 +239,10 @@ def _documents(spark: SparkSession, path: str, column: str, give) -> DataFrame:
                 ids = segment.tokens()
                 ends = np.cumsum(segment.lengths.astype(np.int64))
                 first = ends - segment.lengths.astype(np.int64)
+                # Random access by rank has to agree with reading in order, at the first id of each document.
+                some = np.flatnonzero(segment.lengths)
+                if not np.array_equal(segment.access(first[some]), ids[first[some]]):
+                    raise ValueError(f"a segment of part {part} gives other ids by its rank directory")
                 for k in range(0, len(ends), 1024):
                     some = slice(k, k + 1024)
                     found = [ids[a:b] for a, b in zip(first[some], ends[some], strict=True)]
@@ -250,17 +256,25 @@ def _documents(spark: SparkSession, path: str, column: str, give) -> DataFrame:
 
 
 def lookup(spark: SparkSession, path: str, places: DataFrame) -> DataFrame:
-    """`places` (a column `place` of positions in the whole file) with the id there, reading single codes only."""
+    """`places` (a column `place` of positions in the whole file) with the id there, reading single codes only.
+
+    Places first find their segment by its range alone; then each segment with its different places, at most as many as it
+    has ids, is read once. Places outside of the file give no row, repeated ones repeat.
+    """
     segments = spark.read.parquet(path)
-    ranges = segments.join(starts(segments), "part").select((F.col("before") + F.col("part_start")).alias("low"), "n_tokens", "payload")
+    ranges = segments.select("part", "segment", "part_start", "n_tokens").join(starts(segments), "part").select("part", "segment", (F.col("before") + F.col("part_start")).alias("low"), "n_tokens")
     # Positions and segments meet on a grid of SEGMENT ids; a segment lies in a few cells.
     cells = ranges.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") / SEGMENT), F.floor((F.col("low") + F.col("n_tokens") - 1) / SEGMENT))))
-    met = places.select("place").withColumn("cell", F.floor(F.col("place") / SEGMENT)).join(cells, "cell").where((F.col("place") >= F.col("low")) & (F.col("place") < F.col("low") + F.col("n_tokens")))
-
-    def run(batches):
-        for batch in batches:
-            places = batch.column(0).to_pylist()
-            ids = [int(Segment(batch.column(2)[k].as_py()).access(place - batch.column(1)[k].as_py())[0]) for k, place in enumerate(places)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64())], names=["place", "token"])
-
-    return map_arrow(met.select("place", "low", "payload"), run, "place long, token long")
+    inside = (F.col("place") >= F.col("low")) & (F.col("place") < F.col("low") + F.col("n_tokens"))
+    met = places.select("place").distinct().withColumn("cell", F.floor(F.col("place") / SEGMENT)).join(cells, "cell").where(inside).select("part", "segment", "place", "low")
+
+    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+        if not asked.num_rows:
+            return pa.table({"place": pa.array([], pa.int64()), "token": pa.array([], pa.int64())})
+        inside = asked["place"].to_numpy() - asked["low"].to_numpy()
+        return pa.table({"place": asked["place"], "token": pa.array(Segment(held["payload"][0].as_py()).access(inside).astype(np.int64))})
+
+    ship(spark)
+    held = spark.read.parquet(path).select("part", "segment", "payload")
+    found = met.groupBy("part", "segment").cogroup(held.groupBy("part", "segment")).applyInArrow(run, "place long, token long")
+    return places.select("place").join(found, "place")

@@ -13,6 +13,13 @@ and hash (Spark's external sort spills them), so at each boundary between two
 keys the subtrees before it are complete: once `BUDGET` bytes are resident they
 are given out and dropped. A key that fills the budget alone is compacted to
 its terminal rows.
+
+`groups` tells each row its owner by the digest of its text: a text that a third
+of the rows have is then one row on the owners' side, and its members are never
+together in one task, as they would be in its terminal.
+
+Very long texts are keys like others; an empty table gives no rows; columns of
+the input keep their names and values whatever they are called.
 """
 
 from __future__ import annotations
@@ -161,8 +168,10 @@ def _with_keys(taken: pa.RecordBatch, names: list[str], sizes: list[int], keys:
 
 
 def owners(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """The rows of `docs` that stay, with _size (rows of the group), _length, _hash and _sha256 of the normalised text."""
-    docs = docs.drop("_size", "_length", "_hash", "_sha256")
+    """The rows of `docs` that stay: doc_id, text, rest (their other columns, as one struct, so that no name clashes),
+    _size (rows of the group), _length, _hash and _sha256 of the normalised text."""
+    others = [F.col(f"`{name}`") for name in docs.columns if name not in ("doc_id", "text")]
+    docs = docs.select("doc_id", "text", (F.struct(*others) if others else F.lit(None).cast("string")).alias("rest"))
     names = docs.columns
     at = {name: i for i, name in enumerate([*names, "_size", "_length", "_hash"])}
     schema = T.StructType([*docs.schema.fields, T.StructField("_size", T.LongType()), T.StructField("_length", T.LongType()), T.StructField("_hash", T.LongType()), T.StructField("_sha256", T.StringType())])
@@ -173,7 +182,7 @@ def owners(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """One row of each group of equal texts, with the columns of `docs`."""
-    return owners(docs).select(*[f"`{name}`" for name in docs.columns])
+    return owners(docs).select(*[F.col(name) if name in ("doc_id", "text") else F.col(f"rest.`{name}`") for name in docs.columns])
 
 
 def groups(docs: DataFrame) -> DataFrame:

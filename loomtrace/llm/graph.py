@@ -59,5 +59,5 @@ def components(edges: DataFrame) -> DataFrame:
         if state == seen or not state[0]:
             break
         seen = state
-        pairs = cut(_small_star(_large_star(pairs).where("u <> v").distinct()).where("u <> v").distinct())
+        pairs = cut(_small_star(_large_star(pairs).where("u <> v").distinct()).where("u <> v").distinct(), instead_of=pairs)
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).union(pairs.select("v", "v").distinct())

@@ -14,11 +14,16 @@ tasks; a block leaves at most two fractions, which meet in the next round's
 blocks until a source has one block. There the landing phase gives up the
 document total first, then the word total, for the last two documents.
 
+Equal rows (one doc_id, source, size and text) are one unit, due as many copies
+as all of them together; the rows share what it gets evenly. So no block fills
+with them, and blocks are of about `BLOCK` units however rows repeat.
+
 Random numbers come from the source, the block and the round, and blocks are
-ordered by document, so reruns agree. A null or empty text has size 0; a source
-without words has target 0 and takes nothing. Repeated rows are documents of
-their own here; `mixed`, which joins on doc_id, gives all rows of one doc_id
-the largest number of copies among them.
+ordered by unit, so reruns agree. A null or empty text has size 0; a source
+without words has target 0 and takes nothing; very long texts are one document
+of their size; an empty table gives no rows. `mixed` gives copies to rows, not to
+doc_ids, which may repeat or be null, and keeps all columns whatever their names.
+The sources themselves are ordered in one task, a row each.
 """
 
 from __future__ import annotations
@@ -30,15 +35,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, ship, text_or_empty
+from .common import WORD, cut, packed_row, ship, text_or_empty
 
 WEIGHTS = (3, 1, 2)
 BLOCK = 4096
 TINY = 1e-9
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"))
+#: What makes rows equal.
+UNIT = ["doc_id", "source", "size", "words"]
+
+
+def sizes(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, source, size, words (a hash of the text) and a number of each row, with `more` columns."""
+    size = F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long")
+    return docs.select("doc_id", "source", size.alias("size"), F.xxhash64(text_or_empty()).alias("words"), F.monotonically_increasing_id().alias("number"), *more)
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -96,7 +107,7 @@ def _settle(units: DataFrame, turn: int, seed: int) -> DataFrame:
     """One flight in each (source, block); p becomes 0 or 1 but for two documents of a block that isn't its source's only one."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([(name, "ascending") for name in ("mix_order", "doc_id", "size")])
+        table = table.sort_by([(name, "ascending") for name in ("mix_order", "doc_id", "size", "words")])
         name = table["source"][0].as_py()
         key = f"{'-' if name is None else '+' + name}\0{table['block'][0].as_py()}\0{turn}\0{seed}".encode()
         random = np.random.default_rng([zlib.crc32(key), len(key), zlib.adler32(key)])
@@ -107,19 +118,19 @@ def _settle(units: DataFrame, turn: int, seed: int) -> DataFrame:
     return units.groupBy("source", "block").applyInArrow(run, units.schema)
 
 
-def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 0, block: int = BLOCK) -> DataFrame:
-    """One row for each row of docs: doc_id, source, size, source_size, target, copies."""
-    sized = cut(sizes(docs))
+def _settled(sized: DataFrame, weights: tuple[int, ...], share: float, most: float, seed: int, block: int) -> DataFrame:
+    """One row for each unit: UNIT, source_size, target, n (its rows) and all (copies of them together)."""
     plan = targets(sized, weights, share, most).withColumnRenamed("source", "of")
     due = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    grouped = sized.groupBy(*UNIT).agg(F.count("*").alias("n"))
+    units = grouped.join(plan, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     # Rounding keeps whole numbers of copies whole.
-    rate = F.round(due, 12)
+    total = F.round(F.round(due, 12) * F.col("n"), 9)
     units = (
-        sized.join(plan, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-        .withColumn("whole", F.floor(rate).cast("long"))
-        .withColumn("p", rate - F.floor(rate))
-        .withColumn("blocks", F.ceil(F.col("source_docs") / block).cast("long"))
-        .withColumn("mix_order", F.xxhash64("doc_id", "size", F.lit(seed)))
+        units.withColumn("whole", F.floor(total).cast("long"))
+        .withColumn("p", total - F.floor(total))
+        .withColumn("blocks", F.greatest(F.ceil(F.col("source_docs") / block), F.lit(1)).cast("long"))
+        .withColumn("mix_order", F.xxhash64("doc_id", "size", "words", F.lit(seed)))
         .withColumn("block", F.pmod("mix_order", F.col("blocks")))
     )
     open_ = (F.col("p") > 0) & (F.col("p") < 1)
@@ -134,12 +145,34 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1
         turn += 1
         # At most two of each block are left; each block of the next round takes about `block` of them.
         rest = rest.withColumn("blocks", F.ceil(F.col("blocks") * 2 / block).cast("long")).withColumn("mix_order", F.xxhash64("mix_order", F.lit(turn))).withColumn("block", F.pmod("mix_order", F.col("blocks")))
-    return result.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("p").cast("long")).alias("copies"))
+    return result.select(*UNIT, "source_size", "target", "n", (F.col("whole") + F.col("p").cast("long")).alias("all"))
+
+
+def _shared(sized: DataFrame, settled: DataFrame) -> DataFrame:
+    """The rows of `sized` with source_size, target and copies: equal rows have equal numbers of them, or some have one more."""
+    same = [F.col(name).eqNullSafe(F.col(f"_{name}")) for name in UNIT]
+    met = sized.join(settled.withColumnsRenamed({name: f"_{name}" for name in UNIT}), same).drop(*[f"_{name}" for name in UNIT])
+    evenly, each = F.col("all") % F.col("n") == 0, F.floor(F.col("all") / F.col("n")).cast("long")
+    rest = met.where(~evenly).withColumn("part", F.shiftright("number", 33))
+    # A row's place among its equals: those in parts of the table before its own, and those before it in its part.
+    before = rest.groupBy(*UNIT, "part").agg(F.count("*").alias("m")).withColumn("ahead", F.coalesce(F.sum("m").over(Window.partitionBy(*UNIT).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    before = before.select(*[F.col(name).alias(f"_{name}") for name in (*UNIT, "part")], "ahead")
+    place = F.row_number().over(Window.partitionBy(*UNIT, "part").orderBy("number")) + F.col("ahead")
+    placed = rest.join(before, [*same, F.col("part") == F.col("_part")]).withColumn("place", place)
+    more = placed.withColumn("copies", each + (F.col("place") <= F.col("all") % F.col("n")).cast("long"))
+    columns = [*sized.columns, "source_size", "target", "copies"]
+    return met.where(evenly).withColumn("copies", each).select(*columns).unionByName(more.select(*columns))
+
+
+def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 0, block: int = BLOCK) -> DataFrame:
+    """One row for each row of docs: doc_id, source, size, source_size, target, copies."""
+    sized = cut(sizes(docs))
+    return _shared(sized, _settled(sized, weights, share, most, seed, block)).select("doc_id", "source", "size", "source_size", "target", "copies")
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """`docs` with each row as often as the mix takes it."""
-    taken = copies(docs, **options).groupBy(F.col("doc_id").alias("_mix_id")).agg(F.max("copies").alias("_mix_copies"))
-    joined = docs.join(taken.where(F.col("_mix_copies") > 0), F.col("doc_id").eqNullSafe(F.col("_mix_id")))
-    again = joined.withColumn("_mix_again", F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))))
-    return again.select(*[f"`{name}`" for name in docs.columns])
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 0, block: int = BLOCK) -> DataFrame:
+    """`docs` with each row as often as the mix takes it. Rows are written once, numbered, and meet their copies by number."""
+    rows = cut(sizes(packed_row(docs, "doc_id", "source", "text"), "row"))
+    sized = rows.drop("row")
+    taken = _shared(sized, _settled(sized, weights, share, most, seed, block)).where("copies > 0").select("number", "copies")
+    return rows.join(taken, "number").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")

@@ -24,7 +24,8 @@ join, so a passage that everyone quotes or writes is one row on one side of it.
 Null texts are empty. Null conversations are one conversation; a null turn is
 never quoted or linked. Rows of one turn are each parsed for themselves, and as
 a parent the turn has the earliest of their originals. Repeated rows repeat;
-other columns stay as they are.
+very long messages are parsed whole; an empty table gives no rows. Other columns
+stay as they are, whatever their names, but for those named like the results.
 """
 
 from __future__ import annotations
@@ -120,8 +121,10 @@ def roots(edges: DataFrame) -> DataFrame:
 def conversations(messages: DataFrame) -> DataFrame:
     """`messages` (conv_id, turn, role, text) with text without quotes and reply_to, thread, depth, n_quotes, n_linked,
     n_elsewhere and formatted (replacing columns of these names). Sort by conv_id, thread, depth, turn for reply order."""
-    others = [name for name in messages.columns if name not in FOUND and name not in ("conv_id", "turn")]
-    rows = cut(parse(messages.select("conv_id", "turn", "text", *[f"`{name}`" for name in others]).withColumn("_row", F.xxhash64("role", "text"))))
+    others = [name for name in messages.columns if name not in FOUND and name not in ("conv_id", "turn", "role")]
+    # Other columns travel as one struct, so that no name of theirs can clash.
+    rest = (F.struct(*[f"`{name}`" for name in others]) if others else F.lit(None).cast("string")).alias("_rest")
+    rows = cut(parse(messages.select("conv_id", "turn", "role", "text", rest).withColumn("_row", F.xxhash64("role", "text"))))
     quoting = rows.where(F.size("_quotes") > 0)
     known = cut(links(rows.select("conv_id", "turn", "_row", "_quotes", "_units"))).withColumnsRenamed({"conv_id": "_conv", "turn": "_turn", "_row": "_key"})
     same = F.col("conv_id").eqNullSafe(F.col("_conv")) & F.col("turn").eqNullSafe(F.col("_turn"))
@@ -134,7 +137,7 @@ def conversations(messages: DataFrame) -> DataFrame:
     every = placed.unionByName(plain, allowMissingColumns=True)
     replies = F.col("reply_to").isNotNull()
     return every.select(
-        "conv_id", "turn", *[f"`{name}`" for name in others if name != "text"], F.col("_own").alias("text"), "reply_to",
+        "conv_id", "turn", "role", *[F.col(f"_rest.`{name}`") for name in others], F.col("_own").alias("text"), "reply_to",
         F.coalesce("root", "reply_to", "turn").alias("thread"),
         F.when(replies, 1 + F.coalesce("_depth", F.lit(0))).otherwise(0).cast("long").alias("depth"),
         F.size("_quotes").cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), F.coalesce("n_elsewhere", F.lit(0)).cast("long").alias("n_elsewhere"),

@@ -18,7 +18,9 @@ over `TILE` fingerprints at home is compared in tiles of its homes and visitors
 over many tasks, and each task gives a spanning forest instead of its pairs.
 
 Rows are identified by their doc_id; a null doc_id is never a component's id
-unless all of its rows have none. Repeated rows get equal results.
+unless all of its rows have none. Repeated rows get equal results; very long
+texts are hashed whole, some thousand shingles at a time; an empty table gives no
+rows; `dedup` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow
+from .common import cut, map_arrow, packed_row
 from .graph import components, local_forest
 
 SEED, SHINGLE, NEAR = 42, 3, 2
@@ -236,5 +238,6 @@ def groups(docs: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """The rows of `docs` whose doc_id is that of their component; rows of one doc_id stay or go together."""
-    stay = groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stays")), "left_semi")
+    stay = groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays")).distinct()
+    rows = packed_row(docs, "doc_id")
+    return rows.join(stay, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi").select("row.*")

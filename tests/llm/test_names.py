@@ -1,0 +1,58 @@
+"""Columns with names that operators use for their own keep their values; rows of one doc_id each get their own copies."""
+
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from fixtures import SCHEMA, rows, table
+from pyspark.sql import functions as F
+
+from loomtrace.llm import dac, exact, mix, quotes, simhash
+
+NAMES = ["_size", "_length", "_hash", "_sha256", "_kind", "_row", "_rest", "_stays", "stays", "_mix_copies", "_mix_id", "_mix_again", "row", "rest", "root", "number", "words", "all", "copies", "part", "place", "size", "component_id", "fingerprint"]
+
+
+@pytest.mark.parametrize("operator", [exact.dedup, simhash.dedup, mix.mixed])
+def test_documents(spark, operator):
+    docs = table(spark, rows(count=20)).withColumns({name: F.lit(name) for name in NAMES})
+    found = operator(docs)
+    assert found.columns == docs.columns
+    got = found.select(*NAMES).distinct().collect()
+    assert [tuple(r) for r in got] == [tuple(NAMES)]
+
+
+def test_conversations(spark):
+    made = [(1, 0, "user", "hello there\nyou"), (1, 1, "assistant", "> hello there\nyes"), (None, None, None, None)]
+    messages = spark.createDataFrame(made, "conv_id long, turn long, role string, text string").withColumns({name: F.lit(name) for name in NAMES})
+    found = quotes.conversations(messages)
+    assert {tuple(r) for r in found.select(*NAMES).collect()} == {tuple(NAMES)} and found.where("reply_to = 0").count() == 1
+    assert quotes.conversations(messages.limit(0)).count() == 0
+
+
+def test_rows_of_one_doc_id_are_mixed_one_by_one(spark):
+    """Ids repeat and are null in two sources, and a third of the rows are equal."""
+    made = [((7, None)[k % 2], "w " * (1 + k % 5) if k % 3 else "same text here", "en", "ab"[k % 2], 1) for k in range(3000)]
+    docs = table(spark, made, 4)
+    plan = {r.source: r.target for r in mix.copies(docs).select("source", "target").distinct().collect()}
+    taken = defaultdict(int)
+    for r in mix.mixed(docs).collect():
+        taken[r.source] += len(r.text.split())
+    assert all(abs(taken[s] - plan[s]) <= 5 for s in "ab")
+    again = mix.copies(docs.repartition(7))
+    assert sorted(map(repr, again.collect())) == sorted(map(repr, mix.copies(docs).collect()))
+    most = mix.copies(docs).agg(F.max("copies")).first()[0]
+    assert most <= 2 and mix.copies(docs).count() == 3000
+
+
+def test_lookup_reads_each_segment_once(spark, tmp_path):
+    docs = table(spark, [r for r in rows(count=30) if r[0] is not None and len(r[1] or "") < 5000])
+    dac.write(docs, f"{tmp_path}/ids", segment=50)
+    every = [i for r in dac.read(spark, f"{tmp_path}/ids").orderBy("start").collect() for i in r.ids]
+    asked = np.random.default_rng(1).integers(0, len(every) + 20, 200).tolist()
+    found = dac.lookup(spark, f"{tmp_path}/ids", spark.createDataFrame([(a,) for a in asked], "place long")).collect()
+    assert sorted(map(tuple, found)) == sorted((a, every[a]) for a in asked if a < len(every))
+
+
+def test_an_empty_table(spark, tmp_path):
+    empty = spark.createDataFrame([], SCHEMA)
+    assert mix.mixed(empty).count() == exact.dedup(empty).count() == simhash.dedup(empty).count() == 0
