@@ -60,7 +60,7 @@ KEEP, HALF = 0.6, 0.5
 #: Quantiles of chi-square with four degrees of freedom: 0.975 for the reweighted estimate, 0.999 to reject.
 WITHIN, CUT = 11.143, 18.467
 #: A determinant has to fall by this share to go on; steps after which a start that still falls is taken as it is.
-FALL, MOST_STEPS = 1e-6, 40
+FALL, MOST_STEPS = 1e-3, 40
 #: Vectors of a block, and blocks of a cell that are one part.
 BLOCK, PART = 4096, 64
 #: The median of the squared distance of four normal variables.
