@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomtrace.session import table
 
-from . import bpe, dac, exact, lm, mix, quality, quotes, secrets, simhash, suffix
+from . import balltree, bpe, dac, exact, lloyd, lm, mix, quality, quotes, runs, secrets, simhash, suffix
 from .common import documents, scratch
 
 
@@ -69,7 +69,20 @@ def op10_dac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.checksums(spark, path)
 
 
-QUERIES = {q.__name__: q for q in (op1_suffix, op2_mix, op3_quality, op4_bpe, op5_exact, op6_simhash, op7_quotes, op8_secrets, op9_lm, op10_dac)}
+def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balltree.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op12_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", runs.looped(F.col("doc_id"), F.col("text")).alias("text"))
+    return runs.digests(runs.detect(docs, keep_text=False))
+
+
+QUERIES = {q.__name__: q for q in (op1_suffix, op2_mix, op3_quality, op4_bpe, op5_exact, op6_simhash, op7_quotes, op8_secrets, op9_lm, op10_dac, op11_topk, op12_lloyd, op13_runs)}
 ORACLES = {
     "op5_exact": """
         SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256
