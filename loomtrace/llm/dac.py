@@ -10,7 +10,8 @@ A file is Parquet written by Spark: one row for a segment, in ascending doc_id
 order (null first, equal ids by text). A segment ends with the document that
 fills it. Spark's commit protocol keeps attempts of lost tasks out, and any
 store that Spark writes will do. Null and empty texts are the end id alone;
-very long texts are encoded whole; repeated rows are documents of their own; an
+very long texts are encoded whole; a token that the vocabulary adds to its own
+(such as a text's end) has its id where a text spells it, as in the library; repeated rows are documents of their own; an
 empty table writes no segment and reads as no rows. Only doc_id and text are
 read, so other columns can't clash.
 """
@@ -49,7 +50,8 @@ class Encoder:
     No merge crosses a space that follows anything but white space, so such a
     space and the word after it have ids of their own. The new words of a batch
     are encoded as one text; in it a word begins where a token begins with a
-    space. A text with other spaces (at its end, or two together) is encoded whole.
+    space. A text with other spaces (at its end, or two together) or with a token
+    that the vocabulary adds to its own (in `added`) is encoded whole.
     """
 
     def __init__(self, path: str, cache: int = CACHE):
@@ -59,7 +61,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         space = self.tokenizer.pre_tokenizer.pre_tokenize_str(" ")[0][0]
         self.begins = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.begins[[number for token, number in self.tokenizer.get_vocab().items() if token.startswith(space)]] = True
@@ -74,7 +76,9 @@ class Encoder:
         self.known.update(zip(words, map(buffer.__getitem__, map(slice, starts, [*starts[1:], len(buffer)])), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [text.split(" ") for text in texts]
+        # Nothing of a text with an added token is learnt: its words may be parts of the token.
+        plain = [not any(token in text for token in self.added) for text in texts]
+        split = [text.split(" ") if alone else [""] for text, alone in zip(texts, plain, strict=True)]
         # First words have no space before them and are no words here.
         firsts = [words.pop(0) for words in split]
         words = set().union(*split)
@@ -86,9 +90,9 @@ class Encoder:
         for start in range(0, len(new), 10_000):
             self.learn(new[start : start + 10_000])
         out, ids = [], self.known.__getitem__
-        for text, first, start, rest in zip(texts, firsts, self.each(firsts), split, strict=True):
+        for text, alone, first, start, rest in zip(texts, plain, firsts, self.each(firsts), split, strict=True):
             try:
-                if first[-1:].isspace() or (rest and not first):
+                if not alone or first[-1:].isspace() or (rest and not first):
                     raise KeyError(first)
                 out.append(start + b"".join(map(ids, rest)))
             except KeyError:

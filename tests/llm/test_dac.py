@@ -1,19 +1,26 @@
 import zlib
 
 import numpy as np
+import public_tokenizers
 from fixtures import SCHEMA, extra, ordered, rows, table
 from hypothesis import given
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from loomtrace.llm import dac, queries
 
 
+#: The library as it comes, not the operator's encoder.
+FRESH = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+ADDED = ["see <|endoftext|> here", "<|endoftext|>", " <|endoftext|><|endoftext|>  x", "a <|endoftext|", "of<|endoftext|>of of", "of of"]
+
+
 def whole(text):
-    return [*dac.encoder(dac.default_vocabulary()).tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+    return [*FRESH.encode(text or "", add_special_tokens=False).ids, 0]
 
 
 def test_query(spark, tmp_path):
-    made = rows()
+    made = rows() + [(700 + k, text, "en", "a", 1) for k, text in enumerate(ADDED)]
     table(spark, made).write.parquet(f"{tmp_path}/documents.parquet")
     want, start = [], 0
     for m in sorted(made, key=lambda m: (m[0] is not None, m[0] or 0, m[1] is not None, (m[1] or "").encode())):
@@ -46,4 +53,5 @@ def test_codes(ids):
 @given(st.lists(st.text(st.sampled_from("ab'ts 1é\n\t.,#\u00a0\u200b\x1c数"), max_size=40), max_size=8))
 def test_words_have_the_ids_of_the_whole_text(texts):
     encoder = dac.encoder(dac.default_vocabulary())
-    assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(texts)] == [whole(t)[:-1] for t in texts]
+    for some in (texts, [*texts, *ADDED]):
+        assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(some)] == [whole(t)[:-1] for t in some]
