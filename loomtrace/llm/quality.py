@@ -13,8 +13,8 @@ cell's documents, from four deterministic starts:
 4. the half of the documents that is nearest to the medians.
 
 From each, concentration steps keep the 60% of documents with the least
-Mahalanobis distance and estimate mean and covariance again, until the
-determinant no longer falls. The least determinant of the four wins. It is
+Mahalanobis distance and estimate mean and covariance again, as long as the
+determinant falls at all, which ends as there are finitely many sets to keep. The least determinant of the four wins. It is
 reweighted: mean and covariance of the documents within the 0.975 quantile.
 The estimate of a language and source with n documents then weighs
 n / (n + `PRIOR`), that of its language the rest, whatever the sizes; other
@@ -59,8 +59,6 @@ PRIOR = 200
 KEEP, HALF = 0.6, 0.5
 #: Quantiles of chi-square with four degrees of freedom: 0.975 for the reweighted estimate, 0.999 to reject.
 WITHIN, CUT = 11.143, 18.467
-#: A determinant has to fall by this share to go on; steps after which a start that still falls is taken as it is.
-FALL, MOST_STEPS = 1e-3, 40
 #: Vectors of a block, and blocks of a cell that are one part.
 BLOCK, PART = 4096, 64
 #: The median of the squared distance of four normal variables.
@@ -229,15 +227,15 @@ def _concentrated(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _settled(parts):
-    """Each start goes on from its step if the determinant fell; else it has settled, and the lesser one of the two stays."""
+    """Each start goes on from its step if the determinant fell; else it has settled and stays as it was."""
     for pdf in parts:
         rows = []
         for cell, starts, done, new in zip(pdf["cell"], pdf["starts"], pdf["done"], pdf["new"], strict=True):
             plain = lambda s: (int(s["start"]), list(s["mean"]), list(s["inverse"]), float(s["determinant"]))
             old, on, over = {s["start"]: plain(s) for s in starts}, [], [plain(s) for s in done]
             for s in map(plain, new):
-                falls = s[3] < old[s[0]][3] * (1 - FALL)
-                (on if falls else over).append(s if falls or s[3] <= old[s[0]][3] else old[s[0]])
+                falls = s[3] < old[s[0]][3]
+                (on if falls else over).append(s if falls else old[s[0]])
             rows.append((cell, on, over))
         yield pd.DataFrame(rows, columns=["cell", "starts", "done"])
 
@@ -288,10 +286,7 @@ def _first(blocks: DataFrame, quartiles: DataFrame) -> DataFrame:
 def minimum_determinant(blocks: DataFrame, quartiles: DataFrame) -> DataFrame:
     """cell, start, mean, inverse and determinant of the start of each cell that ends with the least determinant."""
     estimates = cut(_first(blocks, quartiles))
-    for _ in range(MOST_STEPS):
-        going = estimates.where(F.size("starts") > 0)
-        if going.isEmpty():
-            break
+    while not (going := estimates.where(F.size("starts") > 0)).isEmpty():
         new = _by_distance(blocks, going).groupBy("cell").applyInPandas(_concentrated, ESTIMATES).withColumnRenamed("starts", "new")
         stepped = going.join(new, "cell").select("cell", "starts", "done", "new").mapInPandas(_settled, STEPS)
         estimates = cut(stepped.unionByName(estimates.where(F.size("starts") == 0)), instead_of=estimates)

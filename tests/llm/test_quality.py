@@ -63,16 +63,16 @@ def brute_mcd(x):
         spread = np.sqrt(np.maximum(np.diag(matrix), 1e-6))
         held.append((np.inf, median, np.linalg.inv(np.outer(scale, scale) * matrix / np.outer(spread, spread) + 1e-6 * ridge)))
     for start, now in enumerate(held, 1):
-        for step in range(quality.MOST_STEPS):
-            last, mean, inverse = now
+        falls, step = True, -1
+        while falls:
+            (last, mean, inverse), step = now, step + 1
             d = np.round(16 * np.log2(1 + np.maximum(np.einsum("ij,jk,ik->i", x - mean, inverse, x - mean), 0)))
             share = quality.HALF if start == 4 and step == 0 else quality.KEEP
             near = x[d <= np.sort(d)[int(np.ceil(share * len(x) - 1e-9)) - 1]]
             covariance = np.cov(near.T, bias=True) + ridge
             new = (np.linalg.det(covariance), near.mean(0), np.linalg.inv(covariance))
-            falls, now = new[0] < last * (1 - quality.FALL), min(new, now, key=lambda s: s[0])
-            if not falls:
-                break
+            falls = new[0] < last
+            now = new if falls else now
         held[start - 1] = now
     return [(now, start, mean) for start, (now, mean, _) in enumerate(held, 1)]
 
