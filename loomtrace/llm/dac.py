@@ -20,10 +20,12 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +37,8 @@ BLOCK_BITS = 512
 SEGMENT = 1 << 18
 #: Words whose ids a Python worker keeps; beyond it only those of the batch that brings new ones stay.
 CACHE = 900_000
+#: Bytes of text whose words are looked up together.
+AT_ONCE = 1 << 19
 SEGMENT_SCHEMA = "part int, segment int, part_start long, n_docs long, n_tokens long, payload binary"
 
 
@@ -180,6 +184,15 @@ def pack(doc_ids: list, lengths: list[int], ids: np.ndarray) -> bytes:
     return b"".join(out)
 
 
+def pieces(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
+    """The ids and texts of a batch, some `AT_ONCE` bytes of text at a time, as their words are held meanwhile."""
+    at = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)) // AT_ONCE
+    edges = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), batch.num_rows]
+    for start, end in zip(edges, edges[1:], strict=False):
+        some = batch.slice(start, end - start)
+        yield some.column(0).to_pylist(), [text or "" for text in some.column(1).to_pylist()]
+
+
 def write(docs: DataFrame, path: str, vocabulary: str | None = None, end: int = 0, segment: int = SEGMENT) -> None:
     """Encode `docs` and write their ids to `path`, which must not exist."""
     vocabulary = vocabulary or default_vocabulary()
@@ -196,9 +209,8 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, end: int =
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), *(pa.array([n], pa.int64()) for n in (start, len(held), size)), pa.array([payload], pa.binary())], names=["part", "segment", "part_start", "n_docs", "n_tokens", "payload"])
 
         last = struct.pack("<I", end)
-        for batch in batches:
-            coded = encoder(vocabulary).encode([text or "" for text in batch.column(1).to_pylist()])
-            for doc_id, ids in zip(batch.column(0).to_pylist(), coded, strict=True):
+        for doc_ids, some in (part for batch in batches for part in pieces(batch)):
+            for doc_id, ids in zip(doc_ids, encoder(vocabulary).encode(some), strict=True):
                 ids += last
                 held.append(doc_id)
                 lengths.append(len(ids) // 4)
