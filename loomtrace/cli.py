@@ -1,7 +1,9 @@
-"""Command line: `python -m loomtrace.cli render|cases ROOT OUT [--session-dir DIR | --session ID | --latest] [--include-noisy]`.
+"""Command line: `python -m loomtrace.cli render|cases ROOT OUT [--session-dir DIR | --session ID | --latest] [--include-noisy] [--store]`.
 
-ROOT holds a folder for each session with events.jsonl and manifest.json. With none of the three, all sessions are taken;
-of several the folder counts first, then the id. What was written is told by an event of each session in OUT/events.
+ROOT holds a folder for each session with events.jsonl and manifest.json, or is a store of events (see `sources.store`).
+With none of the three, all sessions are taken; of several the folder counts first, then the id. What was written is told
+by an event of each session in OUT/events. With `--store` cases, pages and events are kept in stores, for many sessions;
+else each session has a folder.
 """
 
 from __future__ import annotations
@@ -12,17 +14,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .plans import cases, report
-from .sources import logs, sinks
+from .sources import logs, sinks, store
 
 
 def chosen(spark: SparkSession, root: str, session: str | None, latest: bool, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Events and manifests of one session (by folder, by id or the latest one), or of all. A session without a manifest
     has an empty one; one that isn't there is an error."""
+    if store.commits(root):
+        found = store.catalogue(spark, root)
+        one = logs.resolved(found, folder, session, latest) if folder or session or latest else None
+        there = found if one is None else found.where(F.col("session_id") == one)
+        return logs.stored_events(spark, root, one), there.select("session_id", F.lit(None).cast("variant").alias("manifest"))
     if not folder and not session and latest:
-        found = logs.latest_session(spark, f"{root}/*/events.jsonl").first()
-        session = found and found["session_id"]
+        session = logs.resolved(logs.listed(spark, f"{root}/*/events.jsonl"), newest=True)
     where = folder.rstrip("/") if folder else f"{root}/{session or '*'}"
-    files = spark.read.format("binaryFile").load(f"{where}/events.jsonl").select(F.regexp_extract("path", logs.SESSION_OF, 1).alias("session_id"))
+    files = logs.listed(spark, f"{where}/events.jsonl").select("session_id")
     if files.isEmpty():
         raise FileNotFoundError(f"no session at {where}")
     there = logs.manifests(spark, f"{where}/manifest.json" if folder else f"{root}/*/manifest.json")
@@ -38,18 +44,20 @@ def main(arguments: list[str] | None = None) -> None:
     parser.add_argument("--session")
     parser.add_argument("--latest", action="store_true")
     parser.add_argument("--include-noisy", action="store_true")
+    parser.add_argument("--store", action="store_true")
     given = parser.parse_args(arguments)
     spark = SparkSession.builder.appName("loomtrace").getOrCreate()
     events, manifests = chosen(spark, given.root, given.session, given.latest, given.session_dir)
+    pages, kept, told_to = (sinks.keep_pages, sinks.keep_cases, sinks.keep_events) if given.store else (sinks.write_pages, sinks.write_cases, sinks.append_lines)
     if given.command == "render":
-        sinks.write_pages(report.build(events, manifests, given.include_noisy), f"{given.out}/reports")
+        pages(report.build(events, manifests, given.include_noisy), f"{given.out}/reports")
         told = sinks.report_generated(manifests, given.out, given.include_noisy)
     else:
         found = cases.build(events, manifests)
-        sinks.write_cases(found, f"{given.out}/cases")
-        sinks.write_pages(cases.review(found, manifests), f"{given.out}/reviews")
+        kept(found, f"{given.out}/cases")
+        pages(cases.review(found, manifests), f"{given.out}/reviews")
         told = sinks.cases_generated(manifests, found, given.out)
-    sinks.append_lines(told, f"{given.out}/events")
+    told_to(told, f"{given.out}/events")
 
 
 if __name__ == "__main__":

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -54,7 +55,8 @@ def clean(resource: Column) -> Column:
 
 def has_any(text: Column, words: list[str]) -> Column:
     """Whether any of the words is a part of the text, in either case."""
-    return F.lower(text).rlike("|".join(re.escape(word.lower()) for word in words))
+    lowered = F.lower(text)
+    return reduce(Column.__or__, [F.contains(lowered, F.lit(word.lower())) for word in words])
 
 
 def starts_with_any(command: Column, prefixes: list[str]) -> Column:

@@ -7,6 +7,7 @@ rows. Files and streams are written to and read from the session's shared folder
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,11 +16,11 @@ from .. import vocabulary as V
 from ..functions import text as X
 from ..functions import values as J
 from ..operators import events as E
-from ..session import scratch, table
-from ..sources import bodies, logs, sinks
+from ..session import cut, scratch, table
+from ..sources import bodies, logs, sinks, store
 from ..streaming import live, tail
-from . import cases, imports, messages, reconcile, rollouts
-from .queries import _recorded, chat, log, query
+from . import cases, imports, messages, reconcile, report, rollouts
+from .queries import CASES, REPORT_TEXT, _manifests, _recorded, chat, log, query
 
 TURN = "event_index"
 
@@ -314,16 +315,16 @@ def path_extract(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.array_join(F.array_sort(X.paths(whole)), " ").alias("paths"), F.array_join(every, " ").alias("cleaned"))
 
 
-STARTS = lambda words: " OR ".join(f"starts_with(c, $${w}$$)" for w in words)
+STARTS = lambda words: " OR ".join(f"starts_with(ltrim(c, chr(32) || chr(9) || chr(10) || chr(13)), $${w}$$)" for w in words)
 HOLDS = lambda words: " OR ".join(f"contains(c, $${w}$$)" for w in words)
 
 
 @query(f"""SELECT doc_id, ({HOLDS(V.DESTRUCTIVE)}) AS destructive_action, ({HOLDS([*V.DESTRUCTIVE, *V.IRREVERSIBLE_WORDS])}) AS irreversible_action, ({STARTS(V.WRITE_PREFIXES)}) AND NOT ({STARTS(V.READ_PREFIXES)}) AS write_action,
            ({STARTS(V.READ_PREFIXES)}) AND NOT ({STARTS(V.WRITE_PREFIXES)}) AND NOT ({HOLDS(V.DESTRUCTIVE)}) AND NOT ({HOLDS(V.EXTERNAL)}) AS read_only_action, ({HOLDS(V.EXTERNAL)}) AS external_effect, false AS delegate_action
-           FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'rm -rf x; ' WHEN 1 THEN 'git status ' WHEN 2 THEN 'python -c ' WHEN 3 THEN 'cat http://' ELSE '' END || lower(coalesce(text, '')) AS c FROM documents WHERE NOT starts_with(coalesce(text, ''), ' '))""")
+           FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'rm -rf x; ' WHEN 1 THEN 'git status ' WHEN 2 THEN 'python -c ' WHEN 3 THEN 'cat http://' ELSE ' ' END || lower(coalesce(text, '')) AS c FROM documents)""")
 def prefix_flags(spark, sf_dir):
     """Commands after white space of several kinds"""
-    rows, number = table(spark, sf_dir, "documents").where(~F.startswith(F.coalesce("text", F.lit("")), F.lit(" "))), F.col("doc_id") % 5
+    rows, number = table(spark, sf_dir, "documents"), F.col("doc_id") % 5
     head = F.when(number == 0, "\n rm -rf x; ").when(number == 1, "\tgit status ").when(number == 2, " python -c ").when(number == 3, "\r\ncat http://").otherwise(" ")
     command = F.concat(head, F.coalesce("text", F.lit("")))
     return rows.select("doc_id", *[flag.alias(name) for name, flag in cases._flags(command, F.lit("exec_command"), command).items()])
@@ -366,15 +367,65 @@ def manifest_merge(spark, sf_dir):
     return sinks.merged(left, right).select("session_id", F.element_at("manifest", "shared").alias("shared"), F.element_at("manifest", "own").alias("own"))
 
 
-@query("""SELECT (session_id % 40)::VARCHAR AS session_id, row_number() OVER (PARTITION BY session_id % 40 ORDER BY event_id) - 1 AS event_index, CASE event_type WHEN 'signup' THEN 'user_input' WHEN 'error' THEN 'tool_call_result' WHEN 'purchase' THEN 'tool_call_requested' WHEN 'click' THEN 'request_user_message' ELSE 'request_system_message' END AS kind,
+@query("""SELECT session_id::VARCHAR AS session_id, row_number() OVER (PARTITION BY session_id ORDER BY event_id) - 1 AS event_index, CASE event_type WHEN 'signup' THEN 'user_input' WHEN 'error' THEN 'tool_call_result' WHEN 'purchase' THEN 'tool_call_requested' WHEN 'click' THEN 'request_user_message' ELSE 'request_system_message' END AS kind,
           CASE WHEN event_type NOT IN ('error', 'purchase') THEN 'look at /data/' || json_extract(props, '$.k') END AS text FROM log""")
 def log_files(spark, sf_dir):
-    """Logs written by session (of 40) and read again, with lines between that are no events"""
-    folder = f"{scratch(spark)}/logs-{uuid.uuid4().hex}"
-    lines = _recorded(spark, sf_dir).select((F.col("session_id").cast("long") % 40).alias("session_id"), F.col("event_id").cast("long").alias("at"), F.explode(F.array(F.col("raw"), F.lit("[1]"), F.lit("{half"), F.lit(""))).alias("value"))
-    lines.repartition("session_id").sortWithinPartitions("session_id", "at").drop("at").write.partitionBy("session_id").text(folder)
-    found = logs.events(spark, f"{folder}/*/*.txt")
-    return found.select(F.regexp_replace("session_id", "session_id=", "").alias("session_id"), "event_index", F.col("event_type").alias("kind"), J.string("content", "$.text").alias("text"))
+    """Logs of all sessions kept in a store and read again, with lines between that are no events"""
+    root = f"{scratch(spark)}/logs-{uuid.uuid4().hex}"
+    lines = _recorded(spark, sf_dir).select("session_id", F.posexplode(F.array(F.col("raw"), F.lit("[1]"), F.lit("{half"), F.lit(""))).alias("part", "value"), F.col("event_id").cast("long").alias("id"))
+    store.write(lines.select("session_id", F.struct("id", "part").alias("at"), "value"), root)
+    return logs.stored_events(spark, root).select("session_id", "event_index", F.col("event_type").alias("kind"), J.string("content", "$.text").alias("text"))
+
+
+@query(f"""{CASES}, told AS (SELECT session_id, count(f.case_id) AS case_count FROM (SELECT DISTINCT session_id FROM log) LEFT JOIN found f USING (session_id) GROUP BY session_id)
+           SELECT session_id::VARCHAR AS session_id, row_number() OVER (PARTITION BY session_id ORDER BY event_index) - 1 AS line, case_id, command, categories, case_count FROM found JOIN told USING (session_id)
+           UNION ALL SELECT session_id::VARCHAR, NULL, NULL, NULL, NULL, case_count FROM told WHERE case_count = 0""")
+def stored_cases(spark, sf_dir):
+    """K4, K5: cases kept in a store twice, the later ones in place of the earlier, and the events that tell of them"""
+    root, events = f"{scratch(spark)}/cases-{uuid.uuid4().hex}", _recorded(spark, sf_dir)
+    found, sessions = cut(cases.build(events)), events.select("session_id").distinct()
+    half = found.where(F.col("session_id").cast("long") % 2 == 0).withColumn("case_id", F.lit("old"))
+    sinks.keep_cases(half, f"{root}/cases", "first")
+    for _ in range(2):  # the second time nothing happens
+        sinks.keep_cases(found, f"{root}/cases", "second")
+        sinks.keep_events(sinks.cases_generated(sessions, found, root), f"{root}/events", commit="told")
+    told = logs.stored_events(spark, f"{root}/events").where("event_type = 'authz_cases_generated'").select("session_id", F.try_variant_get("content", "$.case_count", "long").alias("case_count"))
+    of = lambda path, name: F.get_json_object("value", f"$.{path}").alias(name)
+    kept = store.read(spark, f"{root}/cases").select("session_id", F.col("line_index").alias("line"), of("case_id", "case_id"), of("action.command", "command"), F.array_join(F.from_json(F.get_json_object("value", "$.heuristic_hints.suspected_categories"), "array<string>"), ", ").alias("categories"))
+    return told.join(kept, "session_id", "left").select("session_id", "line", "case_id", "command", "categories", "case_count")
+
+
+@query(REPORT_TEXT)
+def stored_reports(spark, sf_dir):
+    """K6: reports kept in a store, line by line, for the sessions that the events tell of"""
+    root, events = f"{scratch(spark)}/reports-{uuid.uuid4().hex}", _recorded(spark, sf_dir)
+    manifests = _manifests(events)
+    sinks.keep_pages(report.build(events, manifests), f"{root}/reports")
+    sinks.keep_events(sinks.report_generated(manifests, root), f"{root}/events")
+    told = logs.stored_events(spark, f"{root}/events").where("event_type = 'session_report_generated'").select("session_id")
+    return sinks.kept_pages(store.read(spark, f"{root}/reports").join(told, "session_id", "left_semi"))
+
+
+@query("""SELECT asked, s.session_id::VARCHAR AS session_id, (SELECT count(*) FROM log WHERE log.session_id = s.session_id) + CASE WHEN s.session_id % 2 = 0 THEN (SELECT count(*) FROM log WHERE log.session_id = s.session_id) ELSE 0 END AS lines
+          FROM (SELECT 'folder' AS asked, min(session_id) AS session_id FROM log UNION ALL SELECT 'id', min(session_id) FILTER (session_id > (SELECT min(session_id) FROM log)) FROM log
+          UNION ALL SELECT 'latest', max(session_id::VARCHAR)::BIGINT FROM log WHERE session_id % 2 = 0 UNION ALL SELECT 'none', NULL) s""")
+def session_choice(spark, sf_dir):
+    """S3, O1: a session chosen by folder, by id or as the latest one of a catalogue, and read by the index alone; one that isn't there"""
+    root, events = f"{scratch(spark)}/sessions-{uuid.uuid4().hex}", cut(_recorded(spark, sf_dir).select("session_id", F.col("event_index").alias("at"), F.col("raw").alias("value")))
+    store.write(events, root, "all")
+    store.write(events.where(F.col("session_id").cast("long") % 2 == 0), root, "even")
+    found = store.catalogue(spark, root)
+    first, second = (str(r[0]) for r in events.select(F.col("session_id").cast("long").alias("s")).distinct().orderBy("s").limit(2).collect())
+    asked = {"folder": {"folder": f"/logs/{first}/", "session": second, "newest": True}, "id": {"session": second, "newest": True}, "latest": {"newest": True}, "none": {"session": "nowhere"}}
+    told = []
+    for name, choice in asked.items():
+        try:
+            session = logs.resolved(found, **choice)
+        except FileNotFoundError:
+            session = None
+        read = store.read(spark, root, "nowhere" if session is None else session)
+        told.append(read.agg(F.count("*").alias("lines")).select(F.lit(name).alias("asked"), F.lit(session).cast("string").alias("session_id"), "lines"))
+    return reduce(DataFrame.unionByName, told)
 
 
 @query("""SELECT session_id, path, thread_id FROM (SELECT n_nationkey AS session_id, n_nationkey AS thread_id, 'rollout-x-t' || n_nationkey || '.jsonl' AS path FROM nation WHERE n_nationkey % 2 = 0)

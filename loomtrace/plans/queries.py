@@ -354,9 +354,12 @@ REPORT = """, told AS (SELECT session_id, event_index, CASE event_type WHEN 'sig
   counts AS (SELECT session_id, sum(n) AS total, string_agg('- ' || kind || ': ' || n, chr(10) ORDER BY n DESC, first) AS counts FROM (SELECT session_id, kind, count(*) AS n, min(event_index) AS first FROM told GROUP BY ALL) GROUP BY session_id)"""
 
 
-@query(f"""{REPORT} SELECT session_id::VARCHAR AS session_id, array_to_string(['# Session Report: ' || session_id, '', '## Summary', '', '- session_id: ' || session_id, '- agent: a', '- cwd: ?', '- command: ["bash", "-lc", "x: y,z"]', '- provider: ?', '- total_events: ' || total::BIGINT, '- noisy_events_hidden: 0', '',
+REPORT_TEXT = f"""{REPORT} SELECT session_id::VARCHAR AS session_id, array_to_string(['# Session Report: ' || session_id, '', '## Summary', '', '- session_id: ' || session_id, '- agent: a', '- cwd: ?', '- command: ["bash", "-lc", "x: y,z"]', '- provider: ?', '- total_events: ' || total::BIGINT, '- noisy_events_hidden: 0', '',
            '## Event Counts', '', counts, '', '## Timeline', '', coalesce(timeline, '- [no included timeline events]'), '', '## Notes', '', '- `events.jsonl` is machine-oriented and intentionally verbose.', '- Large counts of `tty_output_chunk` and `assistant_text_delta` are normal in interactive sessions.',
-           '- This report hides low-signal events by default so humans can read the session quickly.', ''], chr(10)) AS text FROM counts LEFT JOIN lines USING (session_id)""")
+           '- This report hides low-signal events by default so humans can read the session quickly.', ''], chr(10)) AS text FROM counts LEFT JOIN lines USING (session_id)"""
+
+
+@query(REPORT_TEXT)
 def session_report(spark, sf_dir):
     """Q-REPORT, P2, W6, W7, X4: the report of each session of the log"""
     events = _recorded(spark, sf_dir)

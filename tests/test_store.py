@@ -1,0 +1,210 @@
+"""The store of many sessions, numbering by splits, and the choice of a session."""
+
+import json
+import os
+import random
+
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import WriterCommitMessage
+
+from loomtrace import cli
+from loomtrace.sources import logs, sinks, store
+
+
+def rows(spark, *made):
+    return spark.createDataFrame([*made], "session_id string, at long, value string")
+
+
+def lines(found):
+    by = {}
+    for r in found.orderBy("session_id", "line_index").collect():
+        by.setdefault(r.session_id, []).append((r.line_index, r.value))
+    assert all([k for k, _ in own] == list(range(len(own))) for own in by.values())
+    return {session: [value for _, value in own] for session, own in by.items()}
+
+
+def files(root):
+    return sorted(os.path.join(at, name).removeprefix(f"{root}/") for at, _, names in os.walk(root) for name in names)
+
+
+def test_lines_of_many_sessions(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "CHUNK", 100)
+    root = f"file://{tmp_path}/s"
+    many = spark.range(60_000).select((F.col("id") % 20_000).cast("string").alias("session_id"), F.col("id").alias("at"), F.concat(F.lit("é"), F.col("id").cast("string")).alias("value"))
+    assert store.read(spark, root).count() == 0 and store.commits(root) == []
+    store.write(many, root, "a", buckets=7)
+    data = [f for f in files(f"{tmp_path}/s") if f.endswith(".jsonl")]
+    assert len(data) == 7
+    store.write(rows(spark, ("5", 1, "later"), ("5", 0, None), (None, 0, "of no session"), ("new", 3, "")), root, "b", buckets=3)
+    every = lines(store.read(spark, root))
+    assert len(every) == 20_002 and every["5"] == ["é5", "é20005", "é40005", "", "later"] and every[None] == ["of no session"] and every["new"] == [""]
+    assert lines(store.read(spark, root, "5")) == {"5": every["5"]} and store.read(spark, root, "nobody").count() == 0
+    told = {r.session_id: r for r in store.catalogue(spark, root).collect()}
+    assert told["5"].lines == 5 and told["5"].bytes == len("é5\né20005\né40005\n\nlater\n".encode())
+
+
+def test_one_session_is_read_by_the_index_alone(spark, tmp_path, monkeypatch):
+    root = f"{tmp_path}/s"
+    store.write(spark.range(9000).select((F.col("id") % 900).cast("string").alias("session_id"), F.col("id").alias("at"), F.lpad(F.col("id").cast("string"), 50, "x").alias("value")), root, buckets=9)
+    own = store.entries(spark, root, "77").collect()
+    for f in files(root):  # all but the session's own place is unreadable
+        if f.endswith(".jsonl"):
+            path = f"{root}/{f}"
+            size, kept = os.path.getsize(path), [(e.offset, e.length) for e in own if f == f"data/{e.file}"]
+            parts = [(at, open(path, "rb").read()[at : at + n]) for at, n in kept]
+            with open(path, "wb") as out:
+                out.write(b"\xff" * size)
+                for at, part in parts:
+                    out.seek(at)
+                    out.write(part)
+    assert [v.strip("x") for v in lines(store.read(spark, root, "77"))["77"]] == [str(k) for k in range(77, 9000, 900)]
+
+
+def test_a_hot_session_is_spread_and_long_ones_have_several_entries(spark, tmp_path, monkeypatch):
+    root = f"{tmp_path}/s"
+    hot = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, F.col("id").cast("string")).otherwise("hot").alias("session_id"), F.col("id").alias("at"), F.col("id").cast("string").alias("value"))
+    store.write(hot, root, buckets=6)
+    own = store.entries(spark, root, "hot").collect()
+    assert len({e.file for e in own}) >= 4 and sum(e.lines for e in own) == 20_000
+    assert lines(store.read(spark, root, "hot"))["hot"] == [str(k) for k in range(30_000) if k % 3]
+
+
+def test_a_repeated_commit_changes_nothing(spark, tmp_path):
+    root = f"{tmp_path}/s"
+    assert store.write(rows(spark, ("a", 0, "x")), root, "c") == "c"
+    before = files(root)
+    store.write(rows(spark, ("a", 0, "other")), root, "c")
+    assert files(root) == before and lines(store.read(spark, root)) == {"a": ["x"]}
+    # Two jobs of one commit: the one that ends later finds the record and takes its files back.
+    late = store.StoreWriter({"path": root, "commit": "c"})
+    for kind in ("data", "index"):
+        os.makedirs(f"{root}/{kind}/{late.folder}")
+        open(f"{root}/{kind}/{late.folder}/000000-x.{kind}", "w").close()
+    late.commit([store.Written(f"{late.folder}/000000-x", "a", "a", 1, 1)])
+    assert files(root) == before and len(os.listdir(f"{root}/data")) == 1
+
+
+def test_attempts_that_are_not_named_and_failed_jobs_leave_nothing(spark, tmp_path):
+    root = f"{tmp_path}/s"
+    bad = rows(spark, *[("s", k, "fine" if k < 50 else "two\nlines") for k in range(60)])
+    with pytest.raises(Exception, match="line end"):
+        store.write(bad, root, "bad", buckets=2)
+    assert files(root) == [] and store.commits(root) == []
+    writer = store.StoreWriter({"path": root, "commit": "d"})
+    for name in ("000000-killed", "000000-good"):
+        for kind in ("data", "index"):
+            os.makedirs(f"{root}/{kind}/{writer.folder}", exist_ok=True)
+            open(f"{root}/{kind}/{writer.folder}/{name}.{kind}", "w").close()
+    writer.commit([store.Written(f"{writer.folder}/000000-good", "a", "a", 0, 0), store.Written(), None])
+    assert [f for f in files(root) if "killed" in f] == [] and len(files(root)) == 3
+    assert issubclass(store.Written, WriterCommitMessage)
+    # A job whose driver died before it could commit.
+    os.makedirs(f"{root}/data/gone.1")
+    open(f"{root}/data/gone.1/000000-a.jsonl", "w").close()
+    assert store.vacuum(root) == 1 and store.vacuum(root) == 0
+
+
+def test_a_replacing_commit_hides_the_earlier_lines_of_its_sessions(spark, tmp_path):
+    root = f"{tmp_path}/s"
+    store.write(rows(spark, ("a", 0, "a0"), ("b", 0, "b0")), root)
+    store.write(rows(spark, ("a", 0, "a1"), ("a", 1, "a2")), root, replaces=True)
+    store.write(rows(spark, ("a", 0, "a3"), ("b", 0, "b1")), root)
+    assert lines(store.read(spark, root)) == {"a": ["a1", "a2", "a3"], "b": ["b0", "b1"]} and lines(store.read(spark, root, "a")) == {"a": ["a1", "a2", "a3"]}
+
+
+def test_batches_of_a_stream_are_commits(spark, tmp_path):
+    root, done = f"{tmp_path}/s", []
+
+    def keep(batch, number):
+        for _ in range(2):  # as after a failure between the commit and the end of the batch
+            done.append(store.write(batch, root, f"stream-{number}"))
+
+    for k in range(2):
+        rows(spark, *[(f"s{n}", k, f"{k}") for n in range(5)]).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema("session_id string, at long, value string").parquet(f"{tmp_path}/in")
+        stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination(120)
+    assert lines(store.read(spark, root)) == {f"s{n}": ["0", "1"] for n in range(5)} and done == ["stream-0"] * 2 + ["stream-1"] * 2
+
+
+def numbered_plainly(text):
+    good = []
+    for line in text.decode("utf-8", "replace").split("\n"):
+        try:
+            if isinstance(json.loads(line), dict):
+                good.append(line.rstrip("\r"))
+        except ValueError:
+            pass
+    return list(enumerate(good))
+
+
+def test_files_of_many_splits(spark, tmp_path, monkeypatch):
+    draw, want = random.Random(3), {}
+    for name in ("a", "b", "c", "d"):
+        made = [draw.choice([json.dumps({"n": k, "t": "é" * draw.randrange(60)}), "[1]", "", '{"half"', '{"a": 1, "a": 2}']) for k in range(draw.choice([0, 3, 700, 1500]))]
+        text = "\n".join(made).encode()
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "events.jsonl").write_bytes(text)
+        want[name] = numbered_plainly(text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "100")
+    try:
+        for few in (logs.SPLITS, 0):
+            monkeypatch.setattr(logs, "SPLITS", few)
+            found = logs.json_lines(spark, f"{tmp_path}/*/events.jsonl")
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            got = {name: [] for name in want}
+            for r in found.orderBy("path", "entry_index").collect():
+                got[r.path.split("/")[-2]].append((r.entry_index, r.raw))
+            assert got == want
+            if few:  # no row is dealt out anew, only the numbers of splits are sent around
+                assert " Exchange" not in plan.replace("BroadcastExchange", "") and "BroadcastExchange" in plan
+        assert spark.read.text(f"{tmp_path}/*/events.jsonl").rdd.getNumPartitions() > 20
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def session(root, name, *events):
+    os.makedirs(f"{root}/{name}")
+    with open(f"{root}/{name}/events.jsonl", "w") as out:
+        out.writelines(json.dumps(e) + "\n" for e in events)
+
+
+SAID = ({"event_type": "user_input", "content": {"text": "do"}}, {"event_type": "tool_call_requested", "content": {"tool_name": "t", "tool_call_id": "c", "arguments": {}}})
+
+
+def test_catalogues_and_choice(spark, tmp_path):
+    root = f"{tmp_path}/sessions"
+    for k, name in enumerate(("s1", "s2", "s3")):
+        session(root, name, *SAID)
+        os.utime(f"{root}/{name}/events.jsonl", (1000 + k % 2, 1000 + k % 2))
+    found = logs.listed(spark, f"{root}/*/events.jsonl")
+    logs.keep_catalogue(found, f"{tmp_path}/catalogue")
+    session(root, "s4", *SAID)
+    os.utime(f"{root}/s1/events.jsonl", (5000, 5000))
+    logs.keep_catalogue(logs.listed(spark, [f"{root}/s1/events.jsonl", f"{root}/s4/events.jsonl"]), f"{tmp_path}/catalogue")
+    kept = logs.kept_catalogue(spark, f"{tmp_path}/catalogue")
+    assert {r.session_id: r.modified for r in kept.collect() if r.session_id != "s4"} == {"s1": 5_000_000_000, "s2": 1_001_000_000, "s3": 1_000_000_000} and kept.count() == 4
+    assert logs.kept_catalogue(spark, f"{tmp_path}/catalogue", "s2").first().path.endswith("/s2/events.jsonl")
+    assert logs.resolved(kept, folder=f"{root}/s2/", session="s3", newest=True) == "s2" and logs.resolved(kept, session="s3", newest=True) == "s3"
+    assert logs.resolved(kept.where("session_id <> 's4'"), newest=True) == "s1"
+    for choice, error in (({}, ValueError), ({"session": "x"}, FileNotFoundError), ({"folder": "/else/s9"}, FileNotFoundError)):
+        with pytest.raises(error):
+            logs.resolved(kept, **choice)
+
+
+def test_command_line_over_stores(spark, tmp_path):
+    root, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    store.write(rows(spark, *[(name, k, json.dumps(e)) for name in ("s1", "s2") for k, e in enumerate(SAID)]), root)
+    cli.main(["cases", root, out, "--store"])
+    cli.main(["cases", root, out, "--store", "--session", "s2"])
+    cli.main(["render", root, out, "--store", "--session-dir", "any/s1", "--session", "s2"])
+    assert {s: len(v) for s, v in lines(store.read(spark, f"{out}/cases")).items()} == {"s1": 1, "s2": 1}
+    assert json.loads(lines(store.read(spark, f"{out}/cases"))["s1"][0])["case_id"] == "s1:action_0001"
+    pages = {r.session_id: r.text for r in sinks.kept_pages(store.read(spark, f"{out}/reports")).collect()}
+    assert list(pages) == ["s1"] and pages["s1"].startswith("# Session Report: s1\n") and pages["s1"].endswith("default so humans can read the session quickly.\n")
+    told = logs.stored_events(spark, f"{out}/events").select("session_id", "event_index", "event_type").collect()
+    assert sorted(map(tuple, told)) == [("s1", 0, "authz_cases_generated"), ("s1", 1, "session_report_generated"), ("s2", 0, "authz_cases_generated"), ("s2", 1, "authz_cases_generated")]
+    with pytest.raises(FileNotFoundError, match="no session"):
+        cli.main(["cases", root, out, "--session", "nowhere"])
