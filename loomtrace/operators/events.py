@@ -1,7 +1,7 @@
 """Operators on tables of events: a session, a dense index of the order in it, and any other columns.
 
-Windows are partitioned by session (and finer where the question allows it); where a reader of the past
-needs few rows of it, rows are numbered and met by number, so no step grows with the square of a session.
+Windows are partitioned by session (and finer where the question allows it); a reader of the past that
+needs few rows of it finds them by a scan over chunks (`scan`), so no step grows with the square of a session.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scan
+
 SESSION, INDEX = "session_id", "event_index"
 
 
@@ -61,63 +63,36 @@ def last_user(events: DataFrame, direct: Column, prompt: Column, name: str = "la
     return events.withColumn(name, F.coalesce(F.max(F.when(direct, F.col(INDEX))).over(window), F.max(F.when(prompt, F.col(INDEX))).over(window)))
 
 
-def _numbered(events: DataFrame, kinds: dict[str, Column], asking: Column) -> DataFrame:
-    """Rows of any wanted kind and asking rows, with the number of rows of each kind before them."""
-    kind = F.coalesce(*[F.when(wanted, F.lit(name)) for name, wanted in kinds.items()])
-    marked = events.withColumn("_kind", kind).withColumn("_asks", F.coalesce(asking, F.lit(False))).where(F.col("_kind").isNotNull() | F.col("_asks"))
-    seen = [F.coalesce(F.sum((F.col("_kind") == name).cast("long")).over(_before(SESSION)), F.lit(0)) for name in kinds]
-    return marked.withColumn("_seen", F.array(*[F.struct(F.lit(name).alias("kind"), n.alias("seen")) for name, n in zip(kinds, seen, strict=True)]))
-
-
-def _wanted(numbered: DataFrame, kinds: dict[str, Column], columns: list[str]) -> DataFrame:
-    own = F.coalesce(*[F.when(F.col("_kind") == name, F.col("_seen")[k]["seen"]) for k, name in enumerate(kinds)])
-    return numbered.where(F.col("_kind").isNotNull()).select(SESSION, F.col("_kind").alias("kind"), own.alias("_at"), *columns)
-
-
-def _back(numbered: DataFrame, kinds: dict[str, Column], columns: list[str], most: int) -> DataFrame:
-    """For each asking row (session, asked) and kind up to `most` wanted rows before it, latest first, met by number."""
-    asks = numbered.where("_asks").select(SESSION, F.col(INDEX).alias("asked"), F.explode("_seen").alias("_s")).select(SESSION, "asked", "_s.kind", F.col("_s.seen").alias("_seen")).where(F.col("_seen") > 0)
-    asks = asks.withColumn("_number", F.explode(F.sequence(F.greatest(F.col("_seen") - most, F.lit(0)), F.col("_seen") - 1)))
-    wanted = _wanted(numbered, kinds, columns).withColumnsRenamed({SESSION: "_of", "kind": "_kind"})
-    return asks.join(wanted, F.col(SESSION).eqNullSafe(F.col("_of")) & (F.col("kind") == F.col("_kind")) & (F.col("_number") == F.col("_at"))).drop("_of", "_at", "_number", "_kind")
-
-
-def recent_unique(events: DataFrame, wanted: Column | dict[str, Column], asking: Column, key: str, columns: list[str], most: int, look_back: int = 64) -> DataFrame:
+def recent_unique(events: DataFrame, wanted: Column | dict[str, Column], asking: Column, key: str, columns: list[str], most: int, chunk: int = scan.CHUNK) -> DataFrame:
     """For each asking row, the latest `most` wanted rows before it that differ in `key`, each key by its latest row.
     Several kinds of wanted rows, none of them of two kinds, are each counted for themselves; `kind` tells them apart.
 
-    The last `look_back` wanted rows are met by number, as references; the columns of those that stay come last. Asking
-    rows for which these hold too few different keys, though there are more rows, meet all earlier rows that are the last
-    of their key at that place: at most as many as there are keys, or `look_back` rows between two repetitions.
+    References are found by a scan over chunks of `chunk` rows; the columns of the rows come last.
     """
     kinds = wanted if isinstance(wanted, dict) else {"": wanted}
-    columns = [name for name in dict.fromkeys([key, *columns]) if name != INDEX]
-    numbered = _numbered(events, kinds, asking)
-    hashed = numbered.withColumn("_hash", F.sha2(F.col(key).cast("string"), 256))
-    near = _back(hashed, kinds, [INDEX, "_hash"], look_back)
-    own, lately = [SESSION, "asked", "kind"], F.col(INDEX).desc()
-    unique = near.withColumn("_again", F.row_number().over(Window.partitionBy(*own, "_hash").orderBy(lately))).where("_again = 1")
-    ranked = unique.withColumn("place", F.row_number().over(Window.partitionBy(*own).orderBy(lately))).where(F.col("place") <= most)
-    found = ranked.withColumn("_found", F.count("*").over(Window.partitionBy(*own)))
-    enough = (F.col("_found") == most) | (F.col("_seen") <= look_back)
-    short = found.where(~enough).select(*own).distinct().withColumnsRenamed({SESSION: "_of", "kind": "_kind"})
-    # A row is live from its place to the next one of its key.
-    live = _wanted(hashed, kinds, [INDEX, "_hash"]).withColumn("_until", F.lead(INDEX).over(Window.partitionBy(SESSION, "kind", "_hash").orderBy(INDEX))).drop("_at", "_hash")
-    met = F.col(SESSION).eqNullSafe(F.col("_of")) & (F.col("kind") == F.col("_kind")) & (F.col(INDEX) < F.col("asked")) & (F.col("_until").isNull() | (F.col("_until") >= F.col("asked")))
-    rest = short.join(live, met).drop("_of", "_kind", "_until").withColumn("place", F.row_number().over(Window.partitionBy(*own).orderBy(lately))).where(F.col("place") <= most)
-    keep = [*own, "place", INDEX]
-    references = found.where(enough).select(*keep).unionByName(rest.select(*keep))
+    kind = F.coalesce(*[F.when(of, F.lit(name)) for name, of in kinds.items()])
+    rows = events.select(F.col(SESSION).alias("session"), F.col(INDEX).alias("pos"), kind.alias("kind"), F.col(key).alias("key"), F.coalesce(asking, F.lit(False)).alias("asks"))
+    found = scan.last_different(rows.where(F.col("kind").isNotNull() | F.col("asks")), most, chunk)
+    references = found.withColumnsRenamed({"session": SESSION, "pos": INDEX})
+    return _told(references, events, [name for name in dict.fromkeys([key, *columns]) if name != INDEX])
+
+
+def _told(references: DataFrame, events: DataFrame, columns: list[str]) -> DataFrame:
+    """References (session, index) with columns of their rows."""
+    if not columns:
+        return references
     told = events.select(F.col(SESSION).alias("_of"), F.col(INDEX).alias("_at"), *columns)
     return references.join(told, F.col(SESSION).eqNullSafe(F.col("_of")) & (F.col(INDEX) == F.col("_at"))).drop("_of", "_at")
 
 
-def latest_since(events: DataFrame, wanted: Column, asking: Column, since: str, columns: list[str], most: int) -> DataFrame:
+def latest_since(events: DataFrame, wanted: Column, asking: Column, since: str, columns: list[str], most: int, chunk: int = scan.CHUNK) -> DataFrame:
     """For each asking row, the latest `most` wanted rows before it and after its index `since` (null: from the start)."""
-    numbered = _numbered(events, {"": wanted}, asking)
-    columns = list(dict.fromkeys([INDEX, *columns]))
+    rows = events.select(F.col(SESSION).alias("session"), F.col(INDEX).alias("pos"), F.when(wanted, F.lit("")).alias("kind"), F.col(INDEX).alias("key"), F.coalesce(asking, F.lit(False)).alias("asks"))
+    found = scan.last_different(rows.where(F.col("kind").isNotNull() | F.col("asks")), most, chunk).select(F.col("session").alias(SESSION), "asked", F.col("pos").alias(INDEX))
     starts = events.where(asking).select(F.col(SESSION).alias("_of"), F.col(INDEX).alias("_asked"), F.col(since).alias("_since"))
-    near = _back(numbered, {"": wanted}, columns, most).join(starts, F.col(SESSION).eqNullSafe(F.col("_of")) & (F.col("asked") == F.col("_asked")))
-    return near.where(F.col("_since").isNull() | (F.col(INDEX) > F.col("_since"))).select(SESSION, "asked", *columns)
+    near = found.join(starts, F.col(SESSION).eqNullSafe(F.col("_of")) & (F.col("asked") == F.col("_asked")))
+    near = near.where(F.col("_since").isNull() | (F.col(INDEX) > F.col("_since"))).select(SESSION, "asked", INDEX)
+    return _told(near, events, [name for name in dict.fromkeys(columns) if name != INDEX])
 
 
 def after_with_key(events: DataFrame, asking: Column, wanted: Column, key: str, columns: list[str]) -> DataFrame:
@@ -159,7 +134,8 @@ def distinct_in_order(rows: DataFrame, value: str, keys: tuple[str, ...] = (SESS
     return first.groupBy(*keys).agg(F.transform(pairs, lambda p: p[value]).alias(name))
 
 
-def joined_in_order(rows: DataFrame, text: str, keys: list[str], order: str = INDEX, separator: str = "\n", name: str = "text") -> DataFrame:
-    """The texts of each key in order, joined."""
+def joined_in_order(rows: DataFrame, text: str, keys: list[str], order: str = INDEX, separator: str = "\n", name: str = "text", count: str | None = None) -> DataFrame:
+    """The texts of each key in order, joined; with `count`, their number in that column."""
     pairs = F.array_sort(F.collect_list(F.struct(order, text)))
-    return rows.groupBy(*keys).agg(F.array_join(F.transform(pairs, lambda p: p[text]), separator).alias(name))
+    more = [F.count("*").alias(count)] if count else []
+    return rows.groupBy(*keys).agg(F.array_join(F.transform(pairs, lambda p: p[text]), separator).alias(name), *more)
