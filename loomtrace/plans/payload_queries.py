@@ -20,7 +20,7 @@ from ..session import cut, scratch, table
 from ..sources import bodies, logs, sinks, store
 from ..streaming import live, tail
 from . import cases, imports, messages, reconcile, report, rollouts
-from .queries import CASES, REPORT_TEXT, _manifests, _recorded, chat, log, query
+from .queries import CARRIED, CASES, REPORT_TEXT, _entries, _manifests, _recorded, chat, log, query
 
 TURN = "event_index"
 
@@ -446,6 +446,18 @@ def rollout_files(spark, sf_dir):
     return near.join(metadata.select("path", "thread_id"), "path").select("session_id", "path", F.substr(F.col("thread_id"), F.lit(2)).cast("int").alias("thread_id"))
 
 
+@query(CARRIED)
+def rollout_stream(spark, sf_dir):
+    """Rollouts as a stream of two batches; what the first says of turns and calls, the second knows"""
+    folder, entries = f"{scratch(spark)}/rollout-stream-{uuid.uuid4().hex}", _entries(spark, sf_dir).withColumn("value", F.to_json("value"))
+    for part in (F.col("entry_index") < 12, F.col("entry_index") >= 12):
+        entries.where(part).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(entries.schema).parquet(f"{folder}/in").withColumn("value", F.parse_json("value"))
+        live.append(live.rollout_events(stream), f"{folder}/out", f"{folder}/checkpoint", {"availableNow": True}).awaitTermination()
+    found = spark.read.parquet(f"{folder}/out").where("event_type = 'tool_call_result'")
+    return found.select(F.col("path").cast("long").alias("path"), "entry_index", F.get_json_object("content", "$.tool_name").alias("tool"), "turn_id")
+
+
 @query("SELECT event_id, session_id, props AS line FROM log")
 def tail_lines(spark, sf_dir):
     """Lines of files that grow between two runs of a stream"""

@@ -299,11 +299,14 @@ def request_canonicalize(spark, sf_dir):
     return messages.requests(_requests(spark, sf_dir)).select("key", "item", "event_type", F.get_json_object("content", "$.text").alias("text"))
 
 
-@query("""SELECT path, entry_index, CASE WHEN called IS NULL THEN 'exec_command' ELSE 'tool' || called END AS tool, 't' || turn AS turn_id FROM (
+CARRIED = """SELECT path, entry_index, CASE WHEN called IS NULL THEN 'exec_command' ELSE 'tool' || called END AS tool, 't' || turn AS turn_id FROM (
           SELECT session_id AS path, event_index AS entry_index, event_type, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER calls AS called,
           last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER turns AS turn FROM log
           WINDOW calls AS (PARTITION BY session_id, props ORDER BY event_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
-          turns AS (PARTITION BY session_id ORDER BY event_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) WHERE event_type = 'error'""")
+          turns AS (PARTITION BY session_id ORDER BY event_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) WHERE event_type = 'error'"""
+
+
+@query(CARRIED)
 def rollout_canonicalize(spark, sf_dir):
     """C17, C18, C19, W4, J2"""
     found = rollouts.canonical(_entries(spark, sf_dir)).where("event_type = 'tool_call_result'")

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from .. import vocabulary as V
 from ..functions import values as J
@@ -16,31 +17,71 @@ from ..session import ship
 
 CARRIED = "path string, entry_index long, timestamp string, type string, kind string, payload string, call string, name string, arguments string, request_backfill boolean, response_backfill boolean"
 STATE = "turn_id string, model string, thread_id string, made_name string, made_arguments string, generation long"
-CURSOR = "turn string, model string, thread string, names string, arguments string, generation long"
+CURSOR = "turn string, model string, thread string, generation long"
+#: Keeps each value of a state by itself, as map states need; other stores keep a state as one row.
+PROVIDER, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _advance(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Entries of one file in order, with what earlier ones said; the state goes on to the next batch.
+class Cursor(StatefulProcessor):
+    """Entries of one file in order, with what earlier ones said: turn, model and thread, and by call its name and arguments.
 
-    A file whose first line comes again was truncated and written anew: it starts its next generation with no state.
+    A batch reads and writes the state of the calls that it names, however many there were before. A file whose first
+    line comes again was truncated and written anew: it starts its next generation with no state. With `ttl_ms` what a
+    call said is forgotten when so much time has gone since.
     """
-    turn, model, thread, names, arguments, generation = state.get if state.exists else (None, None, None, "{}", "{}", 0)
-    names, arguments = json.loads(names), json.loads(arguments)
-    rows = pd.concat(list(parts)).sort_values("entry_index")
-    if state.exists and rows["entry_index"].iloc[0] == 0:
-        turn, model, thread, names, arguments, generation = None, None, None, {}, {}, generation + 1
-    rows, found = rows[rows["payload"].str.startswith("{", na=False)], []
-    for row in rows.astype(object).where(rows.notna(), None).itertuples(index=False):
-        turn, thread = row.own_turn or turn, thread or row.own_thread
-        model = row.context_model or model or row.meta_model
-        found.append(("" if row.own_turn == "" else turn, model, thread, names.get(row.call), arguments.get(row.call), generation))
-        if row.call is not None and row.learn_name is not None:
-            names[row.call] = row.learn_name
-        if row.call is not None and row.learn_arguments is not None:
-            arguments[row.call] = row.learn_arguments
-    state.update((turn, model, thread, json.dumps(names), json.dumps(arguments), generation))
-    own = rows[[part.split()[0] for part in CARRIED.split(", ")]].reset_index(drop=True)
-    yield pd.concat([own, pd.DataFrame(found, columns=[part.split()[0] for part in STATE.split(", ")])], axis=1)
+
+    def __init__(self, ttl_ms: int | None = None):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.cursor = handle.getValueState("cursor", CURSOR)
+        self.names = handle.getMapState("names", "call string", "name string", self.ttl_ms)
+        self.arguments = handle.getMapState("arguments", "call string", "arguments string", self.ttl_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        turn, model, thread, generation = self.cursor.get() or (None, None, None, 0)
+        there = self.cursor.exists()
+        rows = pd.concat(list(rows)).sort_values("entry_index")
+        if there and rows["entry_index"].iloc[0] == 0:
+            turn, model, thread, generation = None, None, None, generation + 1
+            self.names.clear()
+            self.arguments.clear()
+        rows, found = rows[rows["payload"].str.startswith("{", na=False)], []
+        names, arguments = Known(self.names), Known(self.arguments)
+        for row in rows.astype(object).where(rows.notna(), None).itertuples(index=False):
+            turn, thread = row.own_turn or turn, thread or row.own_thread
+            model = row.context_model or model or row.meta_model
+            found.append(("" if row.own_turn == "" else turn, model, thread, names[row.call], arguments[row.call], generation))
+            names.learn(row.call, row.learn_name)
+            arguments.learn(row.call, row.learn_arguments)
+        self.cursor.update((turn, model, thread, generation))
+        names.keep()
+        arguments.keep()
+        own = rows[[part.split()[0] for part in CARRIED.split(", ")]].reset_index(drop=True)
+        yield pd.concat([own, pd.DataFrame(found, columns=[part.split()[0] for part in STATE.split(", ")])], axis=1)
+
+
+class Known:
+    """A map state as a batch sees it: read once for each call that is asked for, written once for each that is learnt."""
+
+    def __init__(self, state):
+        self.state, self.held, self.new = state, {}, set()
+
+    def __getitem__(self, call: str | None) -> str | None:
+        if call is None:
+            return None
+        if call not in self.held:
+            self.held[call] = self.state.getValue((call,))[0] if self.state.containsKey((call,)) else None
+        return self.held[call]
+
+    def learn(self, call: str | None, value: str | None) -> None:
+        if call is not None and value is not None:
+            self.held[call] = value
+            self.new.add(call)
+
+    def keep(self) -> None:
+        for call in self.new:
+            self.state.updateValue((call,), (self.held[call],))
 
 
 def entries(lines: DataFrame) -> DataFrame:
@@ -52,14 +93,14 @@ def entries(lines: DataFrame) -> DataFrame:
     return parsed.where(F.coalesce(J.is_object(F.col("value")), F.lit(False)) | (F.col("entry_index") == 0))
 
 
-def rollout_events(entries: DataFrame) -> DataFrame:
+def rollout_events(entries: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """The events of a stream of rollout entries, as `rollouts.canonical` gives them for the whole files, with the
-    generation of their file: how often it was truncated and written anew."""
-    ship(entries.sparkSession)
+    generation of their file: how often it was truncated and written anew. The stream needs the store of `PROVIDER`, which is set."""
+    ship(entries.sparkSession).conf.set(PROVIDER, ROCKS)
     rows = rollouts.fields(entries, F.col("entry_index") == 0)
     text = {name: F.to_json(name) for name in ("payload", "arguments", "learn_arguments")}
-    flat = rows.withColumns(text)
-    known = flat.groupBy("path").applyInPandasWithState(_advance, f"{CARRIED}, {STATE}", CURSOR, "append", "NoTimeout")
+    flat = rows.withColumns(text | {"path": F.col("path").cast("string")})
+    known = flat.groupBy("path").transformWithStateInPandas(Cursor(ttl_ms), f"{CARRIED}, {STATE}", "Append", "None" if ttl_ms is None else "ProcessingTime")
     return rollouts.emit(known.withColumns({name: F.parse_json(name) for name in ("payload", "arguments", "made_arguments")}), "generation")
 
 
