@@ -42,7 +42,7 @@ GOLAY, LENGTH, PARITY = 0b110001110101, 23, 11
 #: Fingerprints at home with one anchor, above which it is compared in tiles.
 TILE = 4096
 #: Pairs compared at once in a task.
-PAIRS = 1 << 21
+PAIRS = 1 << 19
 
 
 def _signed(fingerprints: np.ndarray) -> np.ndarray:
