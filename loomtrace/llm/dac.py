@@ -22,6 +22,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +36,10 @@ MAGIC = b"DAC1"
 BLOCK_BITS = 512
 #: Ids after which a segment is closed.
 SEGMENT = 1 << 18
-#: Words whose ids a Python worker keeps; beyond it only those of the batch that brings new ones stay.
+#: Words whose ids a Python worker keeps; beyond it the half that was learnt last and those needed at once stay.
 CACHE = 900_000
 #: Bytes of text whose words are looked up together.
-AT_ONCE = 1 << 19
+AT_ONCE = 1 << 20
 SEGMENT_SCHEMA = "part int, segment int, part_start long, n_docs long, n_tokens long, payload binary"
 
 
@@ -65,7 +66,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # Texts without added tokens have the same ids either way, and looking for none of them takes half the time.
+        self.tokenizer.encode_special_tokens = True
         self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.path, self.plain_library = path, None
         space = self.tokenizer.pre_tokenizer.pre_tokenize_str(" ")[0][0]
         self.begins = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.begins[[number for token, number in self.tokenizer.get_vocab().items() if token.startswith(space)]] = True
@@ -74,6 +78,13 @@ class Encoder:
     def each(self, texts: list[str]) -> list[bytes]:
         return [np.array(found.ids, "<u4").tobytes() for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def with_added(self, text: str) -> bytes:
+        """The ids of a text that has added tokens, by the library as it comes."""
+        from tokenizers import Tokenizer
+
+        self.plain_library = self.plain_library or Tokenizer.from_file(self.path)
+        return np.array(self.plain_library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def learn(self, words: list[str]) -> None:
         buffer = self.each([" " + " ".join(words)])[0]
         starts = (4 * np.flatnonzero(self.begins[np.frombuffer(buffer, "<u4")])).tolist()
@@ -88,15 +99,20 @@ class Encoder:
         words = set().union(*split)
         new = words - self.known.keys()
         if len(self.known) + len(new) > self.cache:
-            self.known = {word: self.known[word] for word in words - new}
+            # The half that was learnt last stays, and what is needed now; words that come often are soon learnt again.
+            later = {word: self.known[word] for word in islice(self.known, len(self.known) // 2, None)}
+            self.known = later | {word: self.known[word] for word in words - new}
         # A word that ends with white space is not one; texts that have it are encoded whole.
         new = [word for word in new if word and not word[-1].isspace()]
         for start in range(0, len(new), 10_000):
             self.learn(new[start : start + 10_000])
         out, ids = [], self.known.__getitem__
         for text, alone, first, start, rest in zip(texts, plain, firsts, self.each(firsts), split, strict=True):
+            if not alone:
+                out.append(self.with_added(text))
+                continue
             try:
-                if not alone or first[-1:].isspace() or (rest and not first):
+                if first[-1:].isspace() or (rest and not first):
                     raise KeyError(first)
                 out.append(start + b"".join(map(ids, rest)))
             except KeyError:
