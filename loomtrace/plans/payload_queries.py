@@ -17,9 +17,9 @@ from ..functions import text as X
 from ..functions import values as J
 from ..operators import events as E
 from ..session import cut, scratch, table
-from ..sources import bodies, logs, sinks, store
+from ..sources import artifacts, bodies, logs, sinks, store
 from ..streaming import live, tail
-from . import cases, imports, messages, reconcile, report, rollouts
+from . import cases, imports, messages, reconcile, report, rollouts, ticks
 from .queries import CARRIED, CASES, REPORT_TEXT, _entries, _manifests, _recorded, chat, log, query
 
 TURN = "event_index"
@@ -446,6 +446,81 @@ def rollout_files(spark, sf_dir):
     return near.join(metadata.select("path", "thread_id"), "path").select("session_id", "path", F.substr(F.col("thread_id"), F.lit(2)).cast("int").alias("thread_id"))
 
 
+@query("""SELECT session_id, event_index, CASE event_index % 3 WHEN 2 THEN 'artifacts' ELSE 'raw' END AS kind, text AS said, (SELECT count(DISTINCT CASE event_index % 3 WHEN 2 THEN 'plain ' || text ELSE role || chr(0) || text END) FROM chat) AS kept FROM chat""")
+def raw_artifacts(spark, sf_dir):
+    """Bodies of requests kept once by their digest, events that refer to them, and what is read back by reference: JSON by type or first character, and other text"""
+    root, third = f"{scratch(spark)}/bodies-{uuid.uuid4().hex}", F.col(TURN) % 3
+    sent = chat(spark, sf_dir).select("session_id", TURN, F.when(third == 2, F.concat(F.lit("plain "), "text")).otherwise(json(role=F.col("role"), text=F.col("text"))).alias("body"), F.when(third == 0, "application/JSON").otherwise("text/plain").alias("content_type"))
+    told = artifacts.exchanged(sent)
+    artifacts.keep(told, root)
+    events = told.select("session_id", TURN, F.coalesce("raw_ref", "artifact").alias("raw_ref"))
+    back = artifacts.fetched(events, root).withColumn("body", F.col("body").cast("string"))
+    said = F.coalesce(J.string(bodies.json_body(F.col("body"), F.lit(None).cast("string")), "$.text"), F.substring("body", 7, 1 << 30))
+    kept = store.catalogue(spark, root).agg(F.count("*").alias("kept"))
+    return back.select("session_id", TURN, F.substring_index("raw_ref", "/", 1).alias("kind"), said.alias("said")).join(F.broadcast(kept))
+
+
+@query("SELECT event_id, session_id, props AS line FROM log WHERE event_id % 3 <> 0")
+def tail_from_end(spark, sf_dir):
+    """A stream that begins at the end of what is there when it starts, and takes what comes in batches of bounded bytes"""
+    folder = f"{scratch(spark)}/tail-end-{uuid.uuid4().hex}"
+    tail.register(spark)
+    rows = log(spark, sf_dir).select("event_id", json(event_id=F.col("event_id"), session_id=F.col("session_id"), line=F.col("props")).alias("value"))
+    rows.where("event_id % 3 = 0").select("value").write.mode("append").text(f"{folder}/in")
+    lines = spark.readStream.format(tail.TailSource.name()).option("path", f"{folder}/in/*.txt").option("startAtEnd", "true").option("maxBytesPerBatch", str(1 << 16)).load()
+    stream = live.append(lines.withColumn("event_type", F.lit("line")), f"{folder}/out", f"{folder}/checkpoint", {"processingTime": "0 seconds"})
+    stream.processAllAvailable()
+    rows.where("event_id % 3 <> 0").select("value").write.mode("append").text(f"{folder}/in")
+    stream.processAllAvailable()
+    stream.stop()
+    of = lambda name: F.get_json_object("line", f"$.{name}")
+    return spark.read.parquet(f"{folder}/out").select(of("event_id").cast("long").alias("event_id"), of("session_id").cast("long").alias("session_id"), of("line").alias("line"))
+
+
+def _placed(rows: DataFrame, folder: str) -> None:
+    """Write rows (name, at, value) as files of these names, each whole, in order; a task that runs again writes the same."""
+
+    def write(batches):
+        files, base = store.opened(folder)
+        files.create_dir(base)
+        name, out = None, None
+        for batch in batches:
+            for of, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if of != name:
+                    name, out = of, (out and out.close()) or files.open_output_stream(f"{base}/{of}")
+                out.write(value.encode() + b"\n")
+        if out:
+            out.close()
+        return iter(())
+
+    rows.repartition("name").sortWithinPartitions("name", "at").select("name", "value").mapInArrow(write, "n long").write.format("noop").mode("overwrite").save()
+
+
+#: Where the second tick begins in each session.
+LATER = 40
+
+
+@query(f"""SELECT session_id::VARCHAR AS session_id, 't' || session_id AS thread_ids, count(*) FILTER (event_type <> 'click' AND event_index >= {LATER})::BIGINT AS rollout_entries_imported, count(*) FILTER (event_type <> 'click')::BIGINT AS rollout_entries_total,
+          count(*) FILTER (event_type = 'click' AND event_index >= {LATER})::BIGINT AS history_entries_imported, count(*) FILTER (event_type = 'click')::BIGINT AS history_entries_total, (count(*) FILTER (event_type IN ('signup', 'view', 'error') AND event_index >= {LATER}) + 2 * count(*) FILTER (event_type = 'purchase' AND event_index >= {LATER}))::BIGINT AS rollout_events_imported,
+          count(DISTINCT CASE WHEN event_type = 'purchase' THEN json_extract(props, '$.k')::INT END)::BIGINT AS authz_case_count, coalesce(bool_or(event_type = 'purchase' AND event_index >= {LATER}), false) AS authz_refreshed, (SELECT count(*) FROM log WHERE event_type <> 'click' AND event_index >= {LATER})::BIGINT AS lines_read FROM log GROUP BY session_id""")
+def second_tick(spark, sf_dir):
+    """Q-RECON, T6, T9: rollout files and history that grow between two ticks; the second one reads what was appended"""
+    root, events = f"{scratch(spark)}/ticks-{uuid.uuid4().hex}", log(spark, sf_dir)
+    thread = F.concat(F.lit("t"), F.col("session_id").cast("string"))
+    entries = events.where("event_type <> 'click'").select(F.concat(F.lit("rollout-x-"), thread, F.lit(".jsonl")).alias("name"), F.col("event_index").alias("at"), F.concat(F.lit('{"type": "'), _entry(F.col("event_type"))[0], F.lit('", "payload": '), _entry(F.col("event_type"))[1], F.lit("}")).alias("value"))
+    later = F.col("event_index") >= LATER
+    history = events.where("event_type = 'click'").select((F.col("event_id") + F.when(later, 1 << 40).otherwise(0)).alias("history_row"), thread.alias("session_id"), X.seconds(utc()).alias("ts"), F.col("props").alias("text"), later.alias("later"))
+    sessions = events.select(F.col("session_id").cast("string").alias("session_id"), thread.alias("thread")).distinct()
+    started = F.to_json(F.struct(F.lit("session_started").alias("event_type"), F.struct(F.col("thread").alias("codex_thread_id")).alias("content")))
+    store.write(sessions.select("session_id", F.lit(0).alias("at"), started.alias("value")), f"{root}/log", "started")
+    known = sessions.select("session_id", F.lit("/w").alias("cwd"), F.lit(0.0).alias("started"))
+    for part, said in ((entries.where(F.col("at") < LATER), history.where("NOT later")), (entries, history)):
+        _placed(part, f"{root}/rollouts")
+        done = ticks.advance(spark, f"{root}/state", known, f"{root}/log", f"{root}/rollouts/*.jsonl", said.drop("later"), f"{root}/cases")
+    names = ("rollout_entries_imported", "rollout_entries_total", "history_entries_imported", "history_entries_total", "rollout_events_imported", "authz_case_count", "authz_refreshed")
+    return done.summaries.select("session_id", F.array_join("thread_ids", ",").alias("thread_ids"), *names, F.lit(done.read["entries"]).cast("long").alias("lines_read"))
+
+
 @query(CARRIED)
 def rollout_stream(spark, sf_dir):
     """Rollouts as a stream of two batches; what the first says of turns and calls, the second knows"""
@@ -495,6 +570,13 @@ def threads_named(spark, sf_dir):
     return reconcile.known_threads(events).select("session_id", F.array_join("thread_ids", ",").alias("thread_ids"))
 
 
+def _entry(kind: Column) -> tuple[Column, Column]:
+    """Type and payload of the rollout entry that stands for a row of the log."""
+    call = F.concat(F.lit("c"), F.get_json_object("props", "$.k"))
+    payload = F.when(kind == "signup", json(type="task_started")).when(kind == "view", json(model="m")).when(kind == "purchase", json(type="custom_tool_call", call_id=call, name="f", input="{}")).otherwise(json(type="exec_command_end", call_id=call))
+    return F.when(kind.isin("signup", "error"), "event_msg").when(kind == "view", "turn_context").otherwise("response_item"), payload
+
+
 @query("""SELECT session_id, 't' || session_id AS thread_ids, count(*) FILTER (event_type <> 'click')::BIGINT AS rollout_entries_imported, count(*) FILTER (event_type = 'click')::BIGINT AS history_entries_imported,
           (count(*) FILTER (event_type IN ('signup', 'view', 'error')) + 2 * count(*) FILTER (event_type = 'purchase'))::BIGINT AS rollout_events_imported, count(DISTINCT CASE WHEN event_type = 'purchase' THEN json_extract(props, '$.k')::INT END)::BIGINT AS authz_case_count, bool_or(event_type = 'purchase') AS authz_refreshed FROM log GROUP BY session_id""")
 def reconcile_tick(spark, sf_dir):
@@ -505,9 +587,7 @@ def reconcile_tick(spark, sf_dir):
         F.col("session_id").cast("string").alias("session_id"), F.lit(0).cast("long").alias("event_index"), F.lit("session_started").alias("event_type"), *[F.lit(None).cast("string").alias(n) for n in ("timestamp", "event_id", "turn_id")],
         named.alias("content"), *[F.lit(None).cast("variant").alias(n) for n in ("actor", "platform_metadata")], F.lit(None).cast("string").alias("raw"),
     )
-    kind, call = F.col("event_type"), F.concat(F.lit("c"), F.get_json_object("props", "$.k"))
-    payload = F.when(kind == "signup", json(type="task_started")).when(kind == "view", json(model="m")).when(kind == "purchase", json(type="custom_tool_call", call_id=call, name="f", input="{}")).otherwise(json(type="exec_command_end", call_id=call))
-    entry = F.when(kind.isin("signup", "error"), "event_msg").when(kind == "view", "turn_context").otherwise("response_item")
+    entry, payload = _entry(F.col("event_type"))
     entries = E.number(events.where("event_type <> 'click'").select(F.concat(F.lit("/r/rollout-x-"), thread, F.lit(".jsonl")).alias("path"), F.col("event_index").alias("at"), F.parse_json(F.concat(F.lit('{"type": "'), entry, F.lit('", "payload": '), payload, F.lit("}"))).alias("value")), "at", session="path", index="entry_index")
     history = events.where("event_type = 'click'").select(F.col("event_id").alias("history_row"), thread.alias("session_id"), X.seconds(utc()).alias("ts"), F.col("props").alias("text"))
     sessions = started.select("session_id", F.lit("/w").alias("cwd"), F.lit(0.0).alias("started"))

@@ -1,46 +1,34 @@
 """A streaming source that follows growing files by byte offset.
 
-Spark's own file source reads a file once; this one reads what is appended. An offset is the end of the last whole
-line of each file, so a half-written line waits for its rest and no character is split. A file that has become
-shorter is read from its start again. Files are read by tasks, in ranges of `RANGE` bytes.
+Spark's own file source reads a file once; this one reads what is appended. An offset is a place in each file. A line
+comes with the batch that its end falls into, so a half-written line waits for its rest and no character is split. A file
+that has become shorter is read from its start again. The driver asks for sizes only; files are read by tasks, in ranges of `RANGE` bytes.
 
 Register it with `register(spark)`; then
 `spark.readStream.format("loomtrace_tail").option("path", "/logs/*.jsonl").load()` gives path, offset and line.
-With `startAtEnd` the stream begins at what is there. The path is one that driver and executors can open.
+With `startAtEnd` the stream begins at what is there. With `maxBytesPerBatch` a backlog is taken in batches of about so many
+bytes, file after file; without it (and in the first batch after a restart, as the place reached isn't told
+to sources before) all that is there is one batch, which `availableNow` needs. The path, local or a URI, is one that
+driver and executors can open with pyarrow.
 """
 
 from __future__ import annotations
 
-import glob
-import os
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from ..session import ship
+from ..sources import growing
+from ..sources.store import opened
 
-RANGE, CHUNK = 32 << 20, 1 << 16
-
-
-def last_line_end(path: str) -> int:
-    """The place after the last newline."""
-    with open(path, "rb") as file:
-        end = file.seek(0, os.SEEK_END)
-        while end:
-            start = max(0, end - CHUNK)
-            file.seek(start)
-            place = file.read(end - start).rfind(b"\n")
-            if place >= 0:
-                return start + place + 1
-            end = start
-    return 0
+RANGE = 32 << 20
 
 
 @dataclass
 class Piece(InputPartition):
     path: str
-    begin: int
     low: int
     high: int
 
@@ -48,41 +36,41 @@ class Piece(InputPartition):
 class TailReader(DataSourceStreamReader):
     def __init__(self, options: dict):
         self.pattern, self.at_end = options["path"], str(options.get("startAtEnd", "false")).lower() == "true"
-
-    def _ends(self) -> dict:
-        return {path: last_line_end(path) for path in sorted(glob.glob(self.pattern))}
+        self.most, self.at = int(options.get("maxBytesPerBatch", 0)), None
 
     def initialOffset(self) -> dict:
-        return self._ends() if self.at_end else {}
+        self.at = growing.sizes(self.pattern) if self.at_end else {}
+        return self.at
 
     def latestOffset(self) -> dict:
-        return self._ends()
+        there = growing.sizes(self.pattern)
+        if not self.most or self.at is None:
+            return there
+        ends, left = {}, self.most
+        for path, size in there.items():
+            begin = self.at.get(path, 0)
+            begin = 0 if size < begin else begin
+            ends[path] = begin + min(size - begin, left)
+            left -= ends[path] - begin
+        return ends
 
     def partitions(self, start: dict, end: dict) -> list[Piece]:
-        pieces = []
+        self.at, pieces = end, []
         for path, stop in end.items():
             begin = start.get(path, 0)
             begin = 0 if stop < begin else begin
-            pieces += [Piece(path, begin, low, min(low + RANGE, stop)) for low in range(begin, stop, RANGE)]
-        return pieces or [Piece("", 0, 0, 0)]
+            pieces += [Piece(path, low, min(low + RANGE, stop)) for low in range(begin, stop, RANGE)]
+        return pieces or [Piece("", 0, 0)]
 
     def read(self, piece: Piece):
-        """The lines that start in [low, high)."""
+        """The lines whose ends lie in [low, high)."""
         if not piece.path:
             return
-        with open(piece.path, "rb") as file:
-            place = piece.low
-            if place > piece.begin:
-                file.seek(place - 1)
-                place += len(file.readline()) - 1
-            else:
-                file.seek(place)
-            while place < piece.high:
-                line = file.readline()
-                if not line:
-                    break
-                yield piece.path, place, line.rstrip(b"\r\n").decode("utf-8", "replace")
-                place += len(line)
+        with opened(self.pattern)[0].open_input_file(piece.path) as source:
+            for place, lines in growing.lines_in(source, piece.low, piece.high):
+                for line in lines:
+                    yield piece.path, place, line.rstrip(b"\r").decode("utf-8", "replace")
+                    place += len(line) + 1
 
 
 class TailSource(DataSource):
