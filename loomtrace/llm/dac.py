@@ -18,6 +18,7 @@ read, so other columns can't clash.
 
 from __future__ import annotations
 
+import gc
 import struct
 import zlib
 from collections.abc import Iterator
@@ -37,7 +38,7 @@ BLOCK_BITS = 512
 #: Ids after which a segment is closed.
 SEGMENT = 1 << 18
 #: Words whose ids a Python worker keeps; beyond it the half that was learnt last and those needed at once stay.
-CACHE = 900_000
+CACHE = 1_200_000
 #: Bytes of text whose words are looked up together.
 AT_ONCE = 1 << 20
 SEGMENT_SCHEMA = "part int, segment int, part_start long, n_docs long, n_tokens long, payload binary"
@@ -91,6 +92,14 @@ class Encoder:
         self.known.update(zip(words, map(buffer.__getitem__, map(slice, starts, [*starts[1:], len(buffer)])), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts. Lists of words hold no cycles, and looking for some in them would take a fifth of the time."""
+        gc.disable()
+        try:
+            return self._encoded(texts)
+        finally:
+            gc.enable()
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
         # Nothing of a text with an added token is learnt: its words may be parts of the token.
         plain = [not any(token in text for token in self.added) for text in texts]
         split = [text.split(" ") if alone else [""] for text, alone in zip(texts, plain, strict=True)]
