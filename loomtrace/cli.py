@@ -50,12 +50,12 @@ def main(arguments: list[str] | None = None) -> None:
     events, manifests = chosen(spark, given.root, given.session, given.latest, given.session_dir)
     pages, kept, told_to = (sinks.keep_pages, sinks.keep_cases, sinks.keep_events) if given.store else (sinks.write_pages, sinks.write_cases, sinks.append_lines)
     if given.command == "render":
-        pages(report.build(events, manifests, given.include_noisy), f"{given.out}/reports")
+        pages((report.lines if given.store else report.build)(events, manifests, given.include_noisy), f"{given.out}/reports")
         told = sinks.report_generated(manifests, given.out, given.include_noisy)
     else:
         found = cases.build(events, manifests)
         kept(found, f"{given.out}/cases")
-        pages(cases.review(found, manifests), f"{given.out}/reviews")
+        pages((cases.review_lines if given.store else cases.review)(found, manifests), f"{given.out}/reviews")
         told = sinks.cases_generated(manifests, found, given.out)
     told_to(told, f"{given.out}/events")
 

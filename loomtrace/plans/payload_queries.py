@@ -236,9 +236,9 @@ ROUTES = {
 ROUTE_ROWS = ", ".join(f"({k}, {n}, '{event}')" for k, events in enumerate(ROUTES.values()) for n, event in enumerate(events))
 
 
-@query(f"""SELECT session_id AS path, event_index AS entry_index, r.event_type, m.said FROM (SELECT *, 'm' || event_id AS said, event_id % {len(ROUTES)} AS k FROM log) m JOIN (VALUES {ROUTE_ROWS}) r(k, n, event_type) ON m.k = r.k""")
+@query(f"""SELECT session_id AS path, event_index AS entry_index, r.event_type, CASE WHEN r.event_type IN ('tool_call_stderr', 'tool_call_error') THEN 'e' ELSE m.said END AS said FROM (SELECT *, 'm' || event_id AS said, event_id % {len(ROUTES)} AS k FROM log) m JOIN (VALUES {ROUTE_ROWS}) r(k, n, event_type) ON m.k = r.k""")
 def rollout_routes(spark, sf_dir):
-    """Every kind of rollout entry"""
+    """Every kind of rollout entry, and what its events say"""
     events, said = log(spark, sf_dir), F.concat(F.lit("m"), F.col("event_id").cast("string"))
     more = json(
         type="KIND", call_id="c", name=said, message=said, last_agent_message=said, stdout=said, stderr="e", success=False, role="developer", content=F.array(F.struct(F.lit("input_text").alias("type"), said.alias("text"))),
@@ -248,9 +248,12 @@ def rollout_routes(spark, sf_dir):
     kind = F.element_at(kinds, (F.col("event_id") % len(ROUTES) + 1).cast("int"))
     entry = F.when(kind.isin([k for k in list(ROUTES)[:8]]), "event_msg").otherwise("response_item")
     value = F.parse_json(F.concat(F.lit('{"type": "'), entry, F.lit('", "payload": '), F.replace(more, F.lit("KIND"), kind), F.lit("}")))
-    found = rollouts.canonical(events.select(F.col("session_id").alias("path"), F.col("event_index").alias("entry_index"), value.alias("value"), F.lit(True).alias("request_backfill"), F.lit(True).alias("response_backfill")).join(events.select(F.col("session_id").alias("path"), F.col("event_index").alias("entry_index"), said.alias("said")), ["path", "entry_index"]).drop("said"))
-    own = events.select(F.col("session_id").alias("path"), F.col("event_index").alias("entry_index"), said.alias("said"))
-    return found.select("path", "entry_index", "event_type").join(own, ["path", "entry_index"])
+    found = rollouts.canonical(events.select(F.col("session_id").alias("path"), F.col("event_index").alias("entry_index"), value.alias("value"), F.lit(True).alias("request_backfill"), F.lit(True).alias("response_backfill")))
+    # What each event says, from its own content.
+    of = {"tool_call_result": "output", "tool_call_error": "error", "assistant_reasoning_final": "summary_text", "tool_call_requested": "tool_name", "tool_call_dispatched": "tool_name"}
+    of |= dict.fromkeys(("final_output", "user_input", "assistant_text_final", "tool_call_stdout", "tool_call_stderr", "request_system_message"), "text")
+    told = F.coalesce(*[F.when(F.col("event_type") == kind, F.get_json_object("content", f"$.{name}")) for kind, name in of.items()], F.when(~F.col("event_type").isin(*of), F.get_json_object("content", "$.message")))
+    return found.select("path", "entry_index", "event_type", told.alias("said"))
 
 
 @query("""SELECT session_id AS thread, event_index AS history_index, value::VARCHAR AS text FROM log WHERE session_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000) AND floor(epoch_us(ts) / 1000000.0) >= 1704153600""")
@@ -400,7 +403,7 @@ def stored_reports(spark, sf_dir):
     """K6: reports kept in a store, line by line, for the sessions that the events tell of"""
     root, events = f"{scratch(spark)}/reports-{uuid.uuid4().hex}", _recorded(spark, sf_dir)
     manifests = _manifests(events)
-    sinks.keep_pages(report.build(events, manifests), f"{root}/reports")
+    sinks.keep_pages(report.lines(events, manifests), f"{root}/reports")
     sinks.keep_events(sinks.report_generated(manifests, root), f"{root}/events")
     told = logs.stored_events(spark, f"{root}/events").where("event_type = 'session_report_generated'").select("session_id")
     return sinks.kept_pages(store.read(spark, f"{root}/reports").join(told, "session_id", "left_semi"))
@@ -446,6 +449,19 @@ def rollout_files(spark, sf_dir):
     return near.join(metadata.select("path", "thread_id"), "path").select("session_id", "path", F.substr(F.col("thread_id"), F.lit(2)).cast("int").alias("thread_id"))
 
 
+@query("SELECT event_type AS counter, count(*)::BIGINT AS n, (SELECT count(*) FROM log)::BIGINT AS every FROM log GROUP BY event_type")
+def counted_stream(spark, sf_dir):
+    """Counters of a stream in three batches, observed while it is written, whose totals the checkpoint keeps"""
+    folder, rows = f"{scratch(spark)}/counted-{uuid.uuid4().hex}", log(spark, sf_dir).select("event_id", "event_type")
+    kinds = [r[0] for r in rows.select("event_type").distinct().collect()]
+    counters = {kind: F.count_if(F.col("event_type") == kind) for kind in kinds} | {"every": F.count(F.lit(1))}
+    for part in range(3):
+        rows.where(F.col("event_id") % 3 == part).write.mode("append").parquet(f"{folder}/in")
+        live.append(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"), f"{folder}/out", f"{folder}/checkpoint", {"availableNow": True}, counters=counters).awaitTermination()
+    found = live.totals(f"{folder}/checkpoint")
+    return spark.createDataFrame([(kind, found[kind], found["every"]) for kind in kinds], "counter string, n long, every long")
+
+
 @query("""SELECT session_id, event_index, CASE event_index % 3 WHEN 2 THEN 'artifacts' ELSE 'raw' END AS kind, text AS said, (SELECT count(DISTINCT CASE event_index % 3 WHEN 2 THEN 'plain ' || text ELSE role || chr(0) || text END) FROM chat) AS kept FROM chat""")
 def raw_artifacts(spark, sf_dir):
     """Bodies of requests kept once by their digest, events that refer to them, and what is read back by reference: JSON by type or first character, and other text"""

@@ -55,41 +55,64 @@ def _line() -> Column:
     return line
 
 
-def timeline(events: DataFrame) -> DataFrame:
+def _said(events: DataFrame) -> DataFrame:
+    """What a report could say of each event. Written once: tests of a line would be pushed below it, each with all rules of a line in it."""
+    shown = events.where(F.col("event_type").isin(V.INCLUDED_TYPES)).select("session_id", "event_index", "event_type", "timestamp", "content", F.when(F.col("event_type").isin(JSON_TYPES), F.col("raw")).alias("raw"))
+    shown = J.opened(shown.withColumn("json", J.json_texts("raw")), "content", "c", *SHOWN)
+    return cut(shown.select("session_id", "event_index", "event_type", "timestamp", _line().alias("said"))).where("said is not null")
+
+
+def timeline(said: DataFrame) -> DataFrame:
     """session_id, event_index, event_type and line of what a report shows, in order of event_index.
 
     Prompts and reasoning that say the same as before are left out first, then lines that repeat the one before.
     """
-    shown = events.where(F.col("event_type").isin(V.INCLUDED_TYPES)).select("session_id", "event_index", "event_type", "timestamp", "content", F.when(F.col("event_type").isin(JSON_TYPES), F.col("raw")).alias("raw"))
-    shown = J.opened(shown.withColumn("json", J.json_texts("raw")), "content", "c", *SHOWN)
-    # Written once: tests of a line would be pushed below it, each with all rules of a line in it.
-    said = cut(shown.select("session_id", "event_index", "event_type", "timestamp", _line().alias("said"))).where("said is not null")
     once = E.first_where(said, F.col("event_type").isin(V.ONCE_BY_LINE_TYPES), ["session_id", "event_type", "said"])
     line = F.concat(F.lit("- "), F.coalesce(F.nullif("timestamp", F.lit("")), F.lit("?")), F.lit(" ["), "event_type", F.lit("] "), "said")
     return E.collapse_runs(once.withColumn("line", line), "line").select("session_id", "event_index", "event_type", "line")
 
 
-def build(events: DataFrame, manifests: DataFrame, include_noisy: bool = False) -> DataFrame:
-    """session_id and text: the report of each session of `manifests`. Its lists are as long as the report itself."""
+def place(section: int, first: Column | int = 0, second: Column | int = 0) -> Column:
+    """Where a line is in its page."""
+    long = lambda c: (c if isinstance(c, Column) else F.lit(c)).cast("long")
+    return F.struct(F.lit(section).alias("section"), long(first).alias("first"), long(second).alias("second")).alias("at")
+
+
+def fixed(rows: DataFrame, *sections: list[Column | str]) -> DataFrame:
+    """The lines that each session has besides its own: session_id, at, value; null ones are left out. Sections are numbered by twos."""
+    lines = [F.struct(place(2 * n, k), (F.lit(value) if isinstance(value, str) else value).alias("value")) for n, section in enumerate(sections) for k, value in enumerate(section)]
+    return rows.select("session_id", F.explode(F.array(*lines)).alias("l")).where("l.value is not null").select("session_id", "l.at", "l.value")
+
+
+def lines(events: DataFrame, manifests: DataFrame, include_noisy: bool = False) -> DataFrame:
+    """session_id, at (the place in the page) and value: the lines of the report of each session of `manifests`, however many they are."""
     noisy = F.coalesce(F.col("event_type").isin(V.NOISY_TYPES), F.lit(False))
     hidden = F.when(noisy & F.lit(not include_noisy), F.lit(" (hidden by default)")).otherwise("")
-    by_type = E.counts(events).withColumn("text", F.concat(F.lit("- "), F.coalesce("event_type", F.lit("None")), F.lit(": "), F.col("n").cast("string"), hidden)).withColumn("place", F.struct(-F.col("n"), "first_index"))
-    counted = E.joined_in_order(by_type, "text", ["session_id"], "place", name="counts")
-    lines = E.joined_in_order(timeline(events), "line", ["session_id"], name="timeline")
-    whole = manifests.join(E.totals(events, V.NOISY_TYPES), "session_id", "left").join(counted, "session_id", "left").join(lines, "session_id", "left")
+    counted = E.counts(events).select("session_id", place(1, -F.col("n"), F.col("first_index")), F.concat(F.lit("- "), F.coalesce("event_type", F.lit("None")), F.lit(": "), F.col("n").cast("string"), hidden).alias("value"))
+    said = _said(events)
+    told = timeline(said).select("session_id", place(3, F.col("event_index")), F.col("line").alias("value"))
+    silent = manifests.join(said.select("session_id").distinct(), "session_id", "left_anti").select("session_id", place(3), F.lit("- [no included timeline events]").alias("value"))
+    whole = manifests.join(E.totals(events, V.NOISY_TYPES), "session_id", "left")
     get = lambda name: J.field("manifest", f"$.{name}")
     item = lambda name, value: F.concat(F.lit(f"- {name}: "), value)
     json = lambda name: X.line(J.python_json(F.coalesce(F.to_json(get(name)), F.lit("null"))))
-    page = [
-        F.concat(F.lit("# Session Report: "), "session_id"), F.lit(""), F.lit("## Summary"), F.lit(""),
+    head = [
+        F.concat(F.lit("# Session Report: "), "session_id"), "", "## Summary", "",
         item("session_id", F.coalesce(F.when(J.truthy(get("session_id")).isNotNull(), J.shown(get("session_id"))), "session_id")),
         item("agent", J.or_mark(get("agent"))), item("cwd", J.or_mark(get("cwd"))), item("command", json("command")), item("provider", J.or_mark(get("provider"))),
         item("total_events", F.coalesce("total_events", F.lit(0)).cast("string")), item("noisy_events_hidden", F.lit("0") if include_noisy else F.coalesce("noisy_events", F.lit(0)).cast("string")),
         *[F.when(J.truthy(get(name)).isNotNull(), item(name, json(name))) for name in ("codex_thread_ids", "codex_rollout_paths")],
-        F.lit(""), F.lit("## Event Counts"), F.lit(""), F.col("counts"), F.lit(""), F.lit("## Timeline"), F.lit(""), F.coalesce("timeline", F.lit("- [no included timeline events]")), F.lit(""), F.lit("## Notes"), F.lit(""),
-        # The notes of a report.
-        F.lit("- `events.jsonl` is machine-oriented and intentionally verbose."),
-        F.lit("- Large counts of `tty_output_chunk` and `assistant_text_delta` are normal in interactive sessions."),
-        F.lit("- This report hides low-signal events by default so humans can read the session quickly."),
+        "", "## Event Counts", "",
+    ]
+    # The notes of a report.
+    notes = [
+        "", "## Notes", "", "- `events.jsonl` is machine-oriented and intentionally verbose.", "- Large counts of `tty_output_chunk` and `assistant_text_delta` are normal in interactive sessions.",
+        "- This report hides low-signal events by default so humans can read the session quickly.", "",
     ]
-    return whole.select("session_id", F.concat(F.concat_ws("\n", *page), F.lit("\n")).alias("text"))
+    own = counted.unionByName(told).join(manifests.select("session_id"), "session_id", "left_semi")
+    return fixed(whole, head, ["", "## Timeline", ""], notes).unionByName(own).unionByName(silent)
+
+
+def build(events: DataFrame, manifests: DataFrame, include_noisy: bool = False) -> DataFrame:
+    """session_id and text: the report of each session of `manifests` as one text; `lines` has it for pages that are too long for a row."""
+    return E.joined_in_order(lines(events, manifests, include_noisy), "value", ["session_id"], "at")

@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -14,6 +14,7 @@ from .. import vocabulary as V
 from ..functions import values as J
 from ..plans import messages, rollouts
 from ..session import ship
+from ..sources import store
 
 CARRIED = "path string, entry_index long, timestamp string, type string, kind string, payload string, call string, name string, arguments string, request_backfill boolean, response_backfill boolean"
 STATE = "turn_id string, model string, thread_id string, made_name string, made_arguments string, generation long"
@@ -150,18 +151,48 @@ def once(events: DataFrame) -> DataFrame:
     return events.withColumn("_key", key).dropDuplicates(["_key"]).drop("_key")
 
 
-def append(events: DataFrame, folder: str, checkpoint: str, trigger: dict | None = None, refresh=None):
+def append(events: DataFrame, folder: str, checkpoint: str, trigger: dict | None = None, refresh=None, counters: dict[str, Column] | None = None):
     """Write a stream to `folder`, one subfolder for each batch, which a repeated batch replaces. After a batch with actions
-    `refresh(spark, folder)` is called, to rebuild what is derived from it; `finish` calls it once more when a stream has ended."""
+    `refresh(spark, folder)` is called, to rebuild what is derived from it; `finish` calls it once more when a stream has ended.
+
+    `counters` are aggregates (sums of whole numbers) that are observed while a batch is written, without a pass of their
+    own; their running totals are kept by the checkpoint, where `totals` finds them while the stream runs and after it."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        seen = Observation() if counters else None
+        watched = batch.observe(seen, *[value.alias(name) for name, value in counters.items()]) if counters else batch
+        watched.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        if counters:
+            _count(checkpoint, number, seen.get)
         if refresh and not batch.sparkSession.read.parquet(f"{folder}/batch={number}").where(F.col("event_type").isin(V.ACTION_TYPES)).isEmpty():
             refresh(batch.sparkSession, folder)
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()
 
 
+def _counted(checkpoint: str) -> dict[int, dict[str, int]]:
+    """The totals after each of the last batches."""
+    files, base = store.opened(checkpoint)
+    there = files.get_file_info(store.pafs.FileSelector(f"{base}/counters", allow_not_found=True))
+    return {int(f.base_name.partition(".")[0]): json.loads(files.open_input_stream(f.path).read()) for f in there if f.base_name.endswith(".json") and not f.base_name.startswith(".")}
+
+
+def _count(checkpoint: str, number: int, seen: dict[str, int]) -> None:
+    """Keep the totals after a batch: those after the one before and what was seen in it. A batch that is repeated counts once."""
+    known = _counted(checkpoint)
+    before = known[max(k for k in known if k < number)] if any(k < number for k in known) else {}
+    store.put(checkpoint, f"counters/{number:012d}.json", json.dumps({name: before.get(name, 0) + (n or 0) for name, n in seen.items()}).encode())
+    files, base = store.opened(checkpoint)
+    for old in sorted(k for k in known if k < number)[:-1]:
+        files.delete_file(f"{base}/counters/{old:012d}.json")
+
+
+def totals(checkpoint: str) -> dict[str, int]:
+    """The totals of a stream's counters after its last batch."""
+    known = _counted(checkpoint)
+    return known[max(known)] if known else {}
+
+
 def finish(query, spark, folder: str, refresh, seconds: float | None = None) -> None:
     """Wait for the end of a stream of `append` and rebuild what is derived from all that it wrote, whether it had actions or not."""
     query.awaitTermination(seconds)

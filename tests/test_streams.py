@@ -144,3 +144,11 @@ def test_headers(spark, name, want):
 
     row = spark.range(1).select(text.end_to_end(text.redact(F.create_map(F.lit(name), F.lit("v"), F.lit("TE"), F.lit("x")))).alias("h"), text.option(F.array(F.lit("--a=b=c"), F.lit("--d"), F.lit("e")), "--a").alias("a"), text.option(F.array(F.lit("--a=b=c"), F.lit("--d"), F.lit("e")), "--d").alias("d")).first()
     assert row.h == {name: want} and row.a == "b=c" and row.d == "e"
+
+
+def test_counters_count_a_repeated_batch_once(spark, tmp_path):
+    checkpoint = f"file:{tmp_path}/c"
+    assert live.totals(checkpoint) == {}
+    for number, seen in ((0, {"a": 2, "b": 0}), (1, {"a": 3, "b": 1}), (1, {"a": 3, "b": 1}), (2, {"a": 0, "b": None}), (2, {"a": 1, "b": 0})):
+        live._count(checkpoint, number, seen)
+    assert live.totals(checkpoint) == {"a": 6, "b": 1} and len(list((tmp_path / "c/counters").iterdir())) == 2
