@@ -6,9 +6,9 @@ that has become shorter is read from its start again. The driver asks for sizes
 
 Register it with `register(spark)`; then
 `spark.readStream.format("loomtrace_tail").option("path", "/logs/*.jsonl").load()` gives path, offset and line.
-With `startAtEnd` the stream begins at what is there. With `maxBytesPerBatch` a backlog is taken in batches of about so many
-bytes, file after file; without it (and in the first batch after a restart, as the place reached isn't told
-to sources before) all that is there is one batch, which `availableNow` needs. The path, local or a URI, is one that
+With `startAtEnd` the stream begins at what is there. With `maxBytesPerBatch` what comes is taken in batches of about so many
+bytes, file after file; without it, and in the first batch of a run (as Spark doesn't tell a source of Python before it
+where the stream stands), all that is there is one batch, which `availableNow` needs. The path, local or a URI, is one that
 driver and executors can open with pyarrow.
 """
 
