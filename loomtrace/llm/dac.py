@@ -38,9 +38,9 @@ BLOCK_BITS = 512
 #: Ids after which a segment is closed.
 SEGMENT = 1 << 18
 #: Words whose ids a Python worker keeps; beyond it the half that was learnt last and those needed at once stay.
-CACHE = 1_200_000
+CACHE = 1_000_000
 #: Bytes of text whose words are looked up together.
-AT_ONCE = 1 << 20
+AT_ONCE = 3 << 20
 SEGMENT_SCHEMA = "part int, segment int, part_start long, n_docs long, n_tokens long, payload binary"
 
 
