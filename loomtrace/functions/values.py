@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 FALSY = ['""', "false", "0", "[]", "{}", "null"]
 
@@ -86,31 +83,83 @@ def or_mark(value: Column, mark: str = "?") -> Column:
     return F.coalesce(shown_or_null(truthy(value)), F.lit(mark))
 
 
-@F.pandas_udf(T.StringType())
-def python_json(text: pd.Series) -> pd.Series:
-    """JSON text as Python writes it, with a space after commas and colons."""
-    return text.map(lambda t: None if t is None else json.dumps(json.loads(t), ensure_ascii=False))
-
-
-TEXTS = ["arguments", "sorted_arguments", "key", "output", "sorted_output", "targets", "result"]
-
-
-@F.pandas_udf(T.StructType([T.StructField(name, T.StringType()) for name in TEXTS]))
-def json_texts(raw: pd.Series) -> pd.DataFrame:
-    """What to_json can't say: parts of an event's content with Python's separators, in the line's order and sorted.
-
-    `key` is the identity of an action without a call id, `output` the result or else the whole content.
+#: A whole string of a JSON text; parts of it are never tried again, so texts of any length are read in one pass.
+STRING = r'"(?:[^"\\]++|\\.)*+"'
+#: A number that Spark would write in another way: with a point or an exponent, or longer than any long.
+ODD = rf'(?s)^(?:[^"0-9]++|{STRING}|[0-9]{{1,18}}+(?![.eE0-9]))*+[0-9]'
+NUMBER = "-?[0-9]+(?:[.][0-9]+)?(?:[eE][-+]?[0-9]+)?"
+#: How such numbers are kept as strings meanwhile, as JSON text has it.
+MARK = "\\u0001"
+
+
+def python_float(text: Column) -> Column:
+    """A number's text as Python writes the float it means: the fewest digits that give the same float again."""
+    value = text.cast("double")
+    # Subnormal floats may need fewer than 15 digits; of others no two numbers of 15 digits are the same float.
+    places = F.sequence(F.when(F.abs(value) < 2.3e-308, 0).otherwise(14), F.lit(16))
+    tried = F.filter(F.transform(places, lambda k: F.call_function("format_string", F.concat(F.lit("%."), k.cast("string"), F.lit("e")), value)), lambda t: t.cast("double") == value)
+    short = F.regexp_replace(F.get(tried, F.lit(0)), "[.]?0+e", "e")
+    plain = F.regexp_replace(short.cast("decimal(38,21)").cast("string"), "([.][0-9]+?)0+$", "$1")
+    size = F.regexp_extract(short, "e(.*)", 1).cast("int")
+    whole = F.when(size.between(-4, 15), plain).otherwise(short)
+    zero = F.when(F.startswith(text, F.lit("-")), "-0.0").otherwise("0.0")
+    infinite = F.when(value > 0, "Infinity").otherwise("-Infinity")
+    return F.when(value == 0, zero).when(F.abs(value) == float("inf"), infinite).otherwise(whole)
+
+
+def marked(text: Column) -> Column:
+    """JSON text in which numbers that Spark would write in another way than Python are strings that hold Python's form."""
+    number = lambda t: F.when(t.rlike("[.eE]"), python_float(t)).otherwise(t)
+    odd = lambda t: t.rlike("^-?[0-9]") & (t.rlike("[.eE]") | (F.length(t) > 18))
+    parts = F.regexp_extract_all(text, F.lit(rf'(?s){STRING}|{NUMBER}|[^"0-9-]++|.'), F.lit(0))
+    told = F.transform(parts, lambda t: F.when(odd(t), F.concat(F.lit(f'"{MARK}'), number(t), F.lit(f'{MARK}"'))).otherwise(t))
+    return F.when(text.rlike(ODD), F.array_join(told, "")).otherwise(text)
+
+
+def spaced(text: Column) -> Column:
+    """Compact JSON text, with numbers `marked` or not, as Python writes it: a space after commas and colons,
+    escapes in small letters, and characters beyond 16 bits as they are."""
+    wide = F.regexp_replace(text, rf'(?s)\G((?:[^",:]++|{STRING})*+[,:])', "$1 ")
+    wide = F.when(F.contains(wide, F.lit(MARK)), F.regexp_replace(wide, r'"\\u0001([-+.0-9eInfity]++)\\u0001"', "$1")).otherwise(wide)
+    pair = r"\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2}"
+    pieces = F.regexp_extract_all(wide, F.lit(rf"(?s){pair}|\\u[0-9A-Fa-f]{{4}}|\\.|[^\\]++"), F.lit(0))
+    sign = lambda t: F.get_json_object(F.concat(F.lit('{"a":"'), t, F.lit('"}')), "$.a")
+    own = F.transform(pieces, lambda t: F.when(t.rlike(pair), sign(t)).when(F.startswith(t, F.lit("\\u")), F.lower(t)).otherwise(t))
+    return F.when(wide.rlike(rf"\\u00[01][A-F]|{pair}"), F.array_join(own, "")).otherwise(wide)
+
+
+def python_json(text: Column) -> Column:
+    """Compact JSON text as Python's json.dumps without ensure_ascii writes its value, keys in the order they have."""
+    return spaced(marked(text))
+
+
+def with_texts(rows: DataFrame, raw: str = "raw", name: str = "json") -> DataFrame:
+    """`rows` with what to_json can't say in the struct column `name`: parts of the content of an event line with Python's
+    separators and numbers, in the line's order (arguments, targets, result, output) and with sorted keys (sorted_arguments, key, sorted_output).
+
+    `key` is the identity of an action without a call id, `output` the result or else the whole content. A null line
+    and a content that is no object count as empty. Keys are sorted by UTF-16 units. A string that holds nothing but a
+    number between two U+0001 is shown as that number.
     """
-    plain = lambda value: json.dumps(value, ensure_ascii=False)
-    ordered = lambda value: json.dumps(value, ensure_ascii=False, sort_keys=True)
-
-    def texts(line: str | None) -> tuple:
-        event = json.loads(line) if line else {}
-        content = event.get("content")
-        content = content if isinstance(content, dict) else {}
-        get = content.get
-        output = get("output") or get("text") or get("error") or get("result")
-        key = {"tool_name": get("tool_name"), "arguments": get("arguments"), "event_type": event.get("event_type")}
-        return plain(get("arguments")), ordered(get("arguments")), ordered(key), plain(get("result") or content), ordered(output), plain(get("targets")), plain(get("result"))
-
-    return pd.DataFrame([texts(line) for line in raw], columns=TEXTS)
+    own = [f"`{c}`" for c in rows.columns if c != name]
+    part = lambda field: F.col(f"_c.`{field}`")
+    there = lambda value: F.coalesce(F.to_json(value), F.lit("null"))
+    nested = lambda value: F.coalesce(kind(value).rlike("^(OBJECT|ARRAY)"), F.lit(False))
+    told = lambda value, path: spaced(F.when(nested(value), F.get_json_object("_line", path)).otherwise(there(value)))
+    # No number that counts as false is marked but zeros.
+    true = lambda value: keep(value, lambda v: ~F.to_json(v).isin([*FALSY, *(f'"{MARK}{zero}{MARK}"' for zero in ("0.0", "-0.0"))]))
+    lines = rows.select(*own, marked(F.col(raw)).alias("_line"))
+    read = lines.select(*own, "_line", parts(F.try_parse_json("_line"), "content", "event_type").alias("_e"))
+    read = read.select(*own, "_line", "_e.event_type", "_e.content").toDF(*rows.drop(name).columns, "_line", "_type", "_content")
+    read = opened(read.withColumn("_object", is_object(F.col("_content"))), "_content", "_c", "arguments", "tool_name", "output", "text", "error", "result", "targets")
+    arguments, result = part("arguments"), part("result")
+    said = F.coalesce(*[true(part(field)) for field in ("output", "text", "error")], result)
+    whole = F.when(F.col("_object"), F.get_json_object("_line", "$.content")).otherwise("{}")
+    ordered = spaced(there(arguments))
+    key = F.concat(F.lit('{"arguments": '), ordered, F.lit(', "event_type": '), spaced(there(F.col("_type"))), F.lit(', "tool_name": '), spaced(there(part("tool_name"))), F.lit("}"))
+    return read.select(
+        *own, F.struct(
+            told(arguments, "$.content.arguments").alias("arguments"), ordered.alias("sorted_arguments"), key.alias("key"), spaced(there(said)).alias("sorted_output"), told(part("targets"), "$.content.targets").alias("targets"),
+            F.when(true(result).isNotNull(), told(result, "$.content.result")).otherwise(spaced(whole)).alias("output"), told(result, "$.content.result").alias("result"),
+        ).alias(name),
+    )

@@ -338,7 +338,8 @@ def json_as_python(spark, sf_dir):
     """X4, X5"""
     k = F.get_json_object("props", "$.k")
     line = F.concat(F.lit('{"event_type": "t", "content": {"arguments": {"b": '), k, F.lit(', "a": ['), k, F.lit(', "x,y: é"]}}}'))
-    return table(spark, sf_dir, "events").select("event_id", J.json_texts(line).alias("t")).select("event_id", F.col("t.arguments").alias("plain"), F.col("t.sorted_arguments").alias("sorted"))
+    told = J.with_texts(table(spark, sf_dir, "events").select("event_id", line.alias("raw")), name="t")
+    return told.select("event_id", F.col("t.arguments").alias("plain"), F.col("t.sorted_arguments").alias("sorted"))
 
 
 @query("""SELECT session_id, event_index, trim(text, chr(32) || chr(9) || chr(10) || chr(13)) AS first, CASE event_index % 2 WHEN 0 THEN 'v' || event_index ELSE 'w=' || event_index END AS value FROM chat""")

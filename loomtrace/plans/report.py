@@ -58,7 +58,7 @@ def _line() -> Column:
 def _said(events: DataFrame) -> DataFrame:
     """What a report could say of each event. Written once: tests of a line would be pushed below it, each with all rules of a line in it."""
     shown = events.where(F.col("event_type").isin(V.INCLUDED_TYPES)).select("session_id", "event_index", "event_type", "timestamp", "content", F.when(F.col("event_type").isin(JSON_TYPES), F.col("raw")).alias("raw"))
-    shown = J.opened(shown.withColumn("json", J.json_texts("raw")), "content", "c", *SHOWN)
+    shown = J.opened(J.with_texts(shown), "content", "c", *SHOWN)
     return cut(shown.select("session_id", "event_index", "event_type", "timestamp", _line().alias("said"))).where("said is not null")
 
 
