@@ -116,21 +116,24 @@ def marked(text: Column) -> Column:
     return F.when(text.rlike(ODD), F.array_join(told, "")).otherwise(text)
 
 
-def spaced(text: Column) -> Column:
-    """Compact JSON text, with numbers `marked` or not, as Python writes it: a space after commas and colons,
-    escapes in small letters, and characters beyond 16 bits as they are."""
-    wide = F.regexp_replace(text, rf'(?s)\G((?:[^",:]++|{STRING})*+[,:])', "$1 ")
-    wide = F.when(F.contains(wide, F.lit(MARK)), F.regexp_replace(wide, r'"\\u0001([-+.0-9eInfity]++)\\u0001"', "$1")).otherwise(wide)
+def wide(text: Column) -> Column:
+    """Compact JSON text with Python's space after commas and colons."""
+    return F.regexp_replace(text, rf'(?s)\G((?:[^",:]++|{STRING})*+[,:])', "$1 ")
+
+
+def escaped(text: Column) -> Column:
+    """JSON text with numbers that are `marked` as numbers, and with Python's escapes: in small letters, and none for
+    characters beyond 16 bits. The text is named twice."""
     pair = r"\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2}"
-    pieces = F.regexp_extract_all(wide, F.lit(rf"(?s){pair}|\\u[0-9A-Fa-f]{{4}}|\\.|[^\\]++"), F.lit(0))
+    pieces = F.regexp_extract_all(F.regexp_replace(text, r'"\\u0001([-+.0-9eInfity]++)\\u0001"', "$1"), F.lit(rf"(?s){pair}|\\u[0-9A-Fa-f]{{4}}|\\.|[^\\]++"), F.lit(0))
     sign = lambda t: F.get_json_object(F.concat(F.lit('{"a":"'), t, F.lit('"}')), "$.a")
     own = F.transform(pieces, lambda t: F.when(t.rlike(pair), sign(t)).when(F.startswith(t, F.lit("\\u")), F.lower(t)).otherwise(t))
-    return F.when(wide.rlike(rf"\\u00[01][A-F]|{pair}"), F.array_join(own, "")).otherwise(wide)
+    return F.when(F.contains(text, F.lit("\\u")), F.array_join(own, "")).otherwise(text)
 
 
 def python_json(text: Column) -> Column:
     """Compact JSON text as Python's json.dumps without ensure_ascii writes its value, keys in the order they have."""
-    return spaced(marked(text))
+    return escaped(wide(marked(text)))
 
 
 def with_texts(rows: DataFrame, raw: str = "raw", name: str = "json") -> DataFrame:
@@ -143,23 +146,22 @@ def with_texts(rows: DataFrame, raw: str = "raw", name: str = "json") -> DataFra
     """
     own = [f"`{c}`" for c in rows.columns if c != name]
     part = lambda field: F.col(f"_c.`{field}`")
-    there = lambda value: F.coalesce(F.to_json(value), F.lit("null"))
     nested = lambda value: F.coalesce(kind(value).rlike("^(OBJECT|ARRAY)"), F.lit(False))
-    told = lambda value, path: spaced(F.when(nested(value), F.get_json_object("_line", path)).otherwise(there(value)))
+    there = lambda value: F.coalesce(F.to_json(value), F.lit("null"))
+    told = lambda field: F.when(nested(part(field)), F.get_json_object("_line", f"$.content.{field}")).otherwise(there(part(field)))
     # No number that counts as false is marked but zeros.
     true = lambda value: keep(value, lambda v: ~F.to_json(v).isin([*FALSY, *(f'"{MARK}{zero}{MARK}"' for zero in ("0.0", "-0.0"))]))
     lines = rows.select(*own, marked(F.col(raw)).alias("_line"))
     read = lines.select(*own, "_line", parts(F.try_parse_json("_line"), "content", "event_type").alias("_e"))
-    read = read.select(*own, "_line", "_e.event_type", "_e.content").toDF(*rows.drop(name).columns, "_line", "_type", "_content")
-    read = opened(read.withColumn("_object", is_object(F.col("_content"))), "_content", "_c", "arguments", "tool_name", "output", "text", "error", "result", "targets")
-    arguments, result = part("arguments"), part("result")
-    said = F.coalesce(*[true(part(field)) for field in ("output", "text", "error")], result)
+    read = read.select(*own, "_line", F.col("_e.event_type").alias("_type"), F.col("_e.content").alias("_content"), is_object(F.col("_e.content")).alias("_object"))
+    read = opened(read, "_content", "_c", "arguments", "tool_name", "output", "text", "error", "result", "targets")
     whole = F.when(F.col("_object"), F.get_json_object("_line", "$.content")).otherwise("{}")
-    ordered = spaced(there(arguments))
-    key = F.concat(F.lit('{"arguments": '), ordered, F.lit(', "event_type": '), spaced(there(F.col("_type"))), F.lit(', "tool_name": '), spaced(there(part("tool_name"))), F.lit("}"))
-    return read.select(
-        *own, F.struct(
-            told(arguments, "$.content.arguments").alias("arguments"), ordered.alias("sorted_arguments"), key.alias("key"), spaced(there(said)).alias("sorted_output"), told(part("targets"), "$.content.targets").alias("targets"),
-            F.when(true(result).isNotNull(), told(result, "$.content.result")).otherwise(spaced(whole)).alias("output"), told(result, "$.content.result").alias("result"),
-        ).alias(name),
-    )
+    texts = {
+        "arguments": told("arguments"), "sorted_arguments": there(part("arguments")), "targets": told("targets"), "result": told("result"), "_type": there(F.col("_type")), "_tool": there(part("tool_name")),
+        "output": F.when(true(part("result")).isNotNull(), told("result")).otherwise(whole), "sorted_output": there(F.coalesce(*[true(part(field)) for field in ("output", "text", "error")], part("result"))),
+    }
+    # Each step names texts more than once, so that each is a step of its own.
+    made = read.select(*own, *[wide(text).alias(f"_t_{field}") for field, text in texts.items()])
+    made = made.select(*own, *[escaped(F.col(f"_t_{field}")).alias(f"_t_{field}") for field in texts])
+    key = F.concat(F.lit('{"arguments": '), "_t_sorted_arguments", F.lit(', "event_type": '), "_t__type", F.lit(', "tool_name": '), "_t__tool", F.lit("}"))
+    return made.select(*own, F.struct(*[F.col(f"_t_{field}").alias(field) for field in texts if not field.startswith("_")], key.alias("key")).alias(name))
