@@ -142,7 +142,7 @@ def with_texts(rows: DataFrame, raw: str = "raw", name: str = "json") -> DataFra
 
     `key` is the identity of an action without a call id, `output` the result or else the whole content. A null line
     and a content that is no object count as empty. Keys are sorted by UTF-16 units. A string that holds nothing but a
-    number between two U+0001 is shown as that number.
+    number between two U+0001 is shown as that number; of a key that an object has twice, the line's order shows both.
     """
     own = [f"`{c}`" for c in rows.columns if c != name]
     part = lambda field: F.col(f"_c.`{field}`")

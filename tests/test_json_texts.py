@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomtrace.functions import values as J
-from loomtrace.plans import queries
+from loomtrace.plans import cases, queries, report
 
 LETTERS = ["a", "b", " ", ",", ":", '"', "\\", "/", "{", "[", "\n", "\t", "\x00", "\x0b", "\x1f", "\x7f", "é", " ", "\U0001f600", "1.50", "\\u001F", "u001F", "'", "$1"]
 
@@ -90,7 +90,13 @@ def test_long_texts(spark):
     assert got == json.dumps(long)
 
 
-@pytest.mark.parametrize("name", ["case_extraction", "session_report"])
-def test_no_python_for_texts(spark, data, name):
-    df = queries.QUERIES[name](spark, data)
-    assert "EvalPython" not in df._jdf.queryExecution().toString()
+@pytest.mark.parametrize("name", ["case_extraction", "case_review", "session_report"])
+def test_no_python_for_texts(spark, data, name, monkeypatch):
+    """Neither in the plan of a query nor in those of the tables that it writes on its way."""
+    plans = []
+    plan = lambda df: plans.append(df._jdf.queryExecution().toString())
+    for module in (cases, report):
+        monkeypatch.setattr(module, "cut", lambda df, *more, written=module.cut: plan(df) or written(df, *more))
+    plan(queries.QUERIES[name](spark, data))
+    assert len(plans) > 1
+    assert not [p for p in plans if "EvalPython" in p]
