@@ -280,7 +280,7 @@ def thread_log_lines(spark, sf_dir):
 def staged_threads(spark, sf_dir):
     """Customers as threads of their nation, nations as threads that their region spawned"""
     customers, nations = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
-    threads = customers.select(F.col("c_custkey").cast("string").alias("id"), F.round("c_acctbal").cast("long").alias("updated_at"), F.col("c_mktsegment").alias("cwd"))
+    threads = customers.select(F.col("c_custkey").cast("string").alias("id"), F.rint("c_acctbal").cast("long").alias("updated_at"), F.col("c_mktsegment").alias("cwd"))
     sessions = customers.select(F.col("c_nationkey").alias("session_id"), F.col("c_custkey").cast("string").alias("thread_id"))
     edges = nations.select(F.col("n_regionkey").cast("string").alias("parent_thread_id"), F.col("n_nationkey").cast("string").alias("child_thread_id"), F.col("n_name").alias("status"))
     parents = nations.select(F.col("n_regionkey").alias("session_id"), F.col("n_regionkey").cast("string").alias("thread_id"))
