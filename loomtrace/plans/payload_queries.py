@@ -479,12 +479,12 @@ def raw_artifacts(spark, sf_dir):
 
 @query("SELECT event_id, session_id, props AS line FROM log WHERE event_id % 3 <> 0")
 def tail_from_end(spark, sf_dir):
-    """A stream that begins at the end of what is there when it starts, and takes what comes in batches of bounded bytes"""
+    """A stream that begins at the end of what is there when it starts, and takes what comes in batches of bounded bytes, or a hundredth of it where that is more"""
     folder = f"{scratch(spark)}/tail-end-{uuid.uuid4().hex}"
     tail.register(spark)
     rows = log(spark, sf_dir).select("event_id", json(event_id=F.col("event_id"), session_id=F.col("session_id"), line=F.col("props")).alias("value"))
     rows.where("event_id % 3 = 0").select("value").write.mode("append").text(f"{folder}/in")
-    lines = spark.readStream.format(tail.TailSource.name()).option("path", f"{folder}/in/*.txt").option("startAtEnd", "true").option("maxBytesPerBatch", str(1 << 16)).load()
+    lines = spark.readStream.format(tail.TailSource.name()).option("path", f"{folder}/in/*.txt").option("startAtEnd", "true").option("maxBytesPerBatch", str(1 << 16)).option("maxBatchesBehind", "100").load()
     stream = live.append(lines.withColumn("event_type", F.lit("line")), f"{folder}/out", f"{folder}/checkpoint", {"processingTime": "0 seconds"})
     stream.processAllAvailable()
     rows.where("event_id % 3 <> 0").select("value").write.mode("append").text(f"{folder}/in")

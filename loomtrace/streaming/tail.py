@@ -8,8 +8,10 @@ Register it with `register(spark)`; then
 `spark.readStream.format("loomtrace_tail").option("path", "/logs/*.jsonl").load()` gives path, offset and line.
 With `startAtEnd` the stream begins at what is there. With `maxBytesPerBatch` what comes is taken in batches of about so many
 bytes, file after file; without it, and in the first batch of a run (as Spark doesn't tell a source of Python before it
-where the stream stands), all that is there is one batch, which `availableNow` needs. The path, local or a URI, is one that
-driver and executors can open with pyarrow.
+where the stream stands), all that is there is one batch, which `availableNow` needs. With `maxBatchesBehind` too, that bound
+gives way where more has come than so many batches hold: a batch is then its share of what has come, until the stream has
+caught up, as a batch has a price of its own and a backlog in batches of one size would take as many as it is long. The path,
+local or a URI, is one that driver and executors can open with pyarrow.
 """
 
 from __future__ import annotations
@@ -37,6 +39,7 @@ class TailReader(DataSourceStreamReader):
     def __init__(self, options: dict):
         self.pattern, self.at_end = options["path"], str(options.get("startAtEnd", "false")).lower() == "true"
         self.most, self.at = int(options.get("maxBytesPerBatch", 0)), None
+        self.batches, self.step = int(options.get("maxBatchesBehind", 0)), 0
 
     def initialOffset(self) -> dict:
         self.at = growing.sizes(self.pattern) if self.at_end else {}
@@ -46,12 +49,14 @@ class TailReader(DataSourceStreamReader):
         there = growing.sizes(self.pattern)
         if not self.most or self.at is None:
             return there
-        ends, left = {}, self.most
+        begins = {path: 0 if size < self.at.get(path, 0) else self.at.get(path, 0) for path, size in there.items()}
+        behind = sum(there.values()) - sum(begins.values())
+        # The share of the longest that the stream has been behind since it last had caught up.
+        self.step = max(self.step, -(-behind // self.batches)) if behind and self.batches else 0
+        ends, left = {}, max(self.most, self.step)
         for path, size in there.items():
-            begin = self.at.get(path, 0)
-            begin = 0 if size < begin else begin
-            ends[path] = begin + min(size - begin, left)
-            left -= ends[path] - begin
+            ends[path] = begins[path] + min(size - begins[path], left)
+            left -= ends[path] - begins[path]
         return ends
 
     def partitions(self, start: dict, end: dict) -> list[Piece]:
