@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation
@@ -18,71 +19,112 @@ from ..sources import store
 
 CARRIED = "path string, entry_index long, timestamp string, type string, kind string, payload string, call string, name string, arguments string, request_backfill boolean, response_backfill boolean"
 STATE = "turn_id string, model string, thread_id string, made_name string, made_arguments string, generation long"
-CURSOR = "turn string, model string, thread string, generation long"
+CURSOR = "turn string, model string, thread string, generation long, latest string, older boolean"
 #: Keeps each value of a state by itself, as map states need; other stores keep a state as one row.
 PROVIDER, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Groups that files are dealt into by their names, as each group costs a batch some 40 ms of Python however little is in it.
+#: A checkpoint is bound to their number.
+GROUPS = 1024
+#: The latest calls of a file, at most so many and of so many characters, stand with the file itself, as what a call says is
+#: mostly asked for soon, and each access to a state costs some 0.3 ms.
+LATEST, LATEST_CHARS = 32, 4096
+
+
 class Cursor(StatefulProcessor):
-    """Entries of one file in order, with what earlier ones said: turn, model and thread, and by call its name and arguments.
+    """Entries of a group of files, each in order, with what earlier ones of the file said: turn, model and thread, and by call its name and arguments.
 
-    A batch reads and writes the state of the calls that it names, however many there were before. A file whose first
-    line comes again was truncated and written anew: it starts its next generation with no state. With `ttl_ms` what a
-    call said is forgotten when so much time has gone since.
+    A batch reads and writes the state of the files that it names, with their latest calls, and of older calls that it names, however
+    many there were before. A file whose first line comes again was truncated and written anew: it starts its next generation with no
+    state, and a batch with such files looks once through the older calls of their group. With `ttl_ms` what a call said is
+    forgotten when so much time has gone since; then no calls stand with the file.
     """
 
     def __init__(self, ttl_ms: int | None = None):
-        self.ttl_ms = ttl_ms
+        self.ttl_ms, self.room = ttl_ms, LATEST if ttl_ms is None else 0
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.cursor = handle.getValueState("cursor", CURSOR)
-        self.names = handle.getMapState("names", "call string", "name string", self.ttl_ms)
-        self.arguments = handle.getMapState("arguments", "call string", "arguments string", self.ttl_ms)
+        self.cursors = handle.getMapState("cursors", "path string", CURSOR)
+        self.names = handle.getMapState("names", "path string, call string", "name string", self.ttl_ms)
+        self.arguments = handle.getMapState("arguments", "path string, call string", "arguments string", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        turn, model, thread, generation = self.cursor.get() or (None, None, None, 0)
-        there = self.cursor.exists()
-        rows = pd.concat(list(rows)).sort_values("entry_index")
-        if there and rows["entry_index"].iloc[0] == 0:
-            turn, model, thread, generation = None, None, None, generation + 1
-            self.names.clear()
-            self.arguments.clear()
-        rows, found = rows[rows["payload"].str.startswith("{", na=False)], []
-        names, arguments = Known(self.names), Known(self.arguments)
-        for row in rows.astype(object).where(rows.notna(), None).itertuples(index=False):
-            turn, thread = row.own_turn or turn, thread or row.own_thread
-            model = row.context_model or model or row.meta_model
-            found.append(("" if row.own_turn == "" else turn, model, thread, names[row.call], arguments[row.call], generation))
-            names.learn(row.call, row.learn_name)
-            arguments.learn(row.call, row.learn_arguments)
-        self.cursor.update((turn, model, thread, generation))
-        names.keep()
-        arguments.keep()
-        own = rows[[part.split()[0] for part in CARRIED.split(", ")]].reset_index(drop=True)
+        rows = pd.concat(list(rows)).sort_values(["path", "entry_index"])
+        told, stay, found = list(rows.astype(object).where(rows.notna(), None).itertuples(index=False)), [], []
+        begun = self.begun(told)
+        for path, lines in groupby(told, lambda row: row.path):
+            turn, model, thread, generation, latest, older = begun.pop(path)
+            calls = Calls(path, self.names, self.arguments, json.loads(latest), older)
+            for row in lines:
+                stay.append(row.payload is not None and row.payload.startswith("{"))
+                if stay[-1]:
+                    turn, thread, model = row.own_turn or turn, thread or row.own_thread, row.context_model or model or row.meta_model
+                    # A call itself doesn't ask what it was; arguments are asked for by one kind.
+                    name = calls.name(row.call) if row.learn_name is None else None
+                    said = calls.said(row.call) if row.kind == "function_call_output" else None
+                    found.append(("" if row.own_turn == "" else turn, model, thread, name, said, generation))
+                    calls.learn(row.call, row.learn_name, row.learn_arguments)
+            latest, older = calls.kept(self.room)
+            self.cursors.updateValue((path,), (turn, model, thread, generation, latest, older))
+        own = rows.loc[stay, [part.split()[0] for part in CARRIED.split(", ")]].reset_index(drop=True)
         yield pd.concat([own, pd.DataFrame(found, columns=[part.split()[0] for part in STATE.split(", ")])], axis=1)
 
-
-class Known:
-    """A map state as a batch sees it: read once for each call that is asked for, written once for each that is learnt."""
-
-    def __init__(self, state):
-        self.state, self.held, self.new = state, {}, set()
-
-    def __getitem__(self, call: str | None) -> str | None:
-        if call is None:
+    def begun(self, told: list) -> dict[str, tuple]:
+        """Where each file stands before these entries. Those that start anew are forgotten."""
+        first = {}
+        for row in told:
+            first.setdefault(row.path, row.entry_index)
+        known = {path: tuple(self.cursors.getValue((path,))) for path in first if self.cursors.containsKey((path,))}
+        anew = {path for path in known if first[path] == 0}
+        there = {path for path in anew if known[path][-1]}
+        for state in (self.names, self.arguments) if there else ():
+            for call in [call for call in state.keys() if call[0] in there]:
+                state.removeKey(call)
+        return {path: known[path] if path in known and path not in anew else (None, None, None, known[path][3] + 1 if path in anew else 0, "{}", False) for path in first}
+
+
+class Calls:
+    """What the calls of a file said, as a batch sees it. `latest` has a name and maybe arguments of each, the earliest learnt first;
+    `older` ones, if any, are in the map states, which are read once for each call that is asked for and not among the latest."""
+
+    def __init__(self, path: str | None, names, arguments, latest: dict[str, list], older: bool):
+        self.path, self.names, self.arguments, self.latest, self.older, self.read = path, names, arguments, latest, older, {}
+
+    def _older(self, place: int, call: str | None) -> str | None:
+        if not self.older or call is None:
             return None
-        if call not in self.held:
-            self.held[call] = self.state.getValue((call,))[0] if self.state.containsKey((call,)) else None
-        return self.held[call]
-
-    def learn(self, call: str | None, value: str | None) -> None:
-        if call is not None and value is not None:
-            self.held[call] = value
-            self.new.add(call)
-
-    def keep(self) -> None:
-        for call in self.new:
-            self.state.updateValue((call,), (self.held[call],))
+        if (place, call) not in self.read:
+            state, key = (self.names, self.arguments)[place], (self.path, call)
+            self.read[place, call] = state.getValue(key)[0] if state.containsKey(key) else None
+        return self.read[place, call]
+
+    def name(self, call: str | None) -> str | None:
+        return self.latest[call][0] if call in self.latest else self._older(0, call)
+
+    def said(self, call: str | None) -> str | None:
+        said = self.latest[call][1] if call in self.latest else None
+        return self._older(1, call) if said is None else said
+
+    def learn(self, call: str | None, name: str | None, arguments: str | None) -> None:
+        """Arguments come with a name only; a name alone leaves the arguments that were learnt before."""
+        if call is not None and name is not None:
+            before = self.latest.pop(call, [None, None])
+            self.latest[call] = [name, before[1] if arguments is None else arguments]
+
+    def kept(self, room: int) -> tuple[str, bool]:
+        """The latest calls that stay with the file, and whether it has others, which are written to the map states."""
+        size = lambda call: len(call) + sum(len(said or "") for said in self.latest[call])
+        chars = sum(map(size, self.latest))
+        while self.latest and (len(self.latest) > room or chars > LATEST_CHARS):
+            call = next(iter(self.latest))
+            chars -= size(call)
+            name, arguments = self.latest.pop(call)
+            self.names.updateValue((self.path, call), (name,))
+            if arguments is not None:
+                self.arguments.updateValue((self.path, call), (arguments,))
+            self.older = True
+        return json.dumps(self.latest), self.older
 
 
 def entries(lines: DataFrame) -> DataFrame:
@@ -100,8 +142,8 @@ def rollout_events(entries: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     ship(entries.sparkSession).conf.set(PROVIDER, ROCKS)
     rows = rollouts.fields(entries, F.col("entry_index") == 0)
     text = {name: F.to_json(name) for name in ("payload", "arguments", "learn_arguments")}
-    flat = rows.withColumns(text | {"path": F.col("path").cast("string")})
-    known = flat.groupBy("path").transformWithStateInPandas(Cursor(ttl_ms), f"{CARRIED}, {STATE}", "Append", "None" if ttl_ms is None else "ProcessingTime")
+    flat = rows.withColumns(text | {"path": F.col("path").cast("string")}).withColumn("group", F.pmod(F.xxhash64("path"), F.lit(GROUPS)))
+    known = flat.groupBy("group").transformWithStateInPandas(Cursor(ttl_ms), f"{CARRIED}, {STATE}", "Append", "None" if ttl_ms is None else "ProcessingTime")
     return rollouts.emit(known.withColumns({name: F.parse_json(name) for name in ("payload", "arguments", "made_arguments")}), "generation")
 
 

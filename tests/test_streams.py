@@ -125,6 +125,61 @@ def test_sessions_with_equal_calls_and_a_file_written_anew(spark, tmp_path):
     assert events.where("event_type = 'codex_session_meta'").count() == 4 and events.where("event_type = 'user_input'").count() == 2
 
 
+def rollout_run(spark, folder, ttl_ms=None):
+    """What a run of the stream gives in all, and the keys of its state."""
+    stream = spark.readStream.schema("path string, entry_index long, value string").parquet(f"{folder}/in").withColumn("value", F.parse_json("value"))
+    stream = stream.withColumn("request_backfill", F.lit(True)).withColumn("response_backfill", F.lit(True))
+    query = live.append(live.rollout_events(stream, ttl_ms), f"{folder}/out", f"{folder}/checkpoint", {"availableNow": True})
+    query.awaitTermination(120)
+    return spark.read.parquet(f"{folder}/out"), next(p for p in reversed(query.recentProgress) if p["numInputRows"])["stateOperators"][0]["numRowsTotal"]
+
+
+def rollout_rows(spark, folder, path, entries, at=0):
+    rows = [(path, at + k, json.dumps({"type": kind, "payload": payload})) for k, (kind, payload) in enumerate(entries)]
+    spark.createDataFrame(rows, "path string, entry_index long, value string").write.mode("append").parquet(f"{folder}/in")
+
+
+def asking(call, name):
+    return "response_item", {"type": "function_call", "call_id": call, "name": name, "arguments": json.dumps({"message": name})}
+
+
+def answer(call):
+    return "response_item", {"type": "function_call_output", "call_id": call, "output": '{"id": "a"}'}
+
+
+def test_files_share_groups_and_calls_stand_with_their_file(spark, tmp_path):
+    """Files of a few calls cost one state key each, however many calls they have; without it each call costs accesses of its own."""
+    rows = [(f"f{file}", k, json.dumps({"type": kind, "payload": payload})) for file in range(20) for k, (kind, payload) in enumerate([asking(f"c{call}", f"tool{file}") for call in range(8)])]
+    spark.createDataFrame(rows, "path string, entry_index long, value string").write.parquet(f"{tmp_path}/in")
+    assert rollout_run(spark, tmp_path)[1] == 20
+    rows = [(f"f{file}", 8, json.dumps({"type": kind, "payload": payload})) for file in range(20) for kind, payload in [answer("c3")]]
+    spark.createDataFrame(rows, "path string, entry_index long, value string").write.mode("append").parquet(f"{tmp_path}/in")
+    events, keys = rollout_run(spark, tmp_path)
+    got = {(r.path, json.loads(r.content)["tool_name"]) for r in events.where("event_type = 'tool_call_result'").collect()}
+    assert keys == 20 and got == {(f"f{file}", f"tool{file}") for file in range(20)}
+
+
+@pytest.mark.parametrize("ttl_ms", [None, 3_600_000])
+def test_older_calls_than_stand_with_a_file(spark, tmp_path, ttl_ms):
+    """Calls of long ago, calls of long arguments and calls named twice are known, as over the whole file; a file written anew knows none."""
+    calls = [asking(f"c{k}", "spawn_agent" if k % 7 == 0 else f"tool{k}") for k in range(100)] + [asking("long", "x" * 5000), asking("c1", "again")]
+    rollout_rows(spark, tmp_path, "a", calls)
+    rollout_rows(spark, tmp_path, "b", [asking("c5", "other")])
+    rollout_run(spark, tmp_path, ttl_ms)
+    rollout_rows(spark, tmp_path, "a", [answer(c) for c in ("c0", "c1", "c50", "c99", "long", "none")] + [("response_item", {"type": "custom_tool_call", "call_id": "c0", "name": "named", "input": "{}"}), answer("c0")], at=len(calls))
+    rollout_rows(spark, tmp_path, "b", [answer("c5"), answer("c50")], at=1)
+    events, _ = rollout_run(spark, tmp_path, ttl_ms)
+    fields = ["path", "entry_index", "emit", "turn_id", "thread_id", "event_type", "target_name", "content"]
+    whole = rollouts.canonical(spark.read.parquet(f"{tmp_path}/in").withColumn("value", F.parse_json("value")).withColumn("request_backfill", F.lit(True)).withColumn("response_backfill", F.lit(True)))
+    by = lambda df: sorted(map(repr, df.select(*fields).collect()))
+    assert by(events) == by(whole) and events.where("event_type = 'subagent_spawned'").count() == 1
+    rollout_rows(spark, tmp_path, "a", [answer("c0"), answer("c99"), answer("long")])
+    events, keys = rollout_run(spark, tmp_path, ttl_ms)
+    assert [r.content for r in events.where("generation = 1").collect() if "tool_name" in r.content] == [] and events.where("generation = 1").count() == 3
+    if ttl_ms is None:
+        assert keys == 2
+
+
 def test_command_line_and_sinks(spark, tmp_path):
     for name in ("s1", "s2"):
         folder = tmp_path / "sessions" / name
